@@ -26,8 +26,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         codec, end, uid = encoder(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
         step = 4 * capacity
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, 4096):
+                some = b.slice(at, 4096)
                 rows = []
                 for key, ids in zip(some.column(0).to_pylist(), codec.encode(texts_of(some.column(1))), strict=True):
                     ids += end

@@ -154,8 +154,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end = encoder(tokenizer), struct.pack("<I", end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
                 ids = [x + end for x in codec.encode(texts_of(part.column(1)))]
                 if not codec.wide:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
