@@ -6,22 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import packing, tokens, wavelet
+from glyphsieve.llm import chat, neardup, packing, rules, tokens, wavelet
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from wavelet-matrix shards."""
-    return wavelet.token_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens.default_tokenizer(), end_id=1)
+    return wavelet.token_store(_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), end_id=1)
 
 
 def op5_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens.default_tokenizer(), capacity=4096, end_id=1)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), capacity=4096, end_id=1)
+
+
+def op6_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, copy_of, n_links of every document."""
+    return neardup.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, read back from the formatted text, of every conversation and of conversation -7."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(own)))
+
+
+def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, metrics, base_failed, kept of every document."""
+    return rules.judge(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wavelet_tokens": op3_wavelet_tokens,
     "op5_genetic_packing": op5_genetic_packing,
+    "op6_bayes_jaccard": op6_bayes_jaccard,
+    "op8_chat_format": op8_chat_format,
+    "op9_adaptive_rules": op9_adaptive_rules,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _escaped(column: str) -> str:
+    out = rf"replace({column}, '\', '\\')"
+    for c in chat.CONTROLS:
+        out = rf"replace({out}, '{c}', '{c[0]}\{c[1:]}')"
+    return out
+
+
+OP8_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_escaped('text')}) + CASE WHEN before IS NOT DISTINCT FROM role THEN {len(chat.NEXT)}
+    ELSE length({_escaped('role')}) + {len(chat.START + chat.TEXT + chat.END)} END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op8_chat_format": OP8_SQL}
