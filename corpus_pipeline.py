@@ -4,20 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import packing, tokens
+from glyphsieve.llm import cotrain, neardup, packing, rules, tokens
 from glyphsieve.llm.common import materialize
 
 
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps; it learns from the labels of those given."""
+    return cotrain.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the thresholds of their language and source."""
+    return rules.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies."""
+    return neardup.keep_one(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 4096 ids; see packing.pack."""
     return packing.pack(docs, tokens.default_tokenizer())
 
 
 STAGES = [
+    ("quality_classifier", classify_quality),
+    ("quality_rules", apply_rules),
+    ("near_duplicates", drop_near_copies),
     ("best_fit_packing", pack_sequences),
 ]
 
-#: A trained classifier, quantile sketches, signatures and a genetic search have no SQL form.
+#: A trained classifier, quantile sketches, signatures and a genetic search have no SQL form; tests hold each against brute force.
 ORACLE_SQL = None
 
 

@@ -5,19 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphsieve.llm import chat, neardup, packing, rules, tokens, wavelet
+from glyphsieve.llm import chat, cotrain, extract, licenses, neardup, packing, pieces, rules, tokens, vptree, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score, text_score, meta_score, kept of every document."""
+    return cotrain.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from wavelet-matrix shards."""
     return wavelet.token_store(_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), end_id=1)
 
 
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_tokenizer(), capacity=4096, end_id=1)
@@ -28,6 +44,11 @@ def op6_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, n_chars, decoded_sha256 of every document; the last two of what its ids give back."""
+    return pieces.digests(_table(spark, sf_dir, "documents"), pieces.default_model())
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests, read back from the formatted text, of every conversation and of conversation -7."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -41,12 +62,25 @@ def op9_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op10_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest of every vector whose id is divisible by 20."""
+    return vptree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_wavelet_tokens": op3_wavelet_tokens,
-    "op5_genetic_packing": op5_genetic_packing,
-    "op6_bayes_jaccard": op6_bayes_jaccard,
-    "op8_chat_format": op8_chat_format,
-    "op9_adaptive_rules": op9_adaptive_rules,
+    q.__name__: q
+    for q in (
+        op1_template_extract,
+        op2_cotraining_quality,
+        op3_wavelet_tokens,
+        op4_license_templates,
+        op5_genetic_packing,
+        op6_bayes_jaccard,
+        op7_sentencepiece,
+        op8_chat_format,
+        op9_adaptive_rules,
+        op10_vp_trees,
+    )
 }
 
 
@@ -73,4 +107,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op8_chat_format": OP8_SQL}
+OP4_SQL = f"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), joined AS (
+  SELECT doc_id, len(w) AS n, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM cut
+), found AS (
+  SELECT doc_id, n,
+    list_concat({', '.join(f"CASE WHEN contains(t, ' {p} ') THEN list_filter(range(n), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()!r}) ELSE [] END" for p in licenses.BASE)}) AS places,
+    list_filter([{', '.join(f"CASE WHEN contains(t, ' {p} ') THEN '{v}' END" for p, v in licenses.BASE.items())}], lambda x: x IS NOT NULL) AS base,
+    list_filter([{', '.join(f"CASE WHEN regexp_matches(t, ' {licenses.template_regex(m)}') THEN '{v}' END" for v, m in licenses.TEMPLATES)}], lambda x: x IS NOT NULL) AS own
+  FROM joined
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM found
+"""
+
+ORACLE: dict[str, str] = {"op4_license_templates": OP4_SQL, "op8_chat_format": OP8_SQL}
