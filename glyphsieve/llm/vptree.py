@@ -78,8 +78,8 @@ class _Search:
         row, col = np.nonzero(near)
         if not len(row):
             return
-        # products anew, each summed in the same order, so that equal vectors score the same
-        exact = np.concatenate([(self.queries[who[row[s : s + 65536]]] * self.tree.raw[lo + col[s : s + 65536]]).sum(1) for s in range(0, len(row), 65536)])
+        # products anew, summed from the first component on, so that equal vectors score the same
+        exact = np.concatenate([np.add.accumulate(self.queries[who[row[s : s + 65536]]] * self.tree.raw[lo + col[s : s + 65536]], 1)[:, -1] for s in range(0, len(row), 65536)])
         touched = np.zeros(len(self.queries), bool)
         touched[who[row]] = True
         again = touched[self.query]
@@ -111,7 +111,7 @@ class _Search:
         for group, near, far, bound in ((first, (lo, mid), (mid, hi), outer), (~first, (mid, hi), (lo, mid), inner)):
             some = who[group]
             self.visit(*near, some)
-            slack = 1e-9 * (1 + self.tree.reach)
+            slack = 1e-7 * (1 + self.tree.reach)  # distances come from differences of squares
             self.visit(*far, some[bound[group] <= self.factor * self.tau[some] + slack])
 
 
