@@ -83,13 +83,11 @@ class CoTrained:
     meta: Logistic | None
     platt: tuple[np.ndarray, np.ndarray]
     blend: np.ndarray
-    prior: float
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chance of good quality by text, by metadata, and by both."""
         if self.text is None:
-            p = np.full(len(text), self.prior)
-            return p, p, p
+            return (np.ones(len(text)),) * 3
         logits = [view.logit(x) * s[0] + s[1] for view, x, s in ((self.text, text, self.platt[0]), (self.meta, meta, self.platt[1]))]
         sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
         both = np.stack([*logits, np.ones(len(text))], 1) @ self.blend
@@ -117,11 +115,11 @@ def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4
     them in a round and in the labels' own proportion) to the other as pseudo-labels of half weight.
     """
     known = np.flatnonzero(~np.isnan(label))
-    prior = float(label[known].mean()) if len(known) else 1.0
     held, seed = known[4::5], np.setdiff1d(known, known[4::5])
     if len(known) < 20 or any(len(np.unique(label[part])) < 2 for part in (held, seed)):
-        return CoTrained(None, None, (np.array([1, 0]), np.array([1, 0])), np.array([1, 0, 0]), prior)
+        return CoTrained(None, None, (np.array([1, 0]), np.array([1, 0])), np.array([1, 0, 0]))
     views, free = (text, meta), np.flatnonzero(np.isnan(label))
+    prior = float(label[known].mean())
     taught: tuple[dict[int, float], dict[int, float]] = ({}, {})
 
     def fit(v: int) -> tuple[Logistic, np.ndarray]:
@@ -146,7 +144,7 @@ def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4
             break
     (text_model, a), (meta_model, b) = fit(0), fit(1)
     logits = np.stack((text_model.logit(text[held]) * a[0] + a[1], meta_model.logit(meta[held]) * b[0] + b[1]), 1)
-    return CoTrained(text_model, meta_model, (a, b), _calibrate(logits, label[held]), prior)
+    return CoTrained(text_model, meta_model, (a, b), _calibrate(logits, label[held]))
 
 
 def _views(docs: DataFrame) -> DataFrame:
@@ -166,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool:
     """Train on at most max_labelled labelled documents and a pool of max_pool others, both the first by a hash of doc_id.
 
     The two bounds are all that is ever brought to the driver: feature vectors of that many rows. Labels that disagree
-    on a doc_id count as their rounded mean; without enough labels of both kinds every score is the labels' mean (1 if none).
+    on a doc_id count as their rounded mean; with under 20 labels, or one kind alone, nothing is learned and every score is 1.
     """
     spark = docs.sparkSession
     agreed = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.round(F.avg("quality")).cast("double").alias("label"))
@@ -178,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool:
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", "lang", "source").join(F.broadcast(asked), "key")  # bounded by max_labelled + max_pool
     found = {r.key: r for r in sorted(_views(rows.select("key", "label", "text", "lang", "source")).collect(), key=lambda r: (r.key, r.text_view, r.meta_view), reverse=True)}
     order = [found[r.key] for r in [*seed, *pool]]
-    matrix = lambda c: np.array([np.frombuffer(r[c]) for r in order]).reshape(len(order), -1)
+    matrix = lambda c: np.array([np.frombuffer(r[c]) for r in order])
     label = np.array([np.nan if r.label is None else r.label for r in order])
     return train(matrix("text_view"), matrix("meta_view"), label, **options)
 
@@ -209,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     kept says whether the combined, calibrated chance of good quality reaches threshold.
     Nulls: a null text is empty; a text without words scores 0 and is not kept; null lang or source are a value like
     others; a null doc_id is scored, but never trains. Repeated rows are scored each. An empty table gives no rows,
-    an empty label table keeps every text that has words. Other columns are not read.
+    a label table too small to learn from keeps every text that has words. Other columns are not read.
     """
     scored = _scored(docs.select("doc_id", "text", "lang", "source"), fit(docs, labels, **options), ["doc_id"])
     return scored.select("doc_id", F.col("__score").alias("score"), F.col("__text_score").alias("text_score"), F.col("__meta_score").alias("meta_score"), (F.col("__score") >= threshold).alias("kept"))

@@ -104,9 +104,10 @@ def thresholds(groups: DataFrame, least: int = 100, fence: float = 3.0) -> DataF
 
     own = fences(groups, "g_", "lang", "source")
     langs = F.broadcast(fences(merged("lang"), "l_", "lang"))  # a few hundred languages
-    total = F.broadcast(fences(merged(), "a_"))  # one row
-    joined = own.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").join(total)
-    choose = lambda f: F.when(F.col("g_n") >= least, F.col(f"g_{f}")).when(F.col("l_n") >= least, F.col(f"l_{f}")).otherwise(F.col(f"a_{f}"))
+    total = fences(merged().where("n > 0"), "").first()  # one row, or none of an empty table
+    joined = own.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left")
+    overall = lambda f: F.struct(*[F.lit(total[f][s] if total else None).cast("double").alias(s) for s in ("low", "high")])
+    choose = lambda f: F.when(F.col("g_n") >= least, F.col(f"g_{f}")).when(F.col("l_n") >= least, F.col(f"l_{f}")).otherwise(overall(f))
     return joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *[choose(f)[s].alias(f"{s}_{f}") for f in FEATURES for s in ("low", "high")])
 
 
