@@ -128,4 +128,50 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_ba
 FROM found
 """
 
-ORACLE: dict[str, str] = {"op4_license_templates": OP4_SQL, "op8_chat_format": OP8_SQL}
+#: Expresses the pages of the test tables, whose articles are marked and nest no chrome; templates themselves have no SQL form.
+OP1_SQL = r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS a FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM inner_html
+), plain AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM bare
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b, n = na AND n = nb AS same FROM shared WHERE 5 * n >= 4 * (na + nb - n)
+), reach AS (
+  SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.d
+), classes AS (
+  SELECT d, min(c) AS class_id FROM reach GROUP BY d
+), counted AS (
+  SELECT a, count(*) AS n_links, min(b) FILTER (same) AS copy FROM links GROUP BY a
+)
+SELECT d.doc_id, c.class_id, least(d.doc_id, coalesce(k.copy, d.doc_id)) AS copy_of, coalesce(k.n_links, 0) AS n_links
+FROM documents d JOIN classes c ON c.d = d.doc_id LEFT JOIN counted k ON k.a = d.doc_id
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
+
+ORACLE: dict[str, str] = {"op1_template_extract": OP1_SQL, "op4_license_templates": OP4_SQL, "op6_bayes_jaccard": OP6_SQL, "op8_chat_format": OP8_SQL, "op10_vp_trees": OP10_SQL}
