@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from enum import IntFlag
 
 
@@ -32,10 +33,18 @@ class ProcessType(IntFlag):
 
     @classmethod
     def checked(cls, bits: int) -> ProcessType:
-        if isinstance(bits, bool) or not 0 < int(bits) < 128:
+        if isinstance(bits, bool) or not isinstance(bits, int) or not 0 < int(bits) < 128:
             raise InvalidProcessType(f"process type {bits!r} is not in 1..127")
         return cls(int(bits))
 
+    @classmethod
+    def from_json(cls, data: str) -> ProcessType:
+        """From its number; bits beyond the seventh are refused."""
+        return cls.checked(json.loads(data))
+
+    def to_json(self) -> str:
+        return json.dumps(int(self))
+
     def normalized(self) -> ProcessType:
         return ProcessType(self & ~1) if self > 1 else self
 

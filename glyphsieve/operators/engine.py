@@ -103,6 +103,25 @@ class RuleEngine:
         """Hits of single alternatives before any rule is decided."""
         return relational.hit_rows(docs, self.compiled, text, key).withColumnRenamed("__key", key)
 
+    def results_json(self, text: Column) -> Column:
+        """All rules that fire as a JSON array of {"word_id", "word"}."""
+        return F.to_json(self.process(text))
+
+    def register(self, spark: SparkSession, name: str) -> None:
+        """SQL functions: name_is_match(text), and name_process(text) for the ids of the rules that fire."""
+        shared = spark.sparkContext.broadcast(Scanner(self.compiled))
+
+        @F.pandas_udf("boolean")
+        def matches(texts: pd.Series) -> pd.Series:
+            return pd.Series([shared.value.is_match(t) for t in texts], dtype=bool)
+
+        @F.pandas_udf("array<bigint>")
+        def ids(texts: pd.Series) -> pd.Series:
+            return pd.Series([[m["word_id"] for m in shared.value.process(t)] for t in texts])
+
+        spark.udf.register(f"{name}_is_match", matches)
+        spark.udf.register(f"{name}_process", ids)
+
     def rules_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(int(r.process_type), r.word_id, r.word) for r in self.compiled.rules], "process_type int, word_id long, word string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.flags import ProcessType
@@ -136,6 +136,34 @@ def process_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(RuleEngine(RULES).process_into(one, F.col("text"))).cast("long").alias("n_matches"))
 
 
+@query(f"SELECT d.doc_id, coalesce(j, '[]') AS matches FROM documents d LEFT JOIN (SELECT doc_id, CAST(to_json(list({{'word_id': word_id, 'word': word}} ORDER BY word_id)) AS VARCHAR) AS j FROM ({FIRED}) GROUP BY doc_id) USING (doc_id)")
+def process_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rules as JSON."""
+    return _table(spark, sf_dir, "documents").select("doc_id", RuleEngine(RULES).results_json(F.col("text")).alias("matches"))
+
+
+@query(f"SELECT lang, count(*) AS docs FROM documents WHERE {RULE_SQL[1]} OR {RULE_SQL[3]} GROUP BY lang")
+def sql_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a SQL function."""
+    RuleEngine([RULES[0], RULES[2]]).register(spark, "two_rules")
+    return spark.sql("SELECT lang, count(*) AS docs FROM {docs} WHERE two_rules_is_match(text) GROUP BY lang", docs=_table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE {RULE_SQL[4]}) WHERE r = 1")
+def first_hit_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matching document of each source."""
+    hits_ = RuleEngine([RULES[3]]).semi(_table(spark, sf_dir, "documents"), "text")
+    first = hits_.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return first.where("r = 1").select("doc_id", "lang")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'bolt') AND NOT contains(lower(p_name), 'small')")
+def matched_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of parts whose name fires a rule: matching composes with joins."""
+    parts = RuleEngine([(8, 1, "BOLT~Small")]).semi(_table(spark, sf_dir, "part"), "p_name")
+    return _table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber")
+
+
 @query(f"SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT 1 FROM ({FIRED}) f WHERE f.doc_id = documents.doc_id)")
 def match_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which some rule fires."""
@@ -276,10 +304,10 @@ def transform_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT event_id, contains(event_type, 'click') OR contains(props, 'true') AS flagged FROM events")
+@query("SELECT event_id, contains(event_type, 'click') OR contains(props, '69') AS flagged FROM events")
 def events_type_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose type or properties fire a rule each."""
-    both = RuleEngine([(1, 1, "click")]).is_match(F.col("event_type")) | RuleEngine([(1, 1, "true")]).is_match(F.col("props"))
+    both = RuleEngine([(1, 1, "click")]).is_match(F.col("event_type")) | RuleEngine([(1, 1, "69")]).is_match(F.col("props"))
     return _table(spark, sf_dir, "events").select("event_id", both.alias("flagged"))
 
 

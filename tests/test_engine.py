@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve import tables
 from glyphsieve.flags import ProcessType
-from glyphsieve.functions import reduce_text_process, reduce_text_process_emit, text_process
+from glyphsieve.functions import process_text, reduce_text, reduce_text_emit, reduce_text_process, reduce_text_process_emit, text_process
 from glyphsieve.operators import RuleEngine, RuleEngineBuilder
 from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_table, rules_from_json_column
 from glyphsieve.streaming import hit_counts, match_stream
@@ -83,6 +83,27 @@ def test_transforms(spark):
         text_process(128, F.col("text"))
 
 
+def test_strings_and_columns_agree(spark):
+    texts = ["！Ａ！測試！１！", "A B 測試 Ａ １", "Ａ！漢語西安１", "plain", "", "🔥 é"]
+    assert reduce_text_emit(14, texts[0]) == ["！Ａ！测试！１！", "a测试1"]
+    for pt in (1, 2, 4, 12, 14, 62, 64, 80):
+        got = frame(spark, *texts).select("id", text_process(pt, F.col("text")).alias("t"), reduce_text_process(pt, F.col("text")).alias("r"), reduce_text_process_emit(pt, F.col("text")).alias("e")).orderBy("id").collect()
+        assert [(r.t, r.r, r.e) for r in got] == [(process_text(pt, t), reduce_text(pt, t), reduce_text_emit(pt, t)) for t in texts], pt
+
+
+def test_json_and_sql(spark):
+    assert ProcessType.from_json(ProcessType(12).to_json()) == 12
+    for bad in ("0", "128", "true", "1.5", '"x"'):
+        with pytest.raises(ValueError):
+            ProcessType.from_json(bad)
+    docs = frame(spark, "hello world", None)
+    engine = RuleEngine(RULES)
+    assert [r.j for r in docs.select(engine.results_json(F.col("text")).alias("j")).collect()] == ['[{"word_id":1,"word":"hello"},{"word_id":2,"word":"hello&world"}]', "[]"]
+    engine.register(spark, "greet")
+    docs.createOrReplaceTempView("greeted")
+    assert [tuple(r) for r in spark.sql("SELECT greet_is_match(text), greet_process(text) FROM greeted ORDER BY id").collect()] == [(True, [1, 2]), (False, [])]
+
+
 def test_delete_is_the_table_in_the_jvm_too(spark):
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     got = frame(spark, every).select(text_process(ProcessType.DELETE, F.col("text")).alias("t")).first().t
