@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = next((lib for lib in [ctypes.CDLL(None)] if hasattr(lib, "malloc_trim")), None)  # glibc has it
+
 #: A side is broadcast only when its counted rows times its row width stay under this many bytes.
 BROADCAST_BYTES = 48 << 20
 
@@ -33,11 +37,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a scratch table is written: texts may be long.
+BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, jobs hand Python batches of BATCH_ROWS rows; the session's own setting comes back after."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glyphsieve_path = path
     return out
@@ -62,6 +83,13 @@ def sized(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(small) if small.count() * row_bytes <= limit else small
 
 
+def tidy() -> None:
+    """Give back to the system what Arrow and the C library hold of freed buffers: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column; nulls as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import materialize, sized, texts_of
+from glyphsieve.llm.common import materialize, sized, texts_of, tidy
 
 SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 256, 32, 16
 _LINE = re.compile(rb"[^\n]*[^\s][^\n]*")
@@ -197,6 +197,7 @@ def _scored(docs: DataFrame, model: CoTrained, carry: list[str]) -> DataFrame:
             wordless = np.array([not t.strip() for t in texts], bool)
             both = np.where(wordless, 0.0, both)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(both), pa.array(some), pa.array(meta)], [*carry, *[f"__{c.split()[0]}" for c in SCORED.split(", ")]])
+            tidy()
 
     return docs.select(*carry, F.col("text").alias("__text"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).mapInArrow(score, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import connected_components, map_runs, materialize, sized, texts_of
+from glyphsieve.llm.common import connected_components, map_runs, materialize, sized, texts_of, tidy
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4  # a pair at similarity 0.8 shares no band with a chance of 3 in a million
@@ -125,6 +125,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     [c.split()[0] for c in SIGNED.split(", ")],
                 )
                 uid += n
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
@@ -193,6 +194,7 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFram
                 root = _settle(len(rep), np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
                 moved = np.flatnonzero(root != np.arange(len(rep)))
                 yield pa.RecordBatch.from_arrays([pa.array(rep[root[moved]]), pa.array(rep[moved])], ["a", "b"])
+            tidy()
 
     return map_runs(members, ["bucket", "i", "j"], compare, "a long, b long", ["rep"])
 
@@ -234,6 +236,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
                 same = pa.array([_fingerprint(h) == x for h, x in zip(own, asked, strict=True)])  # a doc_id may name several texts
                 kept = pa.RecordBatch.from_arrays([some.column("cluster"), some.column("rep"), some.column("copies"), pa.array([h.tobytes() for h in own], pa.binary())], ["cluster", "rep", "copies", "shingles"])
                 yield kept.filter(same)
+            tidy()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(sized(clusters, 56), F.col("__doc") == F.col("of_doc"))
     held = texts.select("cluster", "rep", "copies", "set_a", "set_b", "text").mapInArrow(sets, "cluster long, rep long, copies long, shingles binary")
@@ -273,6 +276,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
                 value += [*links[linked].astype(np.int64).tolist(), *rep[root[moved]].tolist()]
             if kind:
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(node, pa.int64()), pa.array(value, pa.int64())], ["kind", "node", "value"])
+            tidy()
 
     return map_runs(_blocks(held, "cluster", "rep", CLUSTER), ["cluster", "i", "j"], verify, "kind int, node long, value long", ["rep"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import materialize, texts_of
+from glyphsieve.llm.common import materialize, texts_of, tidy
 from glyphsieve.llm.tokens import encoder
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,6 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                         uid += 1
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+                tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

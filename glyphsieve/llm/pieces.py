@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import texts_of
+from glyphsieve.llm.common import texts_of, tidy
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -228,6 +228,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                     [some.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())],
                     [c.split()[0] for c in CODED.split(", ")],
                 )
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CODED)
 

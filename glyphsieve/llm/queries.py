@@ -163,6 +163,43 @@ SELECT d.doc_id, c.class_id, least(d.doc_id, coalesce(k.copy, d.doc_id)) AS copy
 FROM documents d JOIN classes c ON c.d = d.doc_id LEFT JOIN counted k ON k.a = d.doc_id
 """
 
+#: The thresholds as exact quartiles: what the sketches give while a group and its language have no more than k documents.
+OP9_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), tri AS (
+  SELECT *, CASE WHEN len(w) < 3 THEN [] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END AS g FROM cut
+), twice AS (
+  SELECT doc_id, list(x) AS d FROM (SELECT doc_id, x FROM (SELECT doc_id, unnest(g) AS x FROM tri) GROUP BY doc_id, x HAVING count(*) > 1) GROUP BY doc_id
+), starts AS (
+  SELECT tri.*, CASE WHEN d IS NULL THEN [] ELSE list_filter(range(1, len(g) + 1), lambda i: list_contains(d, g[i])) END AS s FROM tri LEFT JOIN twice USING (doc_id)
+), m AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    len(list_distinct(flatten(list_transform(s, lambda i: [i, i + 1, i + 2])))) AS n_repeat_words FROM starts
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {shares} FROM m
+), own AS (
+  SELECT lang, source, count(*) AS n, {quartiles} FROM f WHERE NOT base_failed GROUP BY lang, source
+), per_lang AS (
+  SELECT lang, count(*) AS n, {quartiles} FROM f WHERE NOT base_failed GROUP BY lang
+), overall AS (
+  SELECT {quartiles} FROM f WHERE NOT base_failed
+), chosen AS (
+  SELECT o.lang, o.source, {choices} FROM own o LEFT JOIN per_lang p ON p.lang IS NOT DISTINCT FROM o.lang, overall a
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_lines AS BIGINT) AS n_lines,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce({inside}, true) AS kept
+FROM f LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
+""".format(
+    shares=", ".join(f"CAST({e} AS DOUBLE) AS {f}" for f, (e, _, _) in rules.FEATURES.items()),
+    quartiles=", ".join(f"quantile_disc({f}, 0.25) AS {f}_a, quantile_disc({f}, 0.75) AS {f}_b" for f in rules.FEATURES),
+    choices=", ".join(f"CASE WHEN o.n >= 100 THEN o.{f}_{q} WHEN p.n >= 100 THEN p.{f}_{q} ELSE a.{f}_{q} END AS {f}_{q}" for f in rules.FEATURES for q in "ab"),
+    inside=" AND ".join([f"{f} <= {f}_b + 3.0 * ({f}_b - {f}_a) + {room}" for f, (_, room, _) in rules.FEATURES.items()] + [f"{f} >= {f}_a - 3.0 * ({f}_b - {f}_a) - {room}" for f, (_, room, both) in rules.FEATURES.items() if both]),
+)
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -174,4 +211,4 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-ORACLE: dict[str, str] = {"op1_template_extract": OP1_SQL, "op4_license_templates": OP4_SQL, "op6_bayes_jaccard": OP6_SQL, "op8_chat_format": OP8_SQL, "op10_vp_trees": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_template_extract": OP1_SQL, "op4_license_templates": OP4_SQL, "op6_bayes_jaccard": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_adaptive_rules": OP9_SQL, "op10_vp_trees": OP10_SQL}

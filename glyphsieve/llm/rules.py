@@ -76,7 +76,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def sketches(measured: DataFrame, k: int = 400) -> DataFrame:
+def sketches(measured: DataFrame, k: int = 4096) -> DataFrame:
     """lang, source, n and a KLL sketch of each feature, over the measured documents that pass the base rules.
 
     Sketches merge: a group's may be built by any number of tasks, and groups may be merged to languages or to all.
@@ -111,7 +111,7 @@ def thresholds(groups: DataFrame, least: int = 100, fence: float = 3.0) -> DataF
     return joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *[choose(f)[s].alias(f"{s}_{f}") for f in FEATURES for s in ("low", "high")])
 
 
-def judge(docs: DataFrame, k: int = 400, least: int = 100, fence: float = 3.0) -> DataFrame:
+def judge(docs: DataFrame, k: int = 4096, least: int = 100, fence: float = 3.0) -> DataFrame:
     """doc_id, METRICS, base_failed, kept of every document of docs (doc_id, text, lang, source).
 
     Base rules fail texts of under 50 words or with over half their words in repeated windows. Of the rest, a document

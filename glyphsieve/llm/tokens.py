@@ -61,7 +61,7 @@ class ChunkEncoder:
     the first encodes whole texts.
     """
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, path: str, entries: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,15 +102,15 @@ class ChunkEncoder:
         """ids of the strings of each list, one after another."""
         words = cut.flatten().dictionary_encode()
         own = self._known(cache, words.dictionary.to_pylist())
-        length = np.array([len(x) for x in own], np.int64) // 4
-        start = np.cumsum(length) - length
+        length = np.array([len(x) for x in own], np.int32) // 4
+        start = np.cumsum(length, dtype=np.int32) - length
         flat = np.frombuffer(b"".join(own), "<u4")
         which = words.indices.to_numpy()
         n = length[which]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(start[which] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = flat[np.repeat(start[which] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)].tobytes()
         lists = cut.offsets.to_numpy()
-        bounds = (np.concatenate(([0], ends))[lists - lists[0]] * 4).tolist()
+        bounds = (np.concatenate(([0], ends)).astype(np.int64)[lists - lists[0]] * 4).tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
@@ -128,7 +128,7 @@ class ChunkEncoder:
         ids = dict(zip(each, self._known(self.chunks, [c.decode("utf-8", "surrogatepass") for c in each]), strict=True))
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
-    def encode(self, texts: Iterable[str], batch_chars: int = 8 << 20) -> list[bytes]:
+    def encode(self, texts: Iterable[str], batch_chars: int = 2 << 20) -> list[bytes]:
         texts = list(texts)
         if not self.by_chunk:
             return self._whole(texts)
@@ -151,7 +151,7 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str, entries: int = 300_000) -> ChunkEncoder:
+def encoder(path: str, entries: int = 150_000) -> ChunkEncoder:
     """One encoder for each worker process and file; its cache outlives tasks."""
     if (path, entries) not in _ENCODERS:
         _ENCODERS[path, entries] = ChunkEncoder(path, entries)

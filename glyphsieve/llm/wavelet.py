@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import scratch_path, shuffle_partitions, texts_of
+from glyphsieve.llm.common import scratch_path, shuffle_partitions, small_batches, texts_of, tidy
 from glyphsieve.llm.tokens import encoder
 
 MAGIC = b"GWM1"
@@ -162,6 +162,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
                 keys = part.column(0)
                 where = np.searchsorted(cuts, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(where.astype(np.int32))], ["doc_id", "ids", "part"])
+                tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, part int")
 
@@ -203,6 +204,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
                 size += len(ids) // (4 if wide else 2)
                 if size >= shard_tokens:
                     yield shard()
+                    tidy()
                     seq, first, held, size = seq + 1, first + size, [], 0
         if held:
             yield shard()
@@ -210,7 +212,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
     out = path or scratch_path(spark, "wavelet")
     coded = _encoded(docs, tokenizer, end_id, [c for c in cuts or []])
     dealt = coded.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(pack, STORE).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(out)
+    with small_batches(spark):
+        dealt.mapInArrow(pack, STORE).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(out)
     return out
 
 
@@ -242,6 +245,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array(keys[some], mask=~known[some]), pa.array(starts[some] + base[r["part"]] + r["first_token"]), pa.array(lengths[some]), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array([bytes(x) for x in own], pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
+                tidy()
 
     shards = read_shards(spark, path).select("part", "first_token", "doc_ids", "id_known", "lengths", "payload")
     return shards.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
