@@ -78,6 +78,14 @@ def test_extract_articles(spark):
     assert extract.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_extract_repeated_articles_are_not_the_article(spark):
+    """Readers' articles under a neutral name repeat, so the template tells them from the one that occurs once."""
+    readers = lambda k: "".join(f"<article>Reader {k} {i}</article>" for i in range(k % 3))
+    rows = [page(f"<main><p>Lead in</p><article class=a><p>Story {k}</p></article><div id=below>{readers(k)}</div></main>", k=k) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.extract(df).collect()} == {k: f"Story {k}" for k in range(9)}
+
+
 def test_extract_by_template_without_article(spark):
     """Text that is on most pages of a host is template; what differs below the main path is the content."""
     rows = []
