@@ -14,8 +14,8 @@ from glyphsieve.llm.common import materialize, sized
 FEATURES: dict[str, tuple[str, float, bool]] = {
     "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.05, False),
     "mean_word": ("word_chars / greatest(n_words, 1)", 1.0, True),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.1, False),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.1, False),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.4, False),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.4, False),
 }
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 

@@ -479,7 +479,7 @@ def test_adaptive_thresholds(spark, none):
         lang = "de" if k % 2 else "en"
         size = 9 if lang == "de" else 4
         rows.append((k, " ".join(word(rng.randint(size - 1, size + 1)) for _ in range(80)), lang, f"src{k % 5}", 0))
-    rows += [(1000, " ".join(word(9) for _ in range(80)), "en", "src0", 0), (1001, " ".join(word(4) + "##" for _ in range(80)), "en", "src1", 0), (1002, "\n".join(["the same line of words here it is"] * 3 + [word(4) for _ in range(60)]), "en", "src1", 0)]
+    rows += [(1000, " ".join(word(9) for _ in range(80)), "en", "src0", 0), (1001, " ".join(word(4) + "##" for _ in range(80)), "en", "src1", 0), (1002, "\n".join(["same line"] * 9 + [" ".join(word(4) for _ in range(5)) for _ in range(8)]), "en", "src1", 0)]
     rows += [(1003, "too short", None, None, 0), (1004, " ".join(["a b c"] * 40), "en", "src0", 0), (1005, None, "en", "src0", 0)]
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r for r in rules.judge(df).collect()}
