@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from operator import itemgetter
 
 from glyphsieve import tables
 from glyphsieve.flags import ProcessType
 from glyphsieve.plans.compiler import Compiled
 from glyphsieve.plans.naive import word_character
 
+_SECOND = itemgetter(1)
+
 try:
     import ahocorasick
 except ModuleNotFoundError:  # optional: a slower scan takes its place
@@ -32,7 +35,8 @@ class Scanner:
         # a rule of one needed segment that one hit fulfils fires at once
         self.simple = [len(s) == 1 and s[0] == (False, 1) for s in self.segments]
         self.direct = {pt: [all(self.simple[r] and not left and not right for left, right, r, _ in e) for e in entries] for pt, entries in self.entries.items()}
-        self.counted = any(quota > 1 for s in self.segments for _, quota in s)
+        self.all_direct = {pt: all(d) for pt, d in self.direct.items()}
+        self.only_rule = {pt: [e[0][2] if len(e) == 1 else -1 for e in entries] for pt, entries in self.entries.items()}
         self.automata = {}
         for pt, patterns in by_type.items():
             if ahocorasick:
@@ -70,6 +74,20 @@ class Scanner:
         for pt, entries in self.entries.items():
             direct, lengths = self.direct[pt], self.lengths[pt]
             for form in self._variants(pt, text):
+                if self.all_direct[pt]:  # single literals: which are found is all that counts
+                    hits = self._scan(pt, form)
+                    if first:
+                        hit = next(hits, None)
+                        if hit is not None:
+                            return [entries[hit[1]][0][2]]
+                        continue
+                    only = self.only_rule[pt]
+                    for k in set(map(_SECOND, hits)):
+                        if only[k] >= 0:
+                            done.add(only[k])
+                        else:
+                            done.update(r for _, _, r, _ in entries[k])
+                    continue
                 sums: dict[tuple[int, int], int] = defaultdict(int)
                 seen: set[int] = set()
                 for end, k in self._scan(pt, form):

@@ -1,7 +1,12 @@
 """Engine endpoints, sources, transforms and streams."""
 
 import json
+import os
 import pickle
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +144,16 @@ def test_single_literal_reaches_the_scan(spark, tmp_path):
     assert "StringContains(text,hello)" in plan and "extra" not in plan.split("ReadSchema")[1]
 
 
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The rest imports and has its queries when the llm folders and the pipeline are gone."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "glyphsieve", tmp_path / "glyphsieve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries()) and not any(q.startswith('op') for q in e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()[-1] == "True"
+
+
 def test_entry_queries_have_oracles(spark):
     import __spark_entry__ as entry
 
