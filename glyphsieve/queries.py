@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -325,7 +326,7 @@ def window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENTS)
 def streaming_window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts by a stream over the files, run until it has read them all, in complete mode."""
-    name = f"window_hits_{abs(hash((sf_dir, id(spark)))):x}"
+    name = f"window_hits_{uuid.uuid4().hex}"
     schema = _table(spark, sf_dir, "events").schema
     # a stream reads folders: the table's own if it is one, else its file among its neighbours
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
