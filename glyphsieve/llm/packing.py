@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import materialize, texts_of, tidy
+from glyphsieve.llm.common import discard, materialize, texts_of, tidy
 from glyphsieve.llm.tokens import encoder
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -164,8 +164,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         none = F.lit(None).cast("array<int>")
         state = grouped.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), none.alias("assign"), none.alias("immigrant"))
         state = state.repartition(chunks * islands, "chunk", "island")
+        held_epoch = None
         for epoch in range(epochs):
             state = materialize(_epoch(state, capacity, population, generations, epoch), "epoch")
+            discard(held_epoch)
+            held_epoch = state
             if epoch + 1 < epochs:
                 elite = state.select("chunk", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("assign").alias("arrived"))
                 state = state.join(elite, ["chunk", "island"]).withColumn("immigrant", F.col("arrived")).drop("arrived")
@@ -178,6 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         last = chunks == 1 or turn + 1 == max_rounds
         kept = F.lit(True) if last else F.sum("size").over(bin_) >= int(settle * capacity)
         rows = materialize(flat.select("uid", "size", number.alias("sequence_id"), before.alias("offset"), kept.alias("final")), "bins")
+        discard(held_epoch)
         placed.append(rows.where("final").select("sequence_id", "uid", "offset"))
         items = rows.where("not final").select("uid", "size")
         left = items.count()

@@ -103,7 +103,7 @@ def thresholds(groups: DataFrame, least: int = 100, fence: float = 3.0) -> DataF
         return of.select(*[F.col(b).alias(f"{prefix}{b}") for b in by], F.col("n").alias(f"{prefix}n"), *cols)
 
     own = fences(groups, "g_", "lang", "source")
-    langs = F.broadcast(fences(merged("lang"), "l_", "lang"))  # a few hundred languages
+    langs = fences(merged("lang"), "l_", "lang")
     total = fences(merged().where("n > 0"), "").first()  # one row, or none of an empty table
     joined = own.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left")
     overall = lambda f: F.struct(*[F.lit(total[f][s] if total else None).cast("double").alias(s) for s in ("low", "high")])
