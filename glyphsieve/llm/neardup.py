@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import connected_components, map_runs, materialize, sized, texts_of, tidy
+from glyphsieve.llm.common import connected_components, discard, map_runs, materialize, sized, texts_of, tidy
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4  # a pair at similarity 0.8 shares no band with a chance of 3 in a million
 LOOK = 16  # MinHash values compared between two looks at the posterior
 TOLERANCE = 1e-5
-BUCKET = 1024  # members of a bucket that one task compares; larger buckets are compared in pairs of blocks
+BUCKET = 256  # members of a bucket that one task compares; larger buckets are compared in pairs of blocks
 CLUSTER = 512  # the same for candidate clusters, whose shingle sets are compared exactly
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -143,21 +143,28 @@ def _settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _blocks(members: DataFrame, group: str, node: str, size: int) -> DataFrame:
-    """members with block, i, j: a group of up to size members is one block (0, 0); a larger one is dealt into blocks
-    by a hash of the node, and a member of block b goes to every pair of blocks that holds b."""
-    counted = members.withColumn("__k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy(group)) / size).cast("int"))
-    own = F.pmod(F.xxhash64(node), F.col("__k")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("__k") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    return counted.select(*members.columns, own.alias("block"), F.explode(pairs).alias("__p")).select(*members.columns, "block", F.col("__p.i").alias("i"), F.col("__p.j").alias("j"))
+def _dealt(members: DataFrame, node: str, size: int, count: str) -> DataFrame:
+    """members with block and blocks: a group of up to size members (count has how many) is one block; a larger one is dealt
+    by a hash of the node."""
+    blocks = F.ceil(F.col(count) / size).cast("int")
+    return members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).drop(count)
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """members with i, j in place of blocks: one row for each pair of blocks that holds its block, so every two members meet."""
+    own = F.col("block")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    kept = [c for c in members.columns if c != "blocks"]
+    return members.select(*kept, F.explode(pairs).alias("__p")).select(*kept, F.col("__p.i").alias("i"), F.col("__p.j").alias("j"))
 
 
 def _candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(a, b) edges that join representatives into candidate clusters: each bucket's pairs that survive the Bayesian
     test, reduced to a star for each of the bucket's components. No list of pairs leaves a task."""
     keyed = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
-    members = materialize(_blocks(shared, "bucket", "rep", BUCKET), "buckets").join(reps.select("rep", "signature"), "rep")
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+    buckets = materialize(_paired(_dealt(shared, "rep", BUCKET, "n")), "buckets")
+    members = buckets.join(reps.select("rep", "signature"), "rep")
     need = least_matches(threshold, tolerance)
 
     def compare(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +203,9 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(rep[root[moved]]), pa.array(rep[moved])], ["a", "b"])
             tidy()
 
-    return map_runs(members, ["bucket", "i", "j"], compare, "a long, b long", ["rep"])
+    edges = materialize(map_runs(members, ["bucket", "i", "j"], compare, "a long, b long", ["rep"]), "candidates")
+    discard(buckets)
+    return edges
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -227,6 +236,8 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """(kind, node, value): kind 0, links of a representative counted in documents; kind 1, a star edge of a true component."""
 
+    carried = ["cluster", "rep", "copies", "blocks", "block"]
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -234,12 +245,12 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
                 own = [shingles(x) for x in texts_of(some.column("text"))]
                 asked = zip(some.column("set_a").to_pylist(), some.column("set_b").to_pylist(), strict=True)
                 same = pa.array([_fingerprint(h) == x for h, x in zip(own, asked, strict=True)])  # a doc_id may name several texts
-                kept = pa.RecordBatch.from_arrays([some.column("cluster"), some.column("rep"), some.column("copies"), pa.array([h.tobytes() for h in own], pa.binary())], ["cluster", "rep", "copies", "shingles"])
+                kept = pa.RecordBatch.from_arrays([*[some.column(c) for c in carried], pa.array([h.tobytes() for h in own], pa.binary())], [*carried, "shingles"])
                 yield kept.filter(same)
             tidy()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(sized(clusters, 56), F.col("__doc") == F.col("of_doc"))
-    held = texts.select("cluster", "rep", "copies", "set_a", "set_b", "text").mapInArrow(sets, "cluster long, rep long, copies long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(sized(clusters, 64), F.col("__doc") == F.col("of_doc"))
+    held = texts.select(*carried, "set_a", "set_b", "text").mapInArrow(sets, "cluster long, rep long, copies long, blocks int, block int, shingles binary")
 
     def verify(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for t in tables:
@@ -278,7 +289,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(node, pa.int64()), pa.array(value, pa.int64())], ["kind", "node", "value"])
             tidy()
 
-    return map_runs(_blocks(held, "cluster", "rep", CLUSTER), ["cluster", "i", "j"], verify, "kind int, node long, value long", ["rep"])
+    return map_runs(_paired(held), ["cluster", "i", "j"], verify, "kind int, node long, value long", ["rep"])
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -307,15 +318,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     reps = joined.where("uid = first.uid").select(F.col("uid").alias("rep"), "doc_id", "copies", "set_a", "set_b", "bands", "signature")
     reps = materialize(reps, "reps")
 
-    near = materialize(_candidates(reps.select("rep", "bands", "signature"), threshold, tolerance), "candidates")
+    near = _candidates(reps.select("rep", "bands", "signature"), threshold, tolerance)
     found = connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    clusters = materialize(found.join(reps.select("rep", "copies", "set_a", "set_b", F.col("doc_id").alias("of_doc")), "rep"), "clusters")
+    large = materialize(found.groupBy(F.col("cluster").alias("large")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTER), "large")
+    sizes = found.join(sized(large, 24), F.col("cluster") == F.col("large"), "left").select("rep", "cluster", F.coalesce("n", F.lit(1)).alias("n"))
+    clusters = _dealt(sizes, "rep", CLUSTER, "n").join(reps.select("rep", "copies", "set_a", "set_b", F.col("doc_id").alias("of_doc")), "rep")
+    clusters = materialize(clusters, "clusters")
     verified = materialize(_verified(docs, clusters, threshold), "verified")
     links = verified.where("kind = 0").groupBy(F.col("node").alias("l_rep")).agg(F.sum("value").alias("links"))
     parts = connected_components(verified.where("kind = 1"), "node", "value").join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
     named = parts.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     classed = parts.join(named, "component").select(F.col("node").alias("c_rep"), "class_id")
     facts = materialize(links.join(classed, F.col("l_rep") == F.col("c_rep"), "full").select(F.coalesce("l_rep", "c_rep").alias("rep"), "links", "class_id"), "facts")
+    discard(classes, reps, near, clusters, verified)
     out = joined.select("doc_id", "copies", F.col("first.uid").alias("first_uid"), F.col("first.doc_id").alias("copy_of"))
     out = out.join(sized(facts, 32), F.col("first_uid") == F.col("rep"), "left")
     out = out.select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
