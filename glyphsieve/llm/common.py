@@ -38,26 +38,26 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 #: Rows of an Arrow batch while a scratch table is written: texts may be long.
-BATCH_ROWS = "2000"
+BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within, jobs hand Python batches of BATCH_ROWS rows; the session's own setting comes back after."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within, jobs hand Python batches of that many rows; the session's own setting comes back after."""
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, BATCH_ROWS)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
         spark.conf.set(_BATCH, before)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glyphsieve_path = path

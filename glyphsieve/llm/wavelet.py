@@ -16,6 +16,7 @@ from glyphsieve.llm.common import scratch_path, shuffle_partitions, small_batche
 from glyphsieve.llm.tokens import encoder
 
 MAGIC = b"GWM1"
+ROWS, BATCH_CHARS, CACHED = 4096, 8 << 20, 300_000  # of a batch, of what is encoded at once, and pieces whose ids a worker keeps
 BLOCK = 64  # bytes of a plane for each entry of its rank directory
 STORE = "part int, seq int, first_token long, n_tokens long, doc_ids binary, id_known binary, lengths binary, payload binary"
 
@@ -34,11 +35,14 @@ class WaveletMatrix:
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         values, zeros, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), [], []
         for level in range(width):
-            bits = (values >> np.array(width - 1 - level, values.dtype)) & np.array(1, values.dtype) != 0
+            bits = (values & values.dtype.type(1 << (width - 1 - level))) != 0
             planes.append(np.packbits(bits, bitorder="little").tobytes())
-            low = values[~bits]
-            zeros.append(len(low))
-            values = np.concatenate((low, values[bits]))
+            zeros.append(len(ids) - int(np.count_nonzero(bits)))
+            if level + 1 < width:
+                parted = np.empty_like(values)
+                np.compress(bits, values, out=parted[zeros[-1] :])
+                np.compress(np.logical_not(bits, out=bits), values, out=parted[: zeros[-1]])
+                values = parted
         squeeze = zstandard.ZstdCompressor(level=1)
         return cls(len(ids), width, zeros, [squeeze.compress(p) for p in planes])
 
@@ -60,10 +64,14 @@ class WaveletMatrix:
             at += size
         return cls(n, width, list(numbers[:width]), packed)
 
+    def _raw(self, level: int) -> np.ndarray:
+        """Bytes of a plane."""
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._packed[level], max_output_size=(self.n + 7) // 8 + 1), np.uint8)
+
     def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of a plane and its rank directory: ones before each block. Decompressed when first asked for."""
         if level not in self._planes:
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._packed[level], max_output_size=(self.n + 7) // 8 + 1), np.uint8)
+            raw = self._raw(level)
             ones = np.bitwise_count(np.pad(raw, (0, -len(raw) % BLOCK)).reshape(-1, BLOCK)).sum(1, dtype=np.int64)
             self._planes[level] = raw, np.concatenate(([0], np.cumsum(ones)))
         return self._planes[level]
@@ -139,12 +147,12 @@ class WaveletMatrix:
         """All ids, from the last plane up: each plane tells how to merge what the one below had parted."""
         values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in reversed(range(self.width)):
-            bits = np.unpackbits(self._plane(level)[0], count=self.n, bitorder="little").astype(bool)
-            merged = np.empty_like(values)
-            merged[~bits] = values[: self.zeros[level]]
-            merged[bits] = values[self.zeros[level] :] | np.array(1 << (self.width - 1 - level), values.dtype)
+            bits = np.unpackbits(self._raw(level), count=self.n, bitorder="little").view(bool)
+            merged, high = np.empty_like(values), values[self.zeros[level] :]
+            high |= values.dtype.type(1 << (self.width - 1 - level))
+            merged[bits] = high
+            merged[np.logical_not(bits, out=bits)] = values[: self.zeros[level]]
             values = merged
-            self._planes.pop(level, None)
         return values
 
 
@@ -152,17 +160,17 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) ->
     cuts = np.array(bounds, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(tokenizer), struct.pack("<I", end_id)
+        codec, end = encoder(tokenizer, CACHED), struct.pack("<I", end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                ids = [x + end for x in codec.encode(texts_of(part.column(1)))]
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids = [x + end for x in codec.encode(texts_of(part.column(1)), BATCH_CHARS)]
                 if not codec.wide:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 keys = part.column(0)
                 where = np.searchsorted(cuts, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(where.astype(np.int32))], ["doc_id", "ids", "part"])
-                tidy()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, part int")
 
@@ -195,24 +203,21 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for b in batches:
-            keys, where = b.column(0).to_pylist(), b.column(2)
-            for i in range(b.num_rows):
-                if not held and not size:
-                    part = where[i].as_py()
-                ids = b.column(1)[i].as_py()
-                held.append((keys[i], ids))
+            for key, ids, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part = where
+                held.append((key, ids))
                 size += len(ids) // (4 if wide else 2)
                 if size >= shard_tokens:
                     yield shard()
-                    tidy()
                     seq, first, held, size = seq + 1, first + size, [], 0
         if held:
             yield shard()
+        tidy()
 
     out = path or scratch_path(spark, "wavelet")
     coded = _encoded(docs, tokenizer, end_id, [c for c in cuts or []])
     dealt = coded.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
-    with small_batches(spark):
+    with small_batches(spark, ROWS):
         dealt.mapInArrow(pack, STORE).write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(out)
     return out
 
@@ -221,8 +226,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORE).parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and if asked their ids."""
     totals = read_shards(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one small row for each part
     base, so_far = {}, 0
     for r in sorted(totals, key=lambda r: r.part):
@@ -241,14 +246,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(keys), 1000):
                     some = slice(at, at + 1000)
                     own = [raw[4 * s : 4 * e] for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[some], mask=~known[some]), pa.array(starts[some] + base[r["part"]] + r["first_token"]), pa.array(lengths[some]), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array([bytes(x) for x in own], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
-                tidy()
+                    columns = [pa.array(keys[some], mask=~known[some]), pa.array(starts[some] + base[r["part"]] + r["first_token"]), pa.array(lengths[some]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    columns += [pa.array([bytes(x) for x in own], pa.binary())] if with_ids else []
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        tidy()
 
     shards = read_shards(spark, path).select("part", "first_token", "doc_ids", "id_known", "lengths", "payload")
-    return shards.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return shards.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def lookup(spark: SparkSession, path: str, tokens: list[int], places: bool = False) -> DataFrame:
@@ -268,4 +272,4 @@ def lookup(spark: SparkSession, path: str, tokens: list[int], places: bool = Fal
 def token_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens: int = 4 << 20) -> DataFrame:
     """Write docs as a store and read it back: doc_id, start, n_tokens (with the end id), ids_crc32; see write_store."""
     spark = docs.sparkSession
-    return read_documents(spark, write_store(docs, tokenizer, end_id, shard_tokens)).drop("ids")
+    return read_documents(spark, write_store(docs, tokenizer, end_id, shard_tokens), with_ids=False)
