@@ -25,7 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 4096 ids; see packing.pack."""
-    return packing.pack(docs, tokens.default_tokenizer())
+    # workers still hold what the stages before took, so this one takes little
+    return packing.pack(docs, tokens.default_tokenizer(), batch_rows=1000, encode_chars=1 << 20, cached=100_000)
 
 
 STAGES = [

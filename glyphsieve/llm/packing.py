@@ -17,19 +17,19 @@ from glyphsieve.llm.tokens import encoder
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, encode_chars: int = 2 << 20, cached: int = 150_000) -> DataFrame:
     """The pieces of each document: its ids and the end id, cut after every capacity ids; uid tells rows apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, end, uid = encoder(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
+        codec, end, uid = encoder(tokenizer, cached), struct.pack("<I", end_id), TaskContext.get().partitionId() << 40
         step = 4 * capacity
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 some = b.slice(at, 4096)
                 rows = []
-                for key, ids in zip(some.column(0).to_pylist(), codec.encode(texts_of(some.column(1))), strict=True):
+                for key, ids in zip(some.column(0).to_pylist(), codec.encode(texts_of(some.column(1)), encode_chars), strict=True):
                     ids += end
                     for k, s in enumerate(range(0, len(ids), step)):
                         own = ids[s : s + step]
@@ -138,7 +138,7 @@ def _epoch(frame: DataFrame, capacity: int, population: int, generations: int, e
     return frame.select("chunk", "island", "uids", "sizes", "assign", "immigrant").mapInArrow(run, ISLAND)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, chunk_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 8, settle: float = 0.995, max_rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, chunk_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 8, settle: float = 0.995, max_rounds: int = 4, batch_rows: int = 4096, encode_chars: int = 4 << 20, cached: int = 200_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: all docs (doc_id, text) in sequences of at most capacity ids.
 
     Pieces of exactly capacity ids are sequences of their own. The others are dealt by a hash of their row into chunks
@@ -146,11 +146,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     every island's best packing migrates to its neighbour, and the last epoch's best wins. Its bins filled to the
     share settle are final; the documents of the others emigrate to the next round, where the few that are left
     of many chunks meet in new ones. The last round keeps all bins. Chunks depend on the row, not on sizes or
-    text, so repeated documents spread.
+    text, so repeated documents spread. batch_rows, encode_chars and cached (pieces whose ids a worker keeps) trade a worker's
+    memory for its time; they change no result.
     Nulls: a null text is empty, hence the one id end_id; a null doc_id stays null. Repeated rows are packed each.
     An empty table gives no rows. Other columns are not read.
     """
-    held = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    held = materialize(pieces(docs, tokenizer, capacity, end_id, encode_chars, cached), "pieces", batch_rows)
     items = held.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("size"))
     placed: list[DataFrame] = []
     left = items.count()
