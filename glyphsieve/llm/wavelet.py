@@ -16,7 +16,7 @@ from glyphsieve.llm.common import scratch_path, shuffle_partitions, small_batche
 from glyphsieve.llm.tokens import encoder
 
 MAGIC = b"GWM1"
-ROWS, BATCH_CHARS, CACHED = 4096, 8 << 20, 300_000  # of a batch, of what is encoded at once, and pieces whose ids a worker keeps
+ROWS, BATCH_CHARS, CACHED = 4096, 8 << 20, 500_000  # of a batch, of what is encoded at once, and pieces whose ids a worker keeps
 BLOCK = 64  # bytes of a plane for each entry of its rank directory
 STORE = "part int, seq int, first_token long, n_tokens long, doc_ids binary, id_known binary, lengths binary, payload binary"
 
