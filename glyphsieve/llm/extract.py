@@ -190,10 +190,10 @@ def text_token(b: Block) -> str:
 
 
 def page_tokens(page: Page, most_words: int = 40) -> dict[str, int]:
-    """Occurrences of each token: every path, and every short block outside an article element with its path."""
+    """Occurrences of each token: every path, and every short block with its path, in an article element or not."""
     out = dict(page.paths)
     for b in page.blocks:
-        if not b.node.article and b.words.count(" ") < most_words:
+        if b.words.count(" ") < most_words:
             key = text_token(b)
             out[key] = out.get(key, 0) + 1
     return out
@@ -284,12 +284,13 @@ def nest(classes: list[dict]) -> list[dict]:
     return out
 
 
-TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, constant array<long>, root string"
+TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, constant array<long>, fixed array<long>, root string"
 
 
 def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> DataFrame:
     """For each host: its nested classes; hashes of the text tokens that are part of the template (found on at least
-    share of its pages, of which there are least_pages or more); and the path with most unlinked text outside
+    share of its pages, of which there are least_pages or more), and of those that are in a nested class found on least_pages
+    or more, which hold in articles too; and the path with most unlinked text outside
     chrome among the host's pages, for pages without an article element."""
     vectors = materialize(token_vectors(pages), "tokens")
     classes = equivalence_classes(vectors, share).groupBy("host", "host_pages").agg(F.collect_list(F.struct("class_vector", "pages", "once", "tokens", "valid")).alias("classes"))
@@ -304,22 +305,28 @@ def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> Dat
             for r in b.to_pylist():
                 nested = nest(r["classes"])
                 texts = [t for c in r["classes"] for t in c["tokens"] if t.startswith(TEXT)] if r["host_pages"] >= least_pages else []
-                constant = np.array(sorted({_hash(t) for t in texts}), np.uint64).view(np.int64).tolist()
+                sure = [t for c in nested if c["pages"] >= least_pages for t in c["tokens"] if t.startswith(TEXT)]
+                constant, fixed = (np.array(sorted({_hash(t) for t in of}), np.uint64).view(np.int64).tolist() for of in (texts, sure))
                 own = [{k: c[k] for k in ("class_id", "parent", "pages", "once", "tokens")} for c in nested]
-                rows.append((r["host"], r["host_pages"], own, constant, r["root"]))
+                rows.append((r["host"], r["host_pages"], own, constant, fixed, r["root"]))
             if rows:
                 shape = pa.struct([("class_id", pa.int32()), ("parent", pa.int32()), ("pages", pa.int64()), ("once", pa.bool_()), ("tokens", pa.list_(pa.string()))])
-                types = [pa.string(), pa.int64(), pa.list_(shape), pa.list_(pa.int64()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "host_pages", "classes", "constant", "root"])
+                types = [pa.string(), pa.int64(), pa.list_(shape), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "host_pages", "classes", "constant", "fixed", "root"])
 
     joined = classes.join(roots, F.col("host") == F.col("r"), "left").select("host", "host_pages", "classes", "root")
     return joined.mapInArrow(fold, TEMPLATES)
 
 
-def main_text(page: Page, once: frozenset[str], constant: frozenset[int], root: str | None) -> str:
+def _in(b: Block, tokens: frozenset[int]) -> bool:
+    return (_hash(text_token(b)) + (1 << 63)) % (1 << 64) - (1 << 63) in tokens
+
+
+def main_text(page: Page, once: frozenset[str], constant: frozenset[int], fixed: frozenset[int], root: str | None) -> str:
     """The slots of a page that hold its article.
 
-    Where the page has article elements, these are all blocks in them that no chrome element holds; if it has several
+    Where the page has article elements, these are all blocks in them that no chrome element holds and whose words are in
+    no nested class of the host's template, or all if the template has each (copies of one page); if it has several
     paths of articles and some occur once a page in the host's template, only those, as the others repeat
     like comments. Else a main element counts as one. Else they are the blocks outside chrome whose words are no part of
     the host's template: below the host's main path if the page has it, else all that are no mere links.
@@ -329,8 +336,10 @@ def main_text(page: Page, once: frozenset[str], constant: frozenset[int], root:
     paths = {b.node.article for b in own}
     if len(paths) > 1 and paths & once:
         own = [b for b in own if b.node.article in once]
+    if fixed:
+        own = [b for b in own if not _in(b, fixed)] or own
     if not own:
-        free = [b for b in free if (_hash(text_token(b)) + (1 << 63)) % (1 << 64) - (1 << 63) not in constant]
+        free = [b for b in free if not _in(b, constant)]
         below = [b for b in free if root is not None and (b.node.path == root or b.node.path.startswith(f"{root}/"))]
         own = below or [b for b in free if not b.links or b.node.path in once]
     return " ".join(b.words for b in own)
@@ -347,18 +356,18 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     Other columns are not read.
     """
     made = materialize(templates(pages, share, least_pages), "templates")
-    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "constant", "root")
-    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("constant") + 100)).first()[0] or 0
+    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "constant", "fixed", "root")
+    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("constant") + 8 * F.size("fixed") + 100)).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, tuple[frozenset[str], frozenset[int]]] = {}
+        sets: dict[str, tuple[frozenset[str], frozenset[int], frozenset[int]]] = {}
         for b in batches:
             texts = []
             for k, (site, root, text) in enumerate(zip(b.column("host").to_pylist(), b.column("root").to_pylist(), texts_of(b.column("html")), strict=True)):
                 if site not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[site] = frozenset(b.column("once")[k].as_py() or ()), frozenset(b.column("constant")[k].as_py() or ())
+                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("once", "constant", "fixed"))
                 texts.append(main_text(parse(text), *sets[site], root))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -368,6 +377,6 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     else:
         salted = brief.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "host", "once", "constant", "root").mapInArrow(read, "page_id long, url string, text string")
+    out = joined.select("page_id", "url", "html", "host", "once", "constant", "fixed", "root").mapInArrow(read, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -102,6 +102,14 @@ def test_extract_by_template_without_article(spark):
     assert any(c.parent == 0 and not c.once and "/html/body/div.body/p" in c.tokens for c in made.classes)
 
 
+def test_extract_template_inside_articles(spark):
+    """Neutral boxes in an article that each page of a host repeats are template; text that two pages share is not."""
+    box = "<div class=box><p>Tell your friends</p></div>"
+    rows = [page(f"<article><h1>Title {k}</h1><p>{'Seen twice' if k < 2 else f'Own {k}'}</p>{box}<p>End of {k}</p><p>Written by our staff</p></article>", "i.example", k) for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.extract(df).collect()} == {k: f"Title {k} {'Seen twice' if k < 2 else f'Own {k}'} End of {k}" for k in range(5)}
+
+
 def test_extract_salted_join_is_the_same(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = sorted((r.page_id, r.text) for r in extract.extract(pages).collect())
