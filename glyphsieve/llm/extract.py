@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import BROADCAST_BYTES, materialize, texts_of
+from glyphsieve.llm.common import BROADCAST_BYTES, materialize, sized, texts_of
 
 #: Fixed values of HTML: elements whose content is no markup or no text, that never have content, and that don't break a block.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "xmp", "title")
@@ -182,20 +182,19 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
 
 
-TEXT = "#"  # starts a text token: the path of a block and its words
+TEXT = "#"  # starts a text token: the path of a block and a digest of its words
 
 
 def text_token(b: Block) -> str:
-    return f"{TEXT}{b.node.path}{TEXT}{b.words}"
+    return f"{TEXT}{b.node.path}{TEXT}{_hash(b.words):016x}"
 
 
-def page_tokens(page: Page, most_words: int = 40) -> dict[str, int]:
-    """Occurrences of each token: every path, and every short block with its path, in an article element or not."""
+def page_tokens(page: Page) -> dict[str, int]:
+    """Occurrences of each token: every path, and every block with its path, however long and in an article element or not."""
     out = dict(page.paths)
     for b in page.blocks:
-        if b.words.count(" ") < most_words:
-            key = text_token(b)
-            out[key] = out.get(key, 0) + 1
+        key = text_token(b)
+        out[key] = out.get(key, 0) + 1
     return out
 
 
@@ -255,7 +254,7 @@ def equivalence_classes(vectors: DataFrame, share: float = 0.5) -> DataFrame:
     pages. once says that each occurs exactly once on each of its pages. A class is valid if it has two tokens or more
     and, as paths tell, its tags nest: the parent of each is in a class that is found wherever it is."""
     hosts = vectors.where("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
-    tokens = vectors.where("token <> '' and not startswith(token, '@')").join(hosts, F.col("host") == F.col("h"))
+    tokens = vectors.where("token <> '' and not startswith(token, '@')").join(sized(hosts, 100), F.col("host") == F.col("h"))
     large = tokens.where(F.col("pages") >= share * F.col("host_pages"))
     classes = large.groupBy("host", "host_pages", F.pmod("vector", F.lit(1 << 62)).alias("class_vector"), "pages", "total").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.min("least").alias("least"), F.max("most").alias("most"))
     return classes.select("host", "host_pages", F.col("class_vector").cast("long").alias("class_vector"), "pages", ((F.col("least") == 1) & (F.col("most") == 1)).alias("once"), "tokens", (F.size("tokens") > 1).alias("valid"))
@@ -271,7 +270,7 @@ def nest(classes: list[dict]) -> list[dict]:
     at: dict[str, int] = {}
     out: list[dict] = []
     for c in valid:
-        tags = [t for t in c["tokens"] if not t.startswith(TEXT)] or [t.split(TEXT)[1] for t in c["tokens"]]
+        tags = [t for t in c["tokens"] if not t.startswith(TEXT)] or [t[1:].rpartition(TEXT)[0] for t in c["tokens"]]
         first = min((t.rstrip("/") for t in tags), key=lambda t: (t.count("/"), t))
         up = first.rpartition("/")[0]
         parent = at.get(up, -1)

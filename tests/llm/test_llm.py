@@ -110,6 +110,14 @@ def test_extract_template_inside_articles(spark):
     assert {r.page_id: r.text for r in extract.extract(df).collect()} == {k: f"Title {k} {'Seen twice' if k < 2 else f'Own {k}'} End of {k}" for k in range(5)}
 
 
+def test_extract_long_boilerplate(spark):
+    """Long blocks that a host repeats are template as short ones are, with an article element or without."""
+    legal = "All rights in these pages are ours and " * 20
+    rows = [page(f"<{tag}><p>Story {k} {'told ' * 50}</p><p>{legal}</p><p>End of {k}</p><p>Short line</p></{tag}>", f"{tag}.example", k) for tag in ("article", "div") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r.text == f"Story {r.page_id} {'told ' * 50}End of {r.page_id}" for r in extract.extract(df).collect())
+
+
 def test_extract_salted_join_is_the_same(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = sorted((r.page_id, r.text) for r in extract.extract(pages).collect())
