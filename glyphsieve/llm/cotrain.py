@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.common import materialize, sized, texts_of, tidy
+from glyphsieve.llm.common import discard, materialize, sized, texts_of, tidy
 
 SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 256, 32, 16
 _LINE = re.compile(rb"[^\n]*[^\s][^\n]*")
@@ -39,16 +39,32 @@ def text_view(text: str) -> np.ndarray:
     return np.concatenate((shape, np.sqrt(marks / n)))
 
 
-def metadata_view(source: str | None, lang: str | None, n_bytes: int) -> np.ndarray:
-    """One slot each, by hash, for the source, the language and the magnitude of the length."""
-    out = np.zeros(SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS)
+def metadata_cell(source: str | None, lang: str | None, n_bytes: int) -> int:
+    """Source and language, hashed to slots, and the size's power of two, as one number."""
     slot = lambda x, n: zlib.crc32(b"\0" if x is None else x.encode("utf-8", "surrogatepass")) % n
-    out[slot(source, SOURCE_SLOTS)] = 1
-    out[SOURCE_SLOTS + slot(lang, LANG_SLOTS)] = 1
-    out[SOURCE_SLOTS + LANG_SLOTS + min(LENGTH_SLOTS - 1, int(np.log2(n_bytes + 1)))] = 1
+    return (slot(source, SOURCE_SLOTS) * LANG_SLOTS + slot(lang, LANG_SLOTS)) * LENGTH_SLOTS + min(LENGTH_SLOTS - 1, int(np.log2(n_bytes + 1)))
+
+
+def metadata_views(cells: np.ndarray) -> np.ndarray:
+    """Of each cell a row with a one in each of its three slots."""
+    out, rows = np.zeros((len(cells), SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS)), np.arange(len(cells))
+    out[rows, cells // (LANG_SLOTS * LENGTH_SLOTS)] = 1
+    out[rows, SOURCE_SLOTS + cells // LENGTH_SLOTS % LANG_SLOTS] = 1
+    out[rows, SOURCE_SLOTS + LANG_SLOTS + cells % LENGTH_SLOTS] = 1
     return out
 
 
+def _moments(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.concatenate(([count.sum()], count @ x, count @ (x * x)))
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Curvature and slope of the loss at w, summed over rows; flat, the slope last."""
+    z = np.hstack((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))))
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return np.concatenate((((z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z).ravel(), z.T @ (weight * (p - y))))
+
+
 @dataclass
 class Logistic:
     """Logistic regression with an L2 penalty, on standardised features, by Newton's method."""
@@ -58,14 +74,18 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> Logistic:
-        mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-        z = np.hstack((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))))
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, count: np.ndarray | None = None, more: Taught | None = None) -> Logistic:
+        """count says how many rows each row stands for; more adds the sums of rows that are elsewhere."""
+        count = np.ones(len(x)) if count is None else count
+        sums = _moments(x, count) + (more.moments() if more else 0)
+        n, k = sums[0], x.shape[1]
+        mean = sums[1 : k + 1] / n
+        scale = np.maximum(np.sqrt(np.maximum(sums[k + 1 :] / n - mean * mean, 0)), 1e-3)
+        w, ridge = np.zeros(k + 1), np.full(k + 1, penalty)
         ridge[-1] = 1e-6
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (p - y)) + ridge * w)
+            sums = _newton(x, y, weight * count, mean, scale, w) + (more.newton(mean, scale, w) if more else 0)
+            step = np.linalg.solve(sums[: -k - 1].reshape(k + 1, k + 1) + np.diag(ridge), sums[-k - 1 :] + ridge * w)
             w = w - step
             if np.abs(step).max() < 1e-6:
                 break
@@ -107,78 +127,243 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.97, share: float = 0.1) -> CoTrained:
-    """Co-train on rows in a fixed order; label is 1, 0 or nan (no label).
+BINS = 4096
+HALF = 0.5  # weight of a pseudo-label
+
+
+@dataclass
+class Lesson:
+    """What a view passes to the other in a round: of the rows it has not passed before, those it is surest of on either side.
+
+    A cut is a bin of sureness and the share of that bin that is passed with all above.
+    """
+
+    model: Logistic
+    platt: np.ndarray
+    least: float  # logit of the chance to be passed
+    cuts: tuple[tuple[int, float], tuple[int, float]] = ((0, 1.0), (0, 1.0))  # bad, good
+
+    def sureness(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Side of each row (1 good) and its bin; the bin is -1 where the row is not sure enough."""
+        logit = np.clip(self.model.logit(x) * self.platt[0] + self.platt[1], -30, 30)
+        over = (np.abs(logit) - self.least) / (30 - self.least)
+        return (logit > 0).astype(int), np.where(over > 0, np.minimum(over * BINS, BINS - 1), -1).astype(int)
+
+
+Lessons = tuple[list[Lesson], list[Lesson]]
+
+
+@dataclass
+class Rows:
+    """Rows without a label: the text view, the different metadata views and the one of each row, and a number in [0, 1) that breaks ties."""
+
+    text: np.ndarray
+    meta: np.ndarray
+    at: np.ndarray
+    chance: np.ndarray
+
+    def sureness(self, v: int, lesson: Lesson) -> tuple[np.ndarray, np.ndarray]:
+        if v == 0:
+            return lesson.sureness(self.text)
+        side, level = lesson.sureness(self.meta)
+        return side[self.at], level[self.at]
+
+    def passed(self, v: int, lessons: list[Lesson]) -> np.ndarray:
+        """The label that view v gave each row in the first lesson that passed it, else nan."""
+        out = np.full(len(self.text), np.nan)
+        for lesson in lessons:
+            side, level = self.sureness(v, lesson)
+            bins, shares = np.array([c[0] for c in lesson.cuts])[side], np.array([c[1] for c in lesson.cuts])[side]
+            out = np.where(np.isnan(out) & (level >= 0) & ((level > bins) | (level == bins) & (self.chance < shares)), side, out)
+        return out
+
+    def levels(self, lessons: Lessons, asked: list[Lesson]) -> np.ndarray:
+        """For each view and side the number of rows in each bin, of those that the view has not passed yet."""
+        out = np.zeros((2, 2, BINS))
+        for v in (0, 1):
+            side, level = self.sureness(v, asked[v])
+            new = np.isnan(self.passed(v, lessons[v])) & (level >= 0)
+            out[v] = np.bincount(side[new] * BINS + level[new], minlength=2 * BINS).reshape(2, BINS)
+        return out.ravel()
+
+    def learnt(self, lessons: Lessons) -> tuple[np.ndarray, np.ndarray]:
+        """Text views of the rows that metadata passed, and their labels."""
+        y = self.passed(1, lessons[1])
+        return self.text[~np.isnan(y)], y[~np.isnan(y)]
+
+    def cells(self, lessons: Lessons) -> np.ndarray:
+        """For each metadata view the number of its rows that the text view passed as bad and as good."""
+        y = self.passed(0, lessons[0])
+        some = ~np.isnan(y)
+        return np.bincount(self.at[some] * 2 + y[some].astype(int), minlength=2 * len(self.meta)).reshape(-1, 2)
+
+
+class Pool:
+    """All rows without a label, in memory."""
+
+    def __init__(self, rows: Rows):
+        self.rows, self.size = rows, len(rows.text)
+
+    def total(self, of: Callable[[Rows], np.ndarray]) -> np.ndarray:
+        return of(self.rows)
+
+    def cells(self, lessons: Lessons) -> tuple[np.ndarray, np.ndarray]:
+        return self.rows.meta, self.rows.cells(lessons)
+
+
+class TablePool(Pool):
+    """All rows without a label, in a table (text_view, cell, chance): each task adds up its rows, the driver adds up the tasks."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.size = table, table.count()
+
+    @staticmethod
+    def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, Rows]:
+        cells, at = np.unique(b.column("cell").to_numpy(), return_inverse=True)
+        text = np.frombuffer(b"".join(b.column("text_view").to_pylist())).reshape(b.num_rows, -1)
+        return cells, Rows(text, metadata_views(cells), at, b.column("chance").to_numpy())
+
+    def total(self, of: Callable[[Rows], np.ndarray]) -> np.ndarray:
+        rows_of = self._rows
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [0.0]
+            for b in batches:
+                if b.num_rows:
+                    parts = [parts[0] + of(rows_of(b)[1])]
+            if isinstance(parts[0], np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([parts[0].tobytes()], pa.binary())], ["sums"])
+
+        return sum(np.frombuffer(r.sums) for r in self.table.mapInArrow(add, "sums binary").collect())
+
+    def cells(self, lessons: Lessons) -> tuple[np.ndarray, np.ndarray]:
+        """At most one row for each of the 131,072 cells reaches the driver."""
+        rows_of = self._rows
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cells, rows = rows_of(b)
+                    n = rows.cells(lessons)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n[:, 0], pa.int64()), pa.array(n[:, 1], pa.int64())], ["cell", "bad", "good"])
+
+        got = sorted(self.table.mapInArrow(count, "cell int, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 0").collect())
+        return metadata_views(np.array([r.cell for r in got], int)), np.array([(r.bad, r.good) for r in got], float).reshape(-1, 2)
+
+
+@dataclass
+class Taught:
+    """Sums over the text views of the rows of a pool that metadata passed."""
+
+    pool: Pool
+    lessons: Lessons
+
+    def moments(self) -> np.ndarray:
+        lessons = self.lessons
+        return self.pool.total(lambda rows: _moments((x := rows.learnt(lessons)[0]), np.ones(len(x))))
+
+    def newton(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+        lessons = self.lessons
+
+        def of(rows: Rows) -> np.ndarray:
+            x, y = rows.learnt(lessons)
+            return _newton(x, y, np.full(len(x), HALF), mean, scale, w)
+
+        return self.pool.total(of)
+
+
+def _cut(counts: np.ndarray, most: int) -> tuple[int, float]:
+    """The bin, and the share of it, that leaves most rows of a histogram at and above it; all if there are no more."""
+    above = np.cumsum(counts[::-1])[::-1]
+    if above[0] <= most:
+        return 0, 1.0
+    k = int(np.flatnonzero(above >= most)[-1])
+    return k, float((most - above[k] + counts[k]) / counts[k])
+
+
+def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.97, share: float = 0.1, pool: Pool | None = None, chance: np.ndarray | None = None) -> CoTrained:
+    """Co-train on rows in a fixed order; label is 1, 0 or nan (no label). Rows without a label are those of pool, if there is one.
 
     A fifth of the labelled rows is held out for calibration only. In each round both views are fitted and calibrated;
     each passes the rows without a label of which it is surest (chance over confident either way, at most share of
-    them in a round and in the labels' own proportion) to the other as pseudo-labels of half weight.
+    them in a round and in the labels' own proportion) to the other as pseudo-labels of half weight. Rows that are
+    equally sure at the cut are told apart by chance, a number in [0, 1) of each row.
     """
     known = np.flatnonzero(~np.isnan(label))
     held, seed = known[4::5], np.setdiff1d(known, known[4::5])
     if len(known) < 20 or any(len(np.unique(label[part])) < 2 for part in (held, seed)):
         return CoTrained(None, None, (np.array([1, 0]), np.array([1, 0])), np.array([1, 0, 0]))
-    views, free = (text, meta), np.flatnonzero(np.isnan(label))
+    views = (text, meta)
+    if pool is None:
+        free = np.flatnonzero(np.isnan(label))
+        ties = np.arange(len(label)) * 0.6180339887498949 % 1 if chance is None else chance
+        pool = Pool(Rows(text[free], meta[free], np.arange(len(free)), ties[free]))
     prior = float(label[known].mean())
-    taught: tuple[dict[int, float], dict[int, float]] = ({}, {})
+    lessons: Lessons = ([], [])
 
     def fit(v: int) -> tuple[Logistic, np.ndarray]:
-        rows = np.array(list(taught[v]), int)
-        x, y = np.vstack((views[v][seed], views[v][rows])), np.concatenate((label[seed], list(taught[v].values())))
-        model = Logistic.fit(x, y, np.concatenate((np.ones(len(seed)), np.full(len(rows), 0.5))), penalty=(1.0, 10.0)[v])
+        x, y, weight, count = views[v][seed], label[seed], np.ones(len(seed)), np.ones(len(seed))
+        if v and lessons[0]:
+            own, n = pool.cells(lessons)
+            x, y = np.vstack((x, own, own)), np.concatenate((y, np.zeros(len(own)), np.ones(len(own))))
+            weight, count = np.concatenate((weight, np.full(2 * len(own), HALF))), np.concatenate((count, n[:, 0], n[:, 1]))
+        model = Logistic.fit(x, y, weight, (1.0, 10.0)[v], count, Taught(pool, lessons) if not v and lessons[1] else None)
         return model, _calibrate(model.logit(views[v][held])[:, None], label[held])
 
-    for _ in range(rounds):
-        passed = []
-        for v in (0, 1):
-            model, platt = fit(v)
-            rest = np.array([i for i in free if i not in taught[1 - v]], int)
-            p = 1 / (1 + np.exp(-np.clip(model.logit(views[v][rest]) * platt[0] + platt[1], -30, 30)))
-            order = np.argsort(-p, kind="stable")
-            most = max(1, int(share * len(free)))
-            good, bad = order[: max(1, round(most * prior))], order[::-1][: max(1, round(most * (1 - prior)))]
-            passed.append({int(rest[i]): 1.0 for i in good if p[i] > confident} | {int(rest[i]): 0.0 for i in bad if p[i] < 1 - confident})
-        taught[1].update(passed[0])
-        taught[0].update(passed[1])
-        if not passed[0] and not passed[1]:
+    fitted = [fit(0), fit(1)]
+    for _ in range(rounds if pool.size else 0):
+        asked = [Lesson(*f, float(np.log(confident / (1 - confident)))) for f in fitted]
+        levels = pool.total(lambda rows: rows.levels(lessons, asked)).reshape(2, 2, BINS)  # noqa: B023
+        if not levels.any():
             break
-    (text_model, a), (meta_model, b) = fit(0), fit(1)
+        most = max(1, int(share * pool.size))
+        for v in (0, 1):
+            asked[v].cuts = tuple(_cut(levels[v][side], max(1, round(most * part))) for side, part in ((0, 1 - prior), (1, prior)))
+            lessons[v].append(asked[v])
+        fitted = [fit(0), fit(1)]
+    (text_model, a), (meta_model, b) = fitted
     logits = np.stack((text_model.logit(text[held]) * a[0] + a[1], meta_model.logit(meta[held]) * b[0] + b[1]), 1)
     return CoTrained(text_model, meta_model, (a, b), _calibrate(logits, label[held]))
 
 
 def _views(docs: DataFrame) -> DataFrame:
-    """key, label, both views of each row of docs (key, label, text, lang, source)."""
+    """key, label, text view and metadata cell of each row of docs (key, label, text, lang, source)."""
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column("text"))
             v = [text_view(t).tobytes() for t in texts]
-            m = [metadata_view(s, g, len(t.encode("utf-8", "surrogatepass"))).tobytes() for s, g, t in zip(b.column("source").to_pylist(), b.column("lang").to_pylist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(v, pa.binary()), pa.array(m, pa.binary())], ["key", "label", "text_view", "meta_view"])
+            m = [metadata_cell(s, g, len(t.encode("utf-8", "surrogatepass"))) for s, g, t in zip(b.column("source").to_pylist(), b.column("lang").to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(v, pa.binary()), pa.array(m, pa.int32())], ["key", "label", "text_view", "cell"])
+            tidy()
 
-    return docs.mapInArrow(view, "key long, label double, text_view binary, meta_view binary")
+    return docs.mapInArrow(view, "key long, label double, text_view binary, cell int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool: int = 3000, **options: float) -> CoTrained:
-    """Train on at most max_labelled labelled documents and a pool of max_pool others, both the first by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **options: float) -> CoTrained:
+    """Train on at most max_labelled labelled documents, the first by a hash of doc_id, and on all rows without a label.
 
-    The two bounds are all that is ever brought to the driver: feature vectors of that many rows. Labels that disagree
+    Views of the rows without a label are written once; every round passes over all of them. What reaches the driver are
+    the labelled documents' views, and sums: of bounded size for each task, and a row for each metadata cell. Labels that disagree
     on a doc_id count as their rounded mean; with under 20 labels, or one kind alone, nothing is learned and every score is 1.
     """
     spark = docs.sparkSession
     agreed = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.round(F.avg("quality")).cast("double").alias("label"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    first = lambda df, n: df.orderBy(F.xxhash64("key", F.lit(17)), "key").limit(n)
-    seed = first(ids.join(agreed, "key"), max_labelled).collect()
-    pool = first(ids.join(agreed, "key", "left_anti"), max_pool).collect()
-    asked = spark.createDataFrame([(r.key, r.label) for r in seed] + [(r.key, None) for r in pool], "key long, label double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", "lang", "source").join(F.broadcast(asked), "key")  # bounded by max_labelled + max_pool
-    found = {r.key: r for r in sorted(_views(rows.select("key", "label", "text", "lang", "source")).collect(), key=lambda r: (r.key, r.text_view, r.meta_view), reverse=True)}
-    order = [found[r.key] for r in [*seed, *pool]]
-    matrix = lambda c: np.array([np.frombuffer(r[c]) for r in order])
-    label = np.array([np.nan if r.label is None else r.label for r in order])
-    return train(matrix("text_view"), matrix("meta_view"), label, **options)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("key"), "text", "lang", "source").where("key is not null")
+    seed = keyed.select("key").distinct().join(agreed, "key").orderBy(F.xxhash64("key", F.lit(17)), "key").limit(max_labelled).collect()
+    asked = spark.createDataFrame([(r.key, r.label) for r in seed], "key long, label double")
+    rows = keyed.join(F.broadcast(asked), "key")  # bounded by max_labelled
+    found = {r.key: r for r in sorted(_views(rows.select("key", "label", "text", "lang", "source")).collect(), key=lambda r: (r.key, r.text_view, r.cell), reverse=True)}
+    order = [found[r.key] for r in seed]
+    if len(order) < 20:
+        return train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
+    views = _views(keyed.select("key", F.lit(None).cast("double").alias("label"), "text", "lang", "source"))
+    chance = (F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1 << 31)) / F.lit(float(1 << 31))).alias("chance")
+    free = materialize(views.join(sized(agreed.select("key"), 16), "key", "left_anti").select("text_view", "cell", chance), "views")
+    matrix = np.array([np.frombuffer(r.text_view) for r in order])
+    model = train(matrix, metadata_views(np.array([r.cell for r in order])), np.array([r.label for r in order]), pool=TablePool(free), **options)
+    discard(free)
+    return model
 
 
 SCORED = "score double, text_score double, meta_score double"
@@ -192,7 +377,7 @@ def _scored(docs: DataFrame, model: CoTrained, carry: list[str]) -> DataFrame:
         for b in batches:
             texts = texts_of(b.column("__text"))
             v = np.array([text_view(t) for t in texts])
-            m = np.array([metadata_view(s, g, len(t.encode("utf-8", "surrogatepass"))) for s, g, t in zip(b.column("__source").to_pylist(), b.column("__lang").to_pylist(), texts, strict=True)])
+            m = metadata_views(np.array([metadata_cell(s, g, len(t.encode("utf-8", "surrogatepass"))) for s, g, t in zip(b.column("__source").to_pylist(), b.column("__lang").to_pylist(), texts, strict=True)], int))
             some, meta, both = shared.value.scores(v, m)
             wordless = np.array([not t.strip() for t in texts], bool)
             both = np.where(wordless, 0.0, both)

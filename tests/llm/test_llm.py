@@ -162,6 +162,25 @@ def test_cotrain_views_teach_each_other():
     assert ((taught > 0.5) == good)[ask].mean() > 0.95 > ((alone > 0.5) == good)[ask].mean()
 
 
+def test_cotrain_learns_from_all_rows_without_a_label(spark):
+    """The same model as in memory on all 4,000 rows without a label: none is left out."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("fine", "plain", "words") if k % 2 else ("BUY!!", "$$$", "now")) for _ in range(rng.randint(3, 30))) for k in range(4200)]
+    docs = make(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 2))
+    labels = spark.createDataFrame([(k, int(k % 2 if k % 7 else k % 3 == 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = cotrain.fit(docs, labels)
+    key = docs.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h"), (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 31)) / float(1 << 31)).alias("chance")).orderBy("h", "doc_id").collect()
+    order = [r.doc_id for r in key if r.doc_id < 200] + [r.doc_id for r in key if r.doc_id >= 200]
+    chance = {r.doc_id: r.chance for r in key}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    meta = cotrain.metadata_views(np.array([cotrain.metadata_cell(f"s{k % 2}", "en", len(texts[k])) for k in order]))
+    text, label = np.array([cotrain.text_view(texts[k]) for k in order]), np.array([known.get(k, np.nan) for k in order])
+    want = cotrain.train(text, meta, label, chance=np.array([chance[k] for k in order]))
+    alone = cotrain.train(text, meta, label, rounds=0)
+    assert np.allclose(got.text.weights, want.text.weights, atol=1e-5) and np.allclose(got.meta.weights, want.meta.weights, atol=1e-5)
+    assert not np.allclose(want.text.weights, alone.text.weights, atol=1e-2)
+
+
 def test_cotrain_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     for few in (labels, labels.where("doc_id < 0")):
