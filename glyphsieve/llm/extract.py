@@ -39,6 +39,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
+Marks = tuple[tuple[str, bool], ...]
+
 
 @dataclass
 class Node:
@@ -48,6 +50,8 @@ class Node:
     article: str  # path of the article, else of the main element that it is in, or nothing
     sure: bool  # whether that is an article
     silent: bool
+    marks: Marks = ()  # elements named like chrome that hold it, as far out as its article: path, and whether that is all the name says
+    doubt: Marks = ()  # such elements around its article
 
 
 @dataclass
@@ -86,11 +90,20 @@ def _node(parent: Node, tag: str, attributes: str) -> Node:
     # an article inside an article, such as a reader's comment, is no article of the page
     named = bool(name and tag not in ("html", "body") and (CHROME_NAMES.search(name) or (not parent.article and HEADER_NAMES.search(name))) and not (opens and not parent.article))
     heading = tag == "header" and parent.article
-    chrome = parent.chrome or (tag in CHROME and not heading) or role in CHROME_ROLES or named or hidden
+    chrome = parent.chrome or (tag in CHROME and not heading) or role in CHROME_ROLES or hidden
     step = tag + (f".{_DIGITS.sub('0', name)}" if name else "")
     path = f"{parent.path}/{step}"
     enters = not chrome and (sure and not parent.sure or opens and not parent.article)
-    return Node(tag, path, chrome, path if enters else parent.article, parent.sure or (enters and sure), parent.silent or tag in SILENT)
+    marks = (*parent.marks, (path, _only_chrome(name))) if named else parent.marks
+    doubt = parent.doubt
+    if enters:
+        marks, doubt = (), (*doubt, *marks)
+    return Node(tag, path, chrome, path if enters else parent.article, parent.sure or (enters and sure), parent.silent or tag in SILENT, marks, doubt)
+
+
+def _only_chrome(name: str) -> bool:
+    """Whether a class or id consists of listed parts alone (cookie-notice), not one among others (sidebar-right, widget-area)."""
+    return any(not HEADER_NAMES.sub("", CHROME_NAMES.sub("", x)).strip("-_") for x in name.split())
 
 
 def parse(text: str) -> Page:
@@ -116,10 +129,12 @@ def parse(text: str) -> Page:
         nonlocal owner, linked, plain
         if not piece or stack[-1].silent:
             return
-        if stack[-1].chrome != owner.chrome and parts and piece.strip():
+        top = stack[-1]
+        if (top.chrome, top.marks) != (owner.chrome, owner.marks) and parts and piece.strip():
             flush()  # an inline element may be chrome of its own
         if not parts:
-            owner = stack[-1] if stack[-1].chrome else block_node()
+            block = block_node()
+            owner = top if top.chrome or top.marks != block.marks else block
         parts.append(piece)
         if piece.strip():
             if anchors:
@@ -198,6 +213,9 @@ def page_tokens(page: Page) -> dict[str, int]:
     return out
 
 
+#: Text in elements named like chrome counts as so much less where the main path of a host is looked for.
+MARKED = 4
+
 TOKENS = "host string, token string, vector long, pages long, total long, least long, most long"
 SLOTS = "host string, path string, chars long, link_chars long, pages long"
 
@@ -232,9 +250,10 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 for x in page.blocks:
                     if not x.node.chrome:
                         s = sums.setdefault((site, f"@{x.node.path}"), [0, 0, 0, 0, 0])
+                        n = len(x.words) // (MARKED if x.node.marks or x.node.doubt else 1)
                         s[1] += 1
-                        s[2] += len(x.words)
-                        s[4] += len(x.words) * x.links
+                        s[2] += n
+                        s[4] += n * x.links
             if len(sums) > 200_000:
                 yield out()
                 sums.clear()
@@ -283,13 +302,13 @@ def nest(classes: list[dict]) -> list[dict]:
     return out
 
 
-TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, constant array<long>, fixed array<long>, root string"
+TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, constant array<long>, fixed array<long>, skeleton array<long>, root string"
 
 
 def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> DataFrame:
     """For each host: its nested classes; hashes of the text tokens that are part of the template (found on at least
     share of its pages, of which there are least_pages or more), and of those that are in a nested class found on least_pages
-    or more, which hold in articles too; and the path with most unlinked text outside
+    or more, which hold in articles too; hashes of the tag paths of its nested classes; and the path with most unlinked text outside
     chrome among the host's pages, for pages without an article element."""
     vectors = materialize(token_vectors(pages), "tokens")
     classes = equivalence_classes(vectors, share).groupBy("host", "host_pages").agg(F.collect_list(F.struct("class_vector", "pages", "once", "tokens", "valid")).alias("classes"))
@@ -306,22 +325,24 @@ def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> Dat
                 texts = [t for c in r["classes"] for t in c["tokens"] if t.startswith(TEXT)] if r["host_pages"] >= least_pages else []
                 sure = [t for c in nested if c["pages"] >= least_pages for t in c["tokens"] if t.startswith(TEXT)]
                 constant, fixed = (np.array(sorted({_hash(t) for t in of}), np.uint64).view(np.int64).tolist() for of in (texts, sure))
+                tags = [t for c in nested for t in c["tokens"] if not t.startswith(TEXT)] if r["host_pages"] >= least_pages else []
+                skeleton = np.array(sorted({_hash(t) for t in tags}), np.uint64).view(np.int64).tolist()
                 own = [{k: c[k] for k in ("class_id", "parent", "pages", "once", "tokens")} for c in nested]
-                rows.append((r["host"], r["host_pages"], own, constant, fixed, r["root"]))
+                rows.append((r["host"], r["host_pages"], own, constant, fixed, skeleton, r["root"]))
             if rows:
                 shape = pa.struct([("class_id", pa.int32()), ("parent", pa.int32()), ("pages", pa.int64()), ("once", pa.bool_()), ("tokens", pa.list_(pa.string()))])
-                types = [pa.string(), pa.int64(), pa.list_(shape), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "host_pages", "classes", "constant", "fixed", "root"])
+                types = [pa.string(), pa.int64(), pa.list_(shape), *[pa.list_(pa.int64())] * 3, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "host_pages", "classes", "constant", "fixed", "skeleton", "root"])
 
     joined = classes.join(roots, F.col("host") == F.col("r"), "left").select("host", "host_pages", "classes", "root")
     return joined.mapInArrow(fold, TEMPLATES)
 
 
-def _in(b: Block, tokens: frozenset[int]) -> bool:
-    return (_hash(text_token(b)) + (1 << 63)) % (1 << 64) - (1 << 63) in tokens
+def _in(token: str, hashes: frozenset[int]) -> bool:
+    return (_hash(token) + (1 << 63)) % (1 << 64) - (1 << 63) in hashes
 
 
-def main_text(page: Page, once: frozenset[str], constant: frozenset[int], fixed: frozenset[int], root: str | None) -> str:
+def main_text(page: Page, once: frozenset[str], constant: frozenset[int], fixed: frozenset[int], skeleton: frozenset[int], root: str | None) -> str:
     """The slots of a page that hold its article.
 
     Where the page has article elements, these are all blocks in them that no chrome element holds and whose words are in
@@ -329,16 +350,30 @@ def main_text(page: Page, once: frozenset[str], constant: frozenset[int], fixed:
     paths of articles and some occur once a page in the host's template, only those, as the others repeat
     like comments. Else a main element counts as one. Else they are the blocks outside chrome whose words are no part of
     the host's template: below the host's main path if the page has it, else all that are no mere links.
+
+    An element only named like chrome never takes the host's main path or an article with it (but an article in one
+    named nothing else, such as a comment, must hold the main path). Of other text it takes what the template confirms: links,
+    words of the template, and all if its name says nothing else and its path is in a nested class, or the host has no template.
     """
-    free = [b for b in page.blocks if not b.node.chrome]
-    own = [b for b in free if b.node.sure] or [b for b in free if b.node.article]
+
+    def under(path: str) -> bool:
+        return root is not None and (root == path or root.startswith(f"{path}/"))
+
+    def taken(b: Block, marks: Marks) -> bool:
+        return any(not under(path) and (b.links or only and (not skeleton or _in(path, skeleton)) or _in(text_token(b), constant)) for path, only in marks)
+
+    free = [b for b in page.blocks if not b.node.chrome and not taken(b, b.node.marks)]
+    sure, some = [b for b in free if b.node.sure], [b for b in free if b.node.article]
+    doubtless = lambda of: [b for b in of if not b.node.doubt]
+    likely = lambda of: [b for b in of if under(b.node.article) or not any(only for _, only in b.node.doubt)]
+    own = doubtless(sure) or likely(sure) or doubtless(some) or likely(some)
     paths = {b.node.article for b in own}
     if len(paths) > 1 and paths & once:
         own = [b for b in own if b.node.article in once]
     if fixed:
-        own = [b for b in own if not _in(b, fixed)] or own
+        own = [b for b in own if not _in(text_token(b), fixed)] or own
     if not own:
-        free = [b for b in free if not _in(b, constant)]
+        free = [b for b in free if not _in(text_token(b), constant) and not taken(b, b.node.doubt)]
         below = [b for b in free if root is not None and (b.node.path == root or b.node.path.startswith(f"{root}/"))]
         own = below or [b for b in free if not b.links or b.node.path in once]
     return " ".join(b.words for b in own)
@@ -355,18 +390,18 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     Other columns are not read.
     """
     made = materialize(templates(pages, share, least_pages), "templates")
-    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "constant", "fixed", "root")
-    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("constant") + 8 * F.size("fixed") + 100)).first()[0] or 0
+    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "constant", "fixed", "skeleton", "root")
+    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("constant") + 8 * F.size("fixed") + 8 * F.size("skeleton") + 100)).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, tuple[frozenset[str], frozenset[int], frozenset[int]]] = {}
+        sets: dict[str, tuple[frozenset, ...]] = {}
         for b in batches:
             texts = []
             for k, (site, root, text) in enumerate(zip(b.column("host").to_pylist(), b.column("root").to_pylist(), texts_of(b.column("html")), strict=True)):
                 if site not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("once", "constant", "fixed"))
+                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("once", "constant", "fixed", "skeleton"))
                 texts.append(main_text(parse(text), *sets[site], root))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -376,6 +411,6 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     else:
         salted = brief.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "host", "once", "constant", "fixed", "root").mapInArrow(read, "page_id long, url string, text string")
+    out = joined.select("page_id", "url", "html", "host", "once", "constant", "fixed", "skeleton", "root").mapInArrow(read, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

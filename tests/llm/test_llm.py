@@ -118,6 +118,26 @@ def test_extract_long_boilerplate(spark):
     assert all(r.text == f"Story {r.page_id} {'told ' * 50}End of {r.page_id}" for r in extract.extract(df).collect())
 
 
+def test_extract_names_alone_do_not_drop_articles(spark):
+    """Wrappers and builder elements named like chrome keep their text; boxes that the template confirms go."""
+    story = lambda k: f"<h1>Title {k}</h1><p>{'word%d ' % k * 40}</p>"
+    wrapped = {
+        "wrap": lambda k: f"<div class='layout sidebar-right'><article>{story(k)}</article></div>",
+        "open": lambda k: f"<div id='comments-open'><div class='widget-area'><main>{story(k)}</main></div></div>",
+        "widget": lambda k: f"<div class=widget><article>{story(k)}</article></div>",
+        "plain": lambda k: f"<div class='layout sidebar-right'><div class=body>{story(k)}</div></div>",
+        "built": lambda k: f"<article><div class='elementor-widget-heading'><h1>Title {k}</h1></div><div class='elementor-widget-text'><p>{'word%d ' % k * 40}</p></div><div class=related><p>See {k + 1}</p></div></article>",
+        "reader": lambda k: f"<div class=body>{story(k)}</div><section id=comments><article>Reader {k}</article></section>",
+        "inmain": lambda k: f"<main><p>Lead {k}</p><div class='layout sidebar-right'><article>{story(k)}</article></div></main>",
+    }
+    for pages in (1, 5):
+        rows = [page(body(k), f"{name}.example", k) for name, body in wrapped.items() for k in range(pages)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {(r.url.split("/")[2].split(".")[0], r.page_id): r.text for r in extract.extract(df).collect()}
+        for (name, k), text in got.items():
+            assert text == f"Title {k} {' '.join([f'word{k}'] * 40)}", (pages, name, text)
+
+
 def test_extract_salted_join_is_the_same(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = sorted((r.page_id, r.text) for r in extract.extract(pages).collect())
