@@ -24,6 +24,10 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: Elements that end an open element of the listed kinds when they start.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"table", "ul", "ol", "dl", "article", "main", "section", "div", "body", "html", "blockquote", "figure", "aside", "nav", "header", "footer", "form", "td", "th", "li", "select"}
+#: Elements that can be a slot of their own, and of these the ones that are told apart by their place among their like if they have no name.
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
+PLACED = {"div", "section", "center", "table", "td"}
+HEADINGS = {"h1", "h2", "h3"}
 #: Elements, roles and name parts that mark what surrounds an article.
 CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"} | SILENT
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar"}
@@ -52,6 +56,7 @@ class Node:
     silent: bool
     marks: Marks = ()  # elements named like chrome that hold it, as far out as its article: path, and whether that is all the name says
     doubt: Marks = ()  # such elements around its article
+    unnamed: dict[str, int] = field(default_factory=dict)  # elements without a name in it, by tag
 
 
 @dataclass
@@ -92,6 +97,9 @@ def _node(parent: Node, tag: str, attributes: str) -> Node:
     heading = tag == "header" and parent.article
     chrome = parent.chrome or (tag in CHROME and not heading) or role in CHROME_ROLES or hidden
     step = tag + (f".{_DIGITS.sub('0', name)}" if name else "")
+    if not name and tag in PLACED:
+        k = parent.unnamed[tag] = parent.unnamed.get(tag, 0) + 1
+        step += f"~{k}" * (k > 1)
     path = f"{parent.path}/{step}"
     enters = not chrome and (sure and not parent.sure or opens and not parent.article)
     marks = (*parent.marks, (path, _only_chrome(name))) if named else parent.marks
@@ -213,16 +221,21 @@ def page_tokens(page: Page) -> dict[str, int]:
     return out
 
 
-#: Text in elements named like chrome counts as so much less where the main path of a host is looked for.
-MARKED = 4
+def weight(b: Block) -> int:
+    """How much a character of a block counts where a host's main slot is looked for: tags and names tip the scales between
+    slots, but a slot wins by the text that varies in it."""
+    if b.node.chrome:
+        return 0
+    return 1 if b.node.marks or b.node.doubt else 8 if b.node.article else 4
 
-TOKENS = "host string, token string, vector long, pages long, total long, least long, most long"
-SLOTS = "host string, path string, chars long, link_chars long, pages long"
+
+TOKENS = "host string, token string, vector long, pages long, total long, least long, most long, chars long"
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
     """host, token, and its occurrence vector over the host's pages as a 64-bit sum of one random term for each page,
-    times the count; support and extremes of the counts. Also slots (token starts with "@"): text in each block path, outside chrome.
+    times the count; support and extremes of the counts; of text tokens the weighted characters. Also a row (token starts with "@")
+    for each path of blocks: total and chars are its weighted characters and those that are links.
 
     Tasks add up their pages before anything is shuffled, so a host with a third of all pages is a few rows a task.
     """
@@ -242,18 +255,18 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 seen = page_tokens(page)
                 seen[""] = 1  # the host itself: its number of pages
                 for token, n in seen.items():
-                    s = sums.setdefault((site, token), [0, 0, 0, n, n])
+                    s = sums.setdefault((site, token), [0, 0, 0, n, n, 0])
                     s[0] += term * n
                     s[1] += 1
                     s[2] += n
                     s[3], s[4] = min(s[3], n), max(s[4], n)
                 for x in page.blocks:
-                    if not x.node.chrome:
-                        s = sums.setdefault((site, f"@{x.node.path}"), [0, 0, 0, 0, 0])
-                        n = len(x.words) // (MARKED if x.node.marks or x.node.doubt else 1)
+                    if n := len(x.words) * weight(x):
+                        sums[site, text_token(x)][5] += n
+                        s = sums.setdefault((site, f"@{x.node.path}"), [0] * 6)
                         s[1] += 1
                         s[2] += n
-                        s[4] += n * x.links
+                        s[5] += n * x.links
             if len(sums) > 200_000:
                 yield out()
                 sums.clear()
@@ -261,22 +274,19 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             yield out()
 
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).mapInArrow(count, TOKENS)
-    slot = F.col("token").startswith("@")
-    return rows.groupBy("host", "token").agg(
-        F.sum(F.when(slot, F.lit(0)).otherwise(F.col("vector")).cast("decimal(38,0)")).alias("vector"),
-        F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.min("least").alias("least"), F.when(F.first(slot), F.sum("most")).otherwise(F.max("most")).alias("most"),
-    )
+    added = [F.sum(c).alias(c) for c in ("pages", "total", "chars")]
+    return rows.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), *added, F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def equivalence_classes(vectors: DataFrame, share: float = 0.5) -> DataFrame:
-    """host, class_vector, pages, once, tokens: tokens of a host with one occurrence vector, found on at least share of its
+    """host, class_vector, pages, once, tokens, chars: tokens of a host with one occurrence vector, found on at least share of its
     pages. once says that each occurs exactly once on each of its pages. A class is valid if it has two tokens or more
     and, as paths tell, its tags nest: the parent of each is in a class that is found wherever it is."""
     hosts = vectors.where("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
     tokens = vectors.where("token <> '' and not startswith(token, '@')").join(sized(hosts, 100), F.col("host") == F.col("h"))
     large = tokens.where(F.col("pages") >= share * F.col("host_pages"))
-    classes = large.groupBy("host", "host_pages", F.pmod("vector", F.lit(1 << 62)).alias("class_vector"), "pages", "total").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.min("least").alias("least"), F.max("most").alias("most"))
-    return classes.select("host", "host_pages", F.col("class_vector").cast("long").alias("class_vector"), "pages", ((F.col("least") == 1) & (F.col("most") == 1)).alias("once"), "tokens", (F.size("tokens") > 1).alias("valid"))
+    classes = large.groupBy("host", "host_pages", F.pmod("vector", F.lit(1 << 62)).alias("class_vector"), "pages", "total").agg(F.array_sort(F.collect_list(F.struct("token", "chars"))).alias("held"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return classes.select("host", "host_pages", F.col("class_vector").cast("long").alias("class_vector"), "pages", ((F.col("least") == 1) & (F.col("most") == 1)).alias("once"), F.col("held.token").alias("tokens"), F.col("held.chars").alias("chars"), (F.size("held") > 1).alias("valid"))
 
 
 def nest(classes: list[dict]) -> list[dict]:
@@ -302,39 +312,60 @@ def nest(classes: list[dict]) -> list[dict]:
     return out
 
 
-TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, constant array<long>, fixed array<long>, skeleton array<long>, root string"
+def _tag(path: str) -> str:
+    return re.split(r"[.~]", path.rpartition("/")[2], maxsplit=1)[0]
+
+
+def main_slot(nested: list[dict], slots: list[dict], repeated: bool = True, enough: float = 0.8) -> str:
+    """The path of a host's main slot, or nothing if no slot stands out.
+
+    Slots lie between tags of nested classes that occur once a page. From the whole page inwards, the slot that has enough of the
+    varying text of the one around it is taken: weighted characters less those of links and of template texts (on a host of few
+    pages nothing is repeated enough to be one). An article is not parted.
+    """
+    constant: dict[str, int] = defaultdict(int)
+    for c in nested if repeated else []:
+        for t, n in zip(c["tokens"], c["chars"], strict=True):
+            if t.startswith(TEXT):
+                constant[t[1:].rpartition(TEXT)[0]] += n
+    varies = {s["path"]: max(0, s["total"] - 2 * s["chars"] - constant[s["path"]]) for s in slots}
+    tags = sorted({t.rstrip("/") for c in nested if c["once"] for t in c["tokens"] if not t.startswith(TEXT) and _tag(t.rstrip("/")) in CONTAINERS}, key=lambda t: (t.count("/"), t))
+    held = {t: sum(n for p, n in varies.items() if p == t or p.startswith(f"{t}/")) for t in tags}
+    root, rest = "", sum(varies.values())
+    while _tag(root) != "article":
+        inner = next((t for t in tags if t.startswith(f"{root}/") and held[t] and held[t] >= enough * rest), None)
+        if inner is None:
+            break
+        root, rest = inner, held[inner]
+    return "" if _tag(root) in ("", "html", "body") else root
+
+
+TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, fixed array<long>, skeleton array<long>, root string"
 
 
 def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """For each host: its nested classes; hashes of the text tokens that are part of the template (found on at least
-    share of its pages, of which there are least_pages or more), and of those that are in a nested class found on least_pages
-    or more, which hold in articles too; hashes of the tag paths of its nested classes; and the path with most unlinked text outside
-    chrome among the host's pages, for pages without an article element."""
+    """For each host: its nested classes; hashes of the texts in them; hashes of their tag paths; and the path of the main slot.
+    On a host with fewer than least_pages pages no text counts as template."""
     vectors = materialize(token_vectors(pages), "tokens")
-    classes = equivalence_classes(vectors, share).groupBy("host", "host_pages").agg(F.collect_list(F.struct("class_vector", "pages", "once", "tokens", "valid")).alias("classes"))
-    slots = vectors.where("startswith(token, '@')")
-    up = F.regexp_replace(F.substring("token", 2, 1 << 20), "/[^/]*$", "")
-    roots = slots.select("host", up.alias("path"), (F.col("total") - 2 * F.col("most")).alias("gain")).groupBy("host", "path").agg(F.sum("gain").alias("gain"))
-    roots = roots.groupBy(F.col("host").alias("r")).agg(F.max_by("path", F.struct("gain", -F.length("path"), "path")).alias("root"))
+    classes = equivalence_classes(vectors, share).groupBy("host", "host_pages").agg(F.collect_list(F.struct("class_vector", "pages", "once", "tokens", "chars", "valid")).alias("classes"))
+    slots = vectors.where("startswith(token, '@')").groupBy(F.col("host").alias("r")).agg(F.collect_list(F.struct(F.expr("substring(token, 2)").alias("path"), "total", "chars")).alias("slots"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 nested = nest(r["classes"])
-                texts = [t for c in r["classes"] for t in c["tokens"] if t.startswith(TEXT)] if r["host_pages"] >= least_pages else []
-                sure = [t for c in nested if c["pages"] >= least_pages for t in c["tokens"] if t.startswith(TEXT)]
-                constant, fixed = (np.array(sorted({_hash(t) for t in of}), np.uint64).view(np.int64).tolist() for of in (texts, sure))
-                tags = [t for c in nested for t in c["tokens"] if not t.startswith(TEXT)] if r["host_pages"] >= least_pages else []
-                skeleton = np.array(sorted({_hash(t) for t in tags}), np.uint64).view(np.int64).tolist()
+                known = nested if r["host_pages"] >= least_pages else []
+                sides = [t for c in known for t in c["tokens"] if t.startswith(TEXT) and c["pages"] >= least_pages], [t for c in known for t in c["tokens"] if not t.startswith(TEXT)]
+                fixed, skeleton = (np.array(sorted({_hash(t) for t in side}), np.uint64).view(np.int64).tolist() for side in sides)
                 own = [{k: c[k] for k in ("class_id", "parent", "pages", "once", "tokens")} for c in nested]
-                rows.append((r["host"], r["host_pages"], own, constant, fixed, skeleton, r["root"]))
+                rows.append((r["host"], r["host_pages"], own, fixed, skeleton, main_slot(nested, r["slots"] or [], bool(known))))
             if rows:
                 shape = pa.struct([("class_id", pa.int32()), ("parent", pa.int32()), ("pages", pa.int64()), ("once", pa.bool_()), ("tokens", pa.list_(pa.string()))])
-                types = [pa.string(), pa.int64(), pa.list_(shape), *[pa.list_(pa.int64())] * 3, pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "host_pages", "classes", "constant", "fixed", "skeleton", "root"])
+                types = [pa.string(), pa.int64(), pa.list_(shape), *[pa.list_(pa.int64())] * 2, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "host_pages", "classes", "fixed", "skeleton", "root"])
 
-    joined = classes.join(roots, F.col("host") == F.col("r"), "left").select("host", "host_pages", "classes", "root")
+    joined = classes.join(slots, F.col("host") == F.col("r"), "left").select("host", "host_pages", "classes", "slots")
     return joined.mapInArrow(fold, TEMPLATES)
 
 
@@ -342,41 +373,46 @@ def _in(token: str, hashes: frozenset[int]) -> bool:
     return (_hash(token) + (1 << 63)) % (1 << 64) - (1 << 63) in hashes
 
 
-def main_text(page: Page, once: frozenset[str], constant: frozenset[int], fixed: frozenset[int], skeleton: frozenset[int], root: str | None) -> str:
-    """The slots of a page that hold its article.
+def main_text(page: Page, once: frozenset[str], fixed: frozenset[int], skeleton: frozenset[int], root: str) -> str:
+    """The slots of a page that hold its article, by its host's template.
 
-    Where the page has article elements, these are all blocks in them that no chrome element holds and whose words are in
-    no nested class of the host's template, or all if the template has each (copies of one page); if it has several
-    paths of articles and some occur once a page in the host's template, only those, as the others repeat
-    like comments. Else a main element counts as one. Else they are the blocks outside chrome whose words are no part of
-    the host's template: below the host's main path if the page has it, else all that are no mere links.
+    These are the blocks in the main slot whose words are in no nested class, and headings that vary, occur once and stand before it in
+    the slot around it. All stay if the template has each (copies of one page). Within the main slot, tags and names settle what the
+    template leaves open: elements such as aside, form and footer hold no article, nor do readers' articles, which repeat, beside one that
+    occurs once a page. An element only named like chrome is dropped where the template confirms it: it holds links
+    or template words, or its name says nothing else and its path is in a nested class.
 
-    An element only named like chrome never takes the host's main path or an article with it (but an article in one
-    named nothing else, such as a comment, must hold the main path). Of other text it takes what the template confirms: links,
-    words of the template, and all if its name says nothing else and its path is in a nested class, or the host has no template.
+    A page without the main slot, or of a host without a template or one slot that stands out, is read by its tags alone: the
+    blocks of its articles, else of its main element, else all that are no mere links, without template words.
     """
 
     def under(path: str) -> bool:
-        return root is not None and (root == path or root.startswith(f"{path}/"))
+        return bool(root) and (root == path or root.startswith(f"{path}/"))
+
+    def within(b: Block) -> bool:
+        return b.node.path == root or b.node.path.startswith(f"{root}/")
 
     def taken(b: Block, marks: Marks) -> bool:
-        return any(not under(path) and (b.links or only and (not skeleton or _in(path, skeleton)) or _in(text_token(b), constant)) for path, only in marks)
+        return any(not under(path) and (b.links or only and (not skeleton or _in(path, skeleton)) or _in(text_token(b), fixed)) for path, only in marks)
 
     free = [b for b in page.blocks if not b.node.chrome and not taken(b, b.node.marks)]
-    sure, some = [b for b in free if b.node.sure], [b for b in free if b.node.article]
-    doubtless = lambda of: [b for b in of if not b.node.doubt]
-    likely = lambda of: [b for b in of if under(b.node.article) or not any(only for _, only in b.node.doubt)]
-    own = doubtless(sure) or likely(sure) or doubtless(some) or likely(some)
-    paths = {b.node.article for b in own}
+    own = [b for b in free if within(b)] if root else []
+    if own:
+        first, around = page.blocks.index(own[0]), root.rpartition("/")[0]
+        heads = [b for b in free if _tag(b.node.path) in HEADINGS and b.node.path in once and not b.links and not within(b) and page.blocks.index(b) < first]
+        own = [b for b in heads if _tag(around) not in ("html", "body") and b.node.path.startswith(f"{around}/") or under(b.node.path.rpartition("/")[0])] + own
+    else:
+        sure, some = [b for b in free if b.node.sure], [b for b in free if b.node.article]
+        doubtless = lambda of: [b for b in of if not b.node.doubt]
+        likely = lambda of: [b for b in of if under(b.node.article) or not any(only for _, only in b.node.doubt)]
+        own = doubtless(sure) or likely(sure) or doubtless(some) or likely(some)
+    paths = {b.node.article for b in own if b.node.sure}
     if len(paths) > 1 and paths & once:
-        own = [b for b in own if b.node.article in once]
-    if fixed:
-        own = [b for b in own if not _in(text_token(b), fixed)] or own
+        own = [b for b in own if not b.node.sure or b.node.article in once]
     if not own:
-        free = [b for b in free if not _in(text_token(b), constant) and not taken(b, b.node.doubt)]
-        below = [b for b in free if root is not None and (b.node.path == root or b.node.path.startswith(f"{root}/"))]
-        own = below or [b for b in free if not b.links or b.node.path in once]
-    return " ".join(b.words for b in own)
+        own = [b for b in free if not taken(b, b.node.doubt) and (not b.links or b.node.path in once)]
+        return " ".join(b.words for b in own if not _in(text_token(b), fixed))
+    return " ".join(b.words for b in ([b for b in own if not _in(text_token(b), fixed)] if fixed else []) or own)
 
 
 def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: int = 32) -> DataFrame:
@@ -390,8 +426,8 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     Other columns are not read.
     """
     made = materialize(templates(pages, share, least_pages), "templates")
-    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "constant", "fixed", "skeleton", "root")
-    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("constant") + 8 * F.size("fixed") + 8 * F.size("skeleton") + 100)).first()[0] or 0
+    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "fixed", "skeleton", "root")
+    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("fixed") + 8 * F.size("skeleton") + 100)).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, tuple[frozenset, ...]] = {}
@@ -401,8 +437,8 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
                 if site not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("once", "constant", "fixed", "skeleton"))
-                texts.append(main_text(parse(text), *sets[site], root))
+                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("once", "fixed", "skeleton"))
+                texts.append(main_text(parse(text), *sets[site], root or ""))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     asked = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
@@ -411,6 +447,6 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     else:
         salted = brief.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "host", "once", "constant", "fixed", "skeleton", "root").mapInArrow(read, "page_id long, url string, text string")
+    out = joined.select("page_id", "url", "html", "host", "once", "fixed", "skeleton", "root").mapInArrow(read, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

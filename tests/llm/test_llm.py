@@ -96,7 +96,7 @@ def test_extract_by_template_without_article(spark):
     for r in extract.extract(df, salts=2).collect():
         assert r.text == f"Story {r.page_id} {' '.join(['word%d' % r.page_id] * 30)} The end of story {r.page_id}"
     made = extract.templates(df).first()
-    assert made.host == "t.example" and made.host_pages == 6 and len(made.constant) == 2 and made.root.endswith("/div.body")
+    assert made.host == "t.example" and made.host_pages == 6 and len(made.fixed) == 2 and made.root.endswith("/div.body")
     first = made.classes[0]
     assert first.parent == -1 and first.once and "/html/body/div.body/p" not in first.tokens
     assert any(c.parent == 0 and not c.once and "/html/body/div.body/p" in c.tokens for c in made.classes)
@@ -118,6 +118,26 @@ def test_extract_long_boilerplate(spark):
     assert all(r.text == f"Story {r.page_id} {'told ' * 50}End of {r.page_id}" for r in extract.extract(df).collect())
 
 
+def test_extract_neutral_markup(spark):
+    """Where every element is a div without a name, the template alone finds the articles of the test pages, and of pages with a
+    long notice that all repeat; without it each page comes out with all its text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|article|footer)(?=[ >])", "<$1div"), ' class="ad"', ""))
+    legal = "We keep what you read here to ourselves and tell nobody of it at all " * 5  # 70 words
+    own = [page(f"<div><a href=/>Home</a></div><div><h1>Title {k}</h1><div><p>{f'word{k} ' * 60}</p><p>{legal}</p></div></div><div>Seen {k} times</div>", "n.example", 10_000 + k) for k in range(5)]
+    bare = bare.select("page_id", "url", "html").unionByName(spark.createDataFrame(own, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in extract.extract(bare).collect()}
+    want = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    large = {r.host for r in extract.templates(pages).where("host_pages >= 3").collect()}
+    hosts = {r.page_id: r.h for r in pages.select("page_id", extract.host(F.col("url")).alias("h")).collect()}
+    sure = [k for k in want if hosts[k] in large]
+    assert len(sure) > 200 and all(got[k] == want[k] for k in sure) and sum(got[k] == v for k, v in want.items()) >= 0.98 * len(want)
+    assert all(got[10_000 + k] == f"Title {k} {' '.join([f'word{k}'] * 60)}" for k in range(5))
+    none = frozenset()
+    off = {r.page_id: extract.main_text(extract.parse(r.html or ""), none, none, none, "") for r in bare.collect()}
+    assert sum(off[k] != got[k] for k in got) >= 0.98 * len(got)
+
+
 def test_extract_names_alone_do_not_drop_articles(spark):
     """Wrappers and builder elements named like chrome keep their text; boxes that the template confirms go."""
     story = lambda k: f"<h1>Title {k}</h1><p>{'word%d ' % k * 40}</p>"
