@@ -189,15 +189,15 @@ WITH cut AS (
 ), chosen AS (
   SELECT o.lang, o.source, {choices} FROM own o LEFT JOIN per_lang p ON p.lang IS NOT DISTINCT FROM o.lang, overall a
 )
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_lines AS BIGINT) AS n_lines,
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce({inside}, true) AS kept
+  NOT base_failed AND coalesce({inside}, true) AS kept, CAST(n_lines AS BIGINT) AS n_lines
 FROM f LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """.format(
-    shares=", ".join(f"CAST({e} AS DOUBLE) AS {f}" for f, (e, _, _) in rules.FEATURES.items()),
+    shares=", ".join(f"CAST({e} AS DOUBLE) AS {f}" for f, (e, _) in rules.FEATURES.items()),
     quartiles=", ".join(f"quantile_disc({f}, 0.25) AS {f}_a, quantile_disc({f}, 0.75) AS {f}_b" for f in rules.FEATURES),
     choices=", ".join(f"CASE WHEN o.n >= 100 THEN o.{f}_{q} WHEN p.n >= 100 THEN p.{f}_{q} ELSE a.{f}_{q} END AS {f}_{q}" for f in rules.FEATURES for q in "ab"),
-    inside=" AND ".join([f"{f} <= {f}_b + 3.0 * ({f}_b - {f}_a) + {room}" for f, (_, room, _) in rules.FEATURES.items()] + [f"{f} >= {f}_a - 3.0 * ({f}_b - {f}_a) - {room}" for f, (_, room, both) in rules.FEATURES.items() if both]),
+    inside=" AND ".join([f"({f} <= {f}_b" + f" * ({f}_b / {f}_a)" * 3 + (f" OR {count} = 0)" if count else f" AND {f} >= {f}_a" + f" * ({f}_a / {f}_b)" * 3 + ")") for f, (_, count) in rules.FEATURES.items()]),
 )
 
 OP10_SQL = """

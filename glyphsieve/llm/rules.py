@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from glyphsieve.llm.common import materialize, sized
 
-#: What the sketches watch: a name, its share of the text, the room left beside the fences, and whether low values fail too.
-FEATURES: dict[str, tuple[str, float, bool]] = {
-    "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.05, False),
-    "mean_word": ("word_chars / greatest(n_words, 1)", 1.0, True),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.4, False),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.4, False),
+#: What the sketches watch: a name, the value sketched, and the count without which a document can't fail (none: low values fail too).
+#: Shares are smoothed by one, as a text of n words can't show a share below 1/n: so each has a logarithm, and a spread even where
+#: most texts have none of it.
+FEATURES: dict[str, tuple[str, str | None]] = {
+    "symbol_share": ("(n_symbols + 1) / (word_chars + 1)", "n_symbols"),
+    "mean_word": ("word_chars / greatest(n_words, 1)", None),
+    "dup_line_share": ("(n_dup_lines + 1) / (n_lines + 1)", "n_dup_lines"),
+    "repeat_share": ("(n_repeat_words + 1) / (n_words + 1)", "n_repeat_words"),
 }
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -81,13 +83,14 @@ def sketches(measured: DataFrame, k: int = 4096) -> DataFrame:
 
     Sketches merge: a group's may be built by any number of tasks, and groups may be merged to languages or to all.
     """
-    shares = measured.where(~base_failed()).select("lang", "source", *[F.expr(e).cast("double").alias(f) for f, (e, _, _) in FEATURES.items()])
+    shares = measured.where(~base_failed()).select("lang", "source", *[F.expr(e).cast("double").alias(f) for f, (e, _) in FEATURES.items()])
     return shares.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f, k).alias(f) for f in FEATURES])
 
 
-def thresholds(groups: DataFrame, least: int = 100, fence: float = 3.0) -> DataFrame:
-    """lang, source, low_<feature>, high_<feature>: quartiles less or plus fence times their distance and the feature's room.
+def thresholds(groups: DataFrame, least: int = 100, fence: int = 3) -> DataFrame:
+    """lang, source, low_<feature>, high_<feature>: the quartiles, each parted from the other by fence times their ratio again.
 
+    These are the outer fences of a box plot of logarithms, so they follow the data at any scale and hold no cutoff of their own.
     Groups with fewer than least documents take their language's merged sketch, and if that has fewer, all documents'.
     """
 
@@ -96,10 +99,11 @@ def thresholds(groups: DataFrame, least: int = 100, fence: float = 3.0) -> DataF
 
     def fences(of: DataFrame, prefix: str, *by: str) -> DataFrame:
         quartile = lambda f, q: F.kll_sketch_get_quantile_double(F.col(f), F.lit(q))
+        away = lambda x, ratio: reduce(lambda a, _: a * ratio, range(fence), x)
         cols = []
-        for f, (_, room, _) in FEATURES.items():
+        for f in FEATURES:
             low, high = quartile(f, 0.25), quartile(f, 0.75)
-            cols.append(F.struct((low - fence * (high - low) - room).alias("low"), (high + fence * (high - low) + room).alias("high")).alias(f"{prefix}{f}"))
+            cols.append(F.struct(away(low, low / high).alias("low"), away(high, high / low).alias("high")).alias(f"{prefix}{f}"))
         return of.select(*[F.col(b).alias(f"{prefix}{b}") for b in by], F.col("n").alias(f"{prefix}n"), *cols)
 
     own = fences(groups, "g_", "lang", "source")
@@ -111,15 +115,18 @@ def thresholds(groups: DataFrame, least: int = 100, fence: float = 3.0) -> DataF
     return joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *[choose(f)[s].alias(f"{s}_{f}") for f in FEATURES for s in ("low", "high")])
 
 
-def judge(docs: DataFrame, k: int = 4096, least: int = 100, fence: float = 3.0) -> DataFrame:
-    """doc_id, METRICS, base_failed, kept of every document of docs (doc_id, text, lang, source).
+def judge(docs: DataFrame, k: int = 4096, least: int = 100, fence: int = 3) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines of every document of docs
+    (doc_id, text, lang, source).
 
     Base rules fail texts of under 50 words or with over half their words in repeated windows. Of the rest, a document
-    is kept while every feature lies inside the thresholds of its language and source; see sketches and thresholds.
+    is kept while every feature lies inside the thresholds of its language and source; see sketches and thresholds. One without
+    symbols, repeated lines or windows never fails by that feature.
     Texts are read once: their metrics are written, sketched and joined. KLL sketches draw lots once a group has more
     than k documents, so a document within the sketch's rank error of a fence may fall on either side.
     Nulls: a null text has no words (base_failed); null lang or source are a value like others; a null doc_id stays.
-    Repeated rows are judged each. An empty table gives no rows. Other columns are not read.
+    Repeated rows are judged each. An empty table gives no rows. Texts of any length are measured whole, in one value. Other columns
+    are not read.
     """
     measured = materialize(metrics(docs, "doc_id", "lang", "source"), "metrics")
     groups = materialize(sketches(measured, k), "sketches")
@@ -127,12 +134,11 @@ def judge(docs: DataFrame, k: int = 4096, least: int = 100, fence: float = 3.0)
     on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     joined = measured.join(sized(limits, 200), on, "left")
     inside = []
-    for f, (e, _, two_sided) in FEATURES.items():
-        inside.append(F.expr(e) <= F.col(f"high_{f}"))
-        if two_sided:
-            inside.append(F.expr(e) >= F.col(f"low_{f}"))
+    for f, (e, count) in FEATURES.items():
+        below = F.expr(e) <= F.col(f"high_{f}")
+        inside.append(below | (F.col(count) == 0) if count else below & (F.expr(e) >= F.col(f"low_{f}")))
     verdict = F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(True))
-    return joined.select("doc_id", *METRICS, base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"))
+    return joined.select("doc_id", *[m for m in METRICS if m != "n_lines"], base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"), "n_lines")
 
 
 def keep_good(docs: DataFrame, **options: float) -> DataFrame:

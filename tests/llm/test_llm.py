@@ -563,13 +563,32 @@ def test_adaptive_thresholds(spark, none):
     assert [got[k].base_failed for k in (1000, 1001, 1003, 1004, 1005)] == [False, False, True, True, True]
     assert sorted(r.doc_id for r in rules.keep_good(df).collect()) == list(range(600))
     assert rules.judge(none).count() == 0 and rules.keep_good(none).count() == 0
+    again = {r.doc_id: r.kept for r in rules.judge(df.withColumn("text", F.regexp_replace("text", "a", "aa"))).collect()}
+    assert [again[k] for k in (1000, 1001)] == [False] * 2 and all(again[k] for k in range(600))  # limits move with the data
     plan = rules.metrics(df, "doc_id")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_every_threshold_follows_the_data(spark):
+    """Groups of other shares have other limits, in proportion: no constant is in them. On labelled rows hardly any good document goes."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    made = common.materialize(rules.sketches(common.materialize(rules.metrics(docs, "doc_id", "lang", "source"), "m")), "s")
+    limits = rules.thresholds(made).collect()
+    for f in rules.FEATURES:
+        assert len({r[f"high_{f}"] for r in limits}) > 1, f
+    shares = [(g, x * scale) for g, scale in (("a", 1.0), ("b", 3.0)) for x in np.random.default_rng(4).uniform(0.01, 0.02, 300).tolist()]
+    fake = spark.createDataFrame([("en", g, *[x] * 4) for g, x in shares], ["lang", "source", *rules.FEATURES])
+    groups = fake.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f, 4096).alias(f) for f in rules.FEATURES])
+    a, b = sorted(rules.thresholds(common.materialize(groups, "g")).collect(), key=lambda r: r.source)
+    assert all(abs(b[c] / a[c] - 3) < 1e-9 for f in rules.FEATURES for c in (f"low_{f}", f"high_{f}"))
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    read = [(r.quality, got[r.doc_id]) for r in labels.collect() if not got[r.doc_id].base_failed]
+    assert np.mean([x.kept for q, x in read if q == 1]) > 0.98 and np.mean([x.kept for q, x in read if q == 0]) < 0.1
+
+
 def test_sketches_merge(spark, docs):
     """Thresholds of merged group sketches lie within the rank error of the exact quartiles of all."""
-    measured = rules.metrics(docs, "doc_id", "lang", "source")
+    measured = common.materialize(rules.metrics(docs, "doc_id", "lang", "source"), "metrics")
     groups = rules.sketches(measured)
     merged = groups.agg(F.kll_merge_agg_double("mean_word").alias("s")).select(F.kll_sketch_get_quantile_double("s", F.lit(0.25)).alias("q")).first().q
     values = sorted(r.word_chars / r.n_words for r in measured.where(~rules.base_failed()).collect())
