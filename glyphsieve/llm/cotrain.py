@@ -14,29 +14,37 @@ from pyspark.sql import functions as F
 
 from glyphsieve.llm.common import discard, materialize, sized, texts_of, tidy
 
-SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 256, 32, 16
+SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 64, 16, 16
+GRAM_SLOTS = 64  # for words, pairs of words and runs of three bytes each
+LAYOUT = 6
 _LINE = re.compile(rb"[^\n]*[^\s][^\n]*")
 
 
-def text_view(text: str) -> np.ndarray:
-    """Shares of byte kinds and single punctuation marks, word and line repetition, case and length of a whole text."""
+def read_views(text: str) -> np.ndarray:
+    """The text view of a whole text, then the LAYOUT numbers that belong to its metadata; rounded to half precision, as they are stored.
+
+    Text view: shares of hashed words, pairs of words and runs of three bytes, of single punctuation marks, of capitals among letters,
+    repeated words and the mean word. Nothing in it tells the text's length.
+    Layout: shares of capitals, digits, bytes beyond ASCII, white space and marks, and of lines that repeat.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     n = max(1, len(raw))
-    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    codes = np.frombuffer(raw, np.uint8)
+    seen = np.bincount(codes, minlength=256)
     upper, lower, digits = seen[65:91].sum(), seen[97:123].sum(), seen[48:58].sum()
     high, space = seen[128:].sum(), seen[32] + seen[9:14].sum()
     marks = np.concatenate((seen[33:48], seen[58:65], seen[91:97], seen[123:127]))
     words = raw.split()
-    different = len(set(words))
     lines = _LINE.findall(raw)
     m, k = max(1, len(words)), max(1, len(lines))
     repeats = sum(map(bytes.__eq__, words, words[1:]))
-    shape = [
-        upper / n, lower / n, digits / n, high / n, space / n, marks.sum() / n,
-        upper / max(1, upper + lower), 1 - different / m, (1 - different / m) * min(1.0, m / 50), repeats / m,
-        1 - len(set(lines)) / k, np.log1p(n) / 10, np.log1p(n / m), np.log1p(n / k) / 10, seen[10] / n, float(not words),
-    ]
-    return np.concatenate((shape, np.sqrt(marks / n)))
+    shape = [upper / max(1, upper + lower), 1 - len(set(words)) / m, repeats / m, np.log1p(n / m)]
+    slots = lambda h: np.bincount(h >> np.uint32(26), minlength=GRAM_SLOTS)
+    wide, own = codes.astype(np.uint32), np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    a, b, c = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+    grams = np.concatenate((slots(own * a) / m, slots(own[:-1] * b + own[1:] * c) / m, slots(wide[:-2] * a + wide[1:-1] * b + wide[2:] * c) / n))
+    layout = [upper / n, digits / n, high / n, space / n, marks.sum() / n, 1 - len(set(lines)) / k]
+    return np.concatenate((shape, np.sqrt(marks / n), np.sqrt(grams), layout)).astype(np.float16)
 
 
 def metadata_cell(source: str | None, lang: str | None, n_bytes: int) -> int:
@@ -45,24 +53,25 @@ def metadata_cell(source: str | None, lang: str | None, n_bytes: int) -> int:
     return (slot(source, SOURCE_SLOTS) * LANG_SLOTS + slot(lang, LANG_SLOTS)) * LENGTH_SLOTS + min(LENGTH_SLOTS - 1, int(np.log2(n_bytes + 1)))
 
 
-def metadata_views(cells: np.ndarray) -> np.ndarray:
-    """Of each cell a row with a one in each of its three slots."""
-    out, rows = np.zeros((len(cells), SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS)), np.arange(len(cells))
-    out[rows, cells // (LANG_SLOTS * LENGTH_SLOTS)] = 1
-    out[rows, SOURCE_SLOTS + cells // LENGTH_SLOTS % LANG_SLOTS] = 1
-    out[rows, SOURCE_SLOTS + LANG_SLOTS + cells % LENGTH_SLOTS] = 1
-    return out
-
+def split_views(read: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text views and metadata views of rows of read_views and metadata_cell; a cell is a one in each of its three slots."""
+    slots, rows = np.zeros((len(cells), SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS)), np.arange(len(cells))
+    slots[rows, cells // (LANG_SLOTS * LENGTH_SLOTS)] = 1
+    slots[rows, SOURCE_SLOTS + cells // LENGTH_SLOTS % LANG_SLOTS] = 1
+    slots[rows, SOURCE_SLOTS + LANG_SLOTS + cells % LENGTH_SLOTS] = 1
+    read = read.astype(np.float64)
+    return read[:, :-LAYOUT], np.hstack((slots, read[:, -LAYOUT:]))
 
-def _moments(x: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.concatenate(([count.sum()], count @ x, count @ (x * x)))
 
-
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Curvature and slope of the loss at w, summed over rows; flat, the slope last."""
     z = np.hstack((np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))))
     p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-    return np.concatenate((((z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z).ravel(), z.T @ (weight * (p - y))))
+    return np.concatenate((((z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z).ravel(), z.T @ (p - y)))
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([len(x)], x.sum(0), (x * x).sum(0)))
 
 
 @dataclass
@@ -74,17 +83,19 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, count: np.ndarray | None = None, more: Taught | None = None) -> Logistic:
-        """count says how many rows each row stands for; more adds the sums of rows that are elsewhere."""
-        count = np.ones(len(x)) if count is None else count
-        sums = _moments(x, count) + (more.moments() if more else 0)
-        n, k = sums[0], x.shape[1]
-        mean = sums[1 : k + 1] / n
-        scale = np.maximum(np.sqrt(np.maximum(sums[k + 1 :] / n - mean * mean, 0)), 1e-3)
-        w, ridge = np.zeros(k + 1), np.full(k + 1, penalty)
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float, more: Taught | None = None, start: np.ndarray | None = None) -> Logistic:
+        """more adds the sums of rows that are elsewhere, which all together count as these rows do, and half each at most."""
+        sums, k, share = _moments(x), x.shape[1], 0.0
+        if more:
+            others = more.moments()
+            share = min(HALF, len(x) / max(1.0, others[0]))
+            sums = sums + share * others
+        mean = sums[1 : k + 1] / sums[0]
+        scale = np.maximum(np.sqrt(np.maximum(sums[k + 1 :] / sums[0] - mean * mean, 0)), 1e-3)
+        w, ridge = np.zeros(k + 1) if start is None else start, np.full(k + 1, penalty)
         ridge[-1] = 1e-6
         for _ in range(30):
-            sums = _newton(x, y, weight * count, mean, scale, w) + (more.newton(mean, scale, w) if more else 0)
+            sums = _newton(x, y, mean, scale, w) + (share * more.newton(mean, scale, w) if more else 0)
             step = np.linalg.solve(sums[: -k - 1].reshape(k + 1, k + 1) + np.diag(ridge), sums[-k - 1 :] + ridge * w)
             w = w - step
             if np.abs(step).max() < 1e-6:
@@ -128,12 +139,13 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 BINS = 4096
-HALF = 0.5  # weight of a pseudo-label
+HALF = 0.5  # most that a pseudo-label counts
 
 
 @dataclass
 class Lesson:
-    """What a view passes to the other in a round: of the rows it has not passed before, those it is surest of on either side.
+    """What a view passes to the other in a round: of the rows that it has not passed before and of which the other is not sure the other
+    way, those it is surest of on either side.
 
     A cut is a bin of sureness and the share of that bin that is passed with all above.
     """
@@ -141,6 +153,7 @@ class Lesson:
     model: Logistic
     platt: np.ndarray
     least: float  # logit of the chance to be passed
+    teaches: bool = True
     cuts: tuple[tuple[int, float], tuple[int, float]] = ((0, 1.0), (0, 1.0))  # bad, good
 
     def sureness(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,126 +163,91 @@ class Lesson:
         return (logit > 0).astype(int), np.where(over > 0, np.minimum(over * BINS, BINS - 1), -1).astype(int)
 
 
-Lessons = tuple[list[Lesson], list[Lesson]]
+Round = tuple[Lesson, Lesson]  # of the text view and of the metadata view
 
 
 @dataclass
 class Rows:
-    """Rows without a label: the text view, the different metadata views and the one of each row, and a number in [0, 1) that breaks ties."""
+    """Rows without a label: both views, and a number in [0, 1) of each row that breaks ties."""
 
-    text: np.ndarray
-    meta: np.ndarray
-    at: np.ndarray
+    views: tuple[np.ndarray, np.ndarray]
     chance: np.ndarray
 
-    def sureness(self, v: int, lesson: Lesson) -> tuple[np.ndarray, np.ndarray]:
-        if v == 0:
-            return lesson.sureness(self.text)
-        side, level = lesson.sureness(self.meta)
-        return side[self.at], level[self.at]
-
-    def passed(self, v: int, lessons: list[Lesson]) -> np.ndarray:
-        """The label that view v gave each row in the first lesson that passed it, else nan."""
-        out = np.full(len(self.text), np.nan)
-        for lesson in lessons:
-            side, level = self.sureness(v, lesson)
-            bins, shares = np.array([c[0] for c in lesson.cuts])[side], np.array([c[1] for c in lesson.cuts])[side]
-            out = np.where(np.isnan(out) & (level >= 0) & ((level > bins) | (level == bins) & (self.chance < shares)), side, out)
+    def offered(self, v: int, of: Round) -> tuple[np.ndarray, np.ndarray]:
+        """Side and bin by view v in a round; the bin is -1 where it is not sure, or the other view is sure of the other side."""
+        (side, level), (other, sure) = (of[u].sureness(self.views[u]) for u in (v, 1 - v))
+        return side, np.where((sure >= 0) & (other != side), -1, level)
+
+    def passed(self, v: int, rounds: list[Round]) -> np.ndarray:
+        """The label that view v gave each row in the first round that passed it, else nan."""
+        out = np.full(len(self.chance), np.nan)
+        for r in rounds:
+            if r[v].teaches:
+                side, level = self.offered(v, r)
+                bins, shares = np.array([c[0] for c in r[v].cuts])[side], np.array([c[1] for c in r[v].cuts])[side]
+                out = np.where(np.isnan(out) & (level >= 0) & ((level > bins) | (level == bins) & (self.chance < shares)), side, out)
         return out
 
-    def levels(self, lessons: Lessons, asked: list[Lesson]) -> np.ndarray:
+    def levels(self, rounds: list[Round], asked: Round) -> np.ndarray:
         """For each view and side the number of rows in each bin, of those that the view has not passed yet."""
         out = np.zeros((2, 2, BINS))
         for v in (0, 1):
-            side, level = self.sureness(v, asked[v])
-            new = np.isnan(self.passed(v, lessons[v])) & (level >= 0)
-            out[v] = np.bincount(side[new] * BINS + level[new], minlength=2 * BINS).reshape(2, BINS)
+            if asked[v].teaches:
+                side, level = self.offered(v, asked)
+                new = np.isnan(self.passed(v, rounds)) & (level >= 0)
+                out[v] = np.bincount(side[new] * BINS + level[new], minlength=2 * BINS).reshape(2, BINS)
         return out.ravel()
 
-    def learnt(self, lessons: Lessons) -> tuple[np.ndarray, np.ndarray]:
-        """Text views of the rows that metadata passed, and their labels."""
-        y = self.passed(1, lessons[1])
-        return self.text[~np.isnan(y)], y[~np.isnan(y)]
-
-    def cells(self, lessons: Lessons) -> np.ndarray:
-        """For each metadata view the number of its rows that the text view passed as bad and as good."""
-        y = self.passed(0, lessons[0])
-        some = ~np.isnan(y)
-        return np.bincount(self.at[some] * 2 + y[some].astype(int), minlength=2 * len(self.meta)).reshape(-1, 2)
+    def learnt(self, v: int, rounds: list[Round]) -> tuple[np.ndarray, np.ndarray]:
+        """View v of the rows that the other view passed, and their labels."""
+        y = self.passed(1 - v, rounds)
+        return self.views[v][~np.isnan(y)], y[~np.isnan(y)]
 
 
 class Pool:
     """All rows without a label, in memory."""
 
     def __init__(self, rows: Rows):
-        self.rows, self.size = rows, len(rows.text)
+        self.rows, self.size = rows, len(rows.chance)
 
     def total(self, of: Callable[[Rows], np.ndarray]) -> np.ndarray:
         return of(self.rows)
 
-    def cells(self, lessons: Lessons) -> tuple[np.ndarray, np.ndarray]:
-        return self.rows.meta, self.rows.cells(lessons)
-
 
 class TablePool(Pool):
-    """All rows without a label, in a table (text_view, cell, chance): each task adds up its rows, the driver adds up the tasks."""
+    """All rows without a label, in a table (view, cell, chance): each task adds up its rows, the driver adds up the tasks."""
 
     def __init__(self, table: DataFrame):
         self.table, self.size = table, table.count()
 
-    @staticmethod
-    def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, Rows]:
-        cells, at = np.unique(b.column("cell").to_numpy(), return_inverse=True)
-        text = np.frombuffer(b"".join(b.column("text_view").to_pylist())).reshape(b.num_rows, -1)
-        return cells, Rows(text, metadata_views(cells), at, b.column("chance").to_numpy())
-
     def total(self, of: Callable[[Rows], np.ndarray]) -> np.ndarray:
-        rows_of = self._rows
-
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [0.0]
             for b in batches:
                 if b.num_rows:
-                    parts = [parts[0] + of(rows_of(b)[1])]
+                    read = np.frombuffer(b"".join(b.column("view").to_pylist()), np.float16).reshape(b.num_rows, -1)
+                    parts = [parts[0] + of(Rows(split_views(read, b.column("cell").to_numpy()), b.column("chance").to_numpy()))]
             if isinstance(parts[0], np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array([parts[0].tobytes()], pa.binary())], ["sums"])
 
-        return sum(np.frombuffer(r.sums) for r in self.table.mapInArrow(add, "sums binary").collect())
-
-    def cells(self, lessons: Lessons) -> tuple[np.ndarray, np.ndarray]:
-        """At most one row for each of the 131,072 cells reaches the driver."""
-        rows_of = self._rows
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    cells, rows = rows_of(b)
-                    n = rows.cells(lessons)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n[:, 0], pa.int64()), pa.array(n[:, 1], pa.int64())], ["cell", "bad", "good"])
-
-        got = sorted(self.table.mapInArrow(count, "cell int, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad + good > 0").collect())
-        return metadata_views(np.array([r.cell for r in got], int)), np.array([(r.bad, r.good) for r in got], float).reshape(-1, 2)
+        return sum(np.frombuffer(r.sums) for r in self.table.mapInArrow(add, "sums binary").toLocalIterator())  # one task's sums at a time
 
 
 @dataclass
 class Taught:
-    """Sums over the text views of the rows of a pool that metadata passed."""
+    """Sums over view v of the rows of a pool that the other view passed."""
 
     pool: Pool
-    lessons: Lessons
+    v: int
+    rounds: list[Round]
 
     def moments(self) -> np.ndarray:
-        lessons = self.lessons
-        return self.pool.total(lambda rows: _moments((x := rows.learnt(lessons)[0]), np.ones(len(x))))
+        v, rounds = self.v, self.rounds
+        return self.pool.total(lambda rows: _moments(rows.learnt(v, rounds)[0]))
 
     def newton(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
-        lessons = self.lessons
-
-        def of(rows: Rows) -> np.ndarray:
-            x, y = rows.learnt(lessons)
-            return _newton(x, y, np.full(len(x), HALF), mean, scale, w)
-
-        return self.pool.total(of)
+        v, rounds = self.v, self.rounds
+        return self.pool.total(lambda rows: _newton(*rows.learnt(v, rounds), mean, scale, w))
 
 
 def _cut(counts: np.ndarray, most: int) -> tuple[int, float]:
@@ -281,70 +259,89 @@ def _cut(counts: np.ndarray, most: int) -> tuple[int, float]:
     return k, float((most - above[k] + counts[k]) / counts[k])
 
 
-def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.97, share: float = 0.1, pool: Pool | None = None, chance: np.ndarray | None = None) -> CoTrained:
+def _loss(logit: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0.5, -logit, logit)).mean())
+
+
+PENALTY = (5.0, 10.0)
+
+
+def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.97, share: float = 0.1, trust: float = 0.5, pool: Pool | None = None, chance: np.ndarray | None = None) -> CoTrained:
     """Co-train on rows in a fixed order; label is 1, 0 or nan (no label). Rows without a label are those of pool, if there is one.
 
-    A fifth of the labelled rows is held out for calibration only. In each round both views are fitted and calibrated;
+    A fifth of the labelled rows of each kind is held out for calibration only. In each round both views are fitted and calibrated;
     each passes the rows without a label of which it is surest (chance over confident either way, at most share of
-    them in a round and in the labels' own proportion) to the other as pseudo-labels of half weight. Rows that are
-    equally sure at the cut are told apart by chance, a number in [0, 1) of each row.
+    them in a round and in the labels' own proportion) to the other as pseudo-labels, which together count as much as the labels at
+    most. A view teaches only while its loss on held-out rows is under trust times that of knowing the labels' proportion alone, and a
+    lesson that raises the other's over the least it had by more than a twentieth of that is undone. Rows that are equally sure at the cut are told apart by chance, a number
+    in [0, 1) of each row.
     """
     known = np.flatnonzero(~np.isnan(label))
-    held, seed = known[4::5], np.setdiff1d(known, known[4::5])
+    held = np.concatenate([known[label[known] == kind][::5] for kind in (0, 1)])
+    seed = np.setdiff1d(known, held)
     if len(known) < 20 or any(len(np.unique(label[part])) < 2 for part in (held, seed)):
         return CoTrained(None, None, (np.array([1, 0]), np.array([1, 0])), np.array([1, 0, 0]))
     views = (text, meta)
     if pool is None:
         free = np.flatnonzero(np.isnan(label))
         ties = np.arange(len(label)) * 0.6180339887498949 % 1 if chance is None else chance
-        pool = Pool(Rows(text[free], meta[free], np.arange(len(free)), ties[free]))
+        pool = Pool(Rows((text[free], meta[free]), ties[free]))
     prior = float(label[known].mean())
-    lessons: Lessons = ([], [])
+    blind = _loss(np.full(len(held), np.log(prior / (1 - prior))), label[held])
+    done: list[Round] = []
+    fitted: list[tuple[Logistic, np.ndarray] | None] = [None, None]
 
     def fit(v: int) -> tuple[Logistic, np.ndarray]:
-        x, y, weight, count = views[v][seed], label[seed], np.ones(len(seed)), np.ones(len(seed))
-        if v and lessons[0]:
-            own, n = pool.cells(lessons)
-            x, y = np.vstack((x, own, own)), np.concatenate((y, np.zeros(len(own)), np.ones(len(own))))
-            weight, count = np.concatenate((weight, np.full(2 * len(own), HALF))), np.concatenate((count, n[:, 0], n[:, 1]))
-        model = Logistic.fit(x, y, weight, (1.0, 10.0)[v], count, Taught(pool, lessons) if not v and lessons[1] else None)
+        start = fitted[v][0].weights if fitted[v] else None
+        model = Logistic.fit(views[v][seed], label[seed], PENALTY[v], Taught(pool, v, done) if any(r[1 - v].teaches for r in done) else None, start)
         return model, _calibrate(model.logit(views[v][held])[:, None], label[held])
 
+    def loss(v: int, f: tuple[Logistic, np.ndarray]) -> float:
+        return _loss(np.clip(f[0].logit(views[v][held]) * f[1][0] + f[1][1], -30, 30), label[held])
+
     fitted = [fit(0), fit(1)]
+    least = [loss(v, f) for v, f in enumerate(fitted)]
     for _ in range(rounds if pool.size else 0):
-        asked = [Lesson(*f, float(np.log(confident / (1 - confident)))) for f in fitted]
-        levels = pool.total(lambda rows: rows.levels(lessons, asked)).reshape(2, 2, BINS)  # noqa: B023
+        asked: Round = tuple(Lesson(m, a, float(np.log(confident / (1 - confident))), bool(a[0] > 0 and loss(v, (m, a)) < trust * blind)) for v, (m, a) in enumerate(fitted))
+        if not any(x.teaches for x in asked):
+            break
+        levels = pool.total(lambda rows: rows.levels(done, asked)).reshape(2, 2, BINS)  # noqa: B023
         if not levels.any():
             break
         most = max(1, int(share * pool.size))
         for v in (0, 1):
             asked[v].cuts = tuple(_cut(levels[v][side], max(1, round(most * part))) for side, part in ((0, 1 - prior), (1, prior)))
-            lessons[v].append(asked[v])
-        fitted = [fit(0), fit(1)]
+        done.append(asked)
+        for v in (0, 1):
+            if asked[1 - v].teaches:
+                model = fit(v)
+                asked[1 - v].teaches = loss(v, model) <= least[v] + 0.05 * blind
+                fitted[v] = model if asked[1 - v].teaches else fitted[v]
+                least[v] = min(least[v], loss(v, fitted[v]))
     (text_model, a), (meta_model, b) = fitted
     logits = np.stack((text_model.logit(text[held]) * a[0] + a[1], meta_model.logit(meta[held]) * b[0] + b[1]), 1)
     return CoTrained(text_model, meta_model, (a, b), _calibrate(logits, label[held]))
 
 
 def _views(docs: DataFrame) -> DataFrame:
-    """key, label, text view and metadata cell of each row of docs (key, label, text, lang, source)."""
+    """key, label, view (of both kinds) and metadata cell of each row of docs (key, label, text, lang, source)."""
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column("text"))
-            v = [text_view(t).tobytes() for t in texts]
+            v = [read_views(t).tobytes() for t in texts]
             m = [metadata_cell(s, g, len(t.encode("utf-8", "surrogatepass"))) for s, g, t in zip(b.column("source").to_pylist(), b.column("lang").to_pylist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(v, pa.binary()), pa.array(m, pa.int32())], ["key", "label", "text_view", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(v, pa.binary()), pa.array(m, pa.int32())], ["key", "label", "view", "cell"])
             tidy()
 
-    return docs.mapInArrow(view, "key long, label double, text_view binary, cell int")
+    return docs.mapInArrow(view, "key long, label double, view binary, cell int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **options: float) -> CoTrained:
     """Train on at most max_labelled labelled documents, the first by a hash of doc_id, and on all rows without a label.
 
     Views of the rows without a label are written once; every round passes over all of them. What reaches the driver are
-    the labelled documents' views, and sums: of bounded size for each task, and a row for each metadata cell. Labels that disagree
+    the labelled documents' views, and sums of bounded size, one task's at a time. Labels that disagree
     on a doc_id count as their rounded mean; with under 20 labels, or one kind alone, nothing is learned and every score is 1.
     """
     spark = docs.sparkSession
@@ -353,15 +350,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **options:
     seed = keyed.select("key").distinct().join(agreed, "key").orderBy(F.xxhash64("key", F.lit(17)), "key").limit(max_labelled).collect()
     asked = spark.createDataFrame([(r.key, r.label) for r in seed], "key long, label double")
     rows = keyed.join(F.broadcast(asked), "key")  # bounded by max_labelled
-    found = {r.key: r for r in sorted(_views(rows.select("key", "label", "text", "lang", "source")).collect(), key=lambda r: (r.key, r.text_view, r.cell), reverse=True)}
+    found = {r.key: r for r in sorted(_views(rows.select("key", "label", "text", "lang", "source")).collect(), key=lambda r: (r.key, r.view, r.cell), reverse=True)}
     order = [found[r.key] for r in seed]
     if len(order) < 20:
         return train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
     views = _views(keyed.select("key", F.lit(None).cast("double").alias("label"), "text", "lang", "source"))
     chance = (F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1 << 31)) / F.lit(float(1 << 31))).alias("chance")
-    free = materialize(views.join(sized(agreed.select("key"), 16), "key", "left_anti").select("text_view", "cell", chance), "views")
-    matrix = np.array([np.frombuffer(r.text_view) for r in order])
-    model = train(matrix, metadata_views(np.array([r.cell for r in order])), np.array([r.label for r in order]), pool=TablePool(free), **options)
+    free = materialize(views.join(sized(agreed.select("key"), 16), "key", "left_anti").select("view", "cell", chance), "views")
+    text, meta = split_views(np.array([np.frombuffer(r.view, np.float16) for r in order]), np.array([r.cell for r in order]))
+    model = train(text, meta, np.array([r.label for r in order]), pool=TablePool(free), **options)
     discard(free)
     return model
 
@@ -376,9 +373,9 @@ def _scored(docs: DataFrame, model: CoTrained, carry: list[str]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = texts_of(b.column("__text"))
-            v = np.array([text_view(t) for t in texts])
-            m = metadata_views(np.array([metadata_cell(s, g, len(t.encode("utf-8", "surrogatepass"))) for s, g, t in zip(b.column("__source").to_pylist(), b.column("__lang").to_pylist(), texts, strict=True)], int))
-            some, meta, both = shared.value.scores(v, m)
+            read = np.array([read_views(t) for t in texts], np.float16).reshape(len(texts), -1)
+            cells = np.array([metadata_cell(s, g, len(t.encode("utf-8", "surrogatepass"))) for s, g, t in zip(b.column("__source").to_pylist(), b.column("__lang").to_pylist(), texts, strict=True)], int)
+            some, meta, both = shared.value.scores(*split_views(read, cells))
             wordless = np.array([not t.strip() for t in texts], bool)
             both = np.where(wordless, 0.0, both)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(both), pa.array(some), pa.array(meta)], [*carry, *[f"__{c.split()[0]}" for c in SCORED.split(", ")]])
@@ -392,7 +389,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
     kept says whether the combined, calibrated chance of good quality reaches threshold.
     Nulls: a null text is empty; a text without words scores 0 and is not kept; null lang or source are a value like
-    others; a null doc_id is scored, but never trains. Repeated rows are scored each. An empty table gives no rows,
+    others; a null doc_id is scored, but never trains. Repeated rows are scored each. A text of any length is read whole, in one
+    worker. An empty table gives no rows,
     a label table too small to learn from keeps every text that has words. Other columns are not read.
     """
     scored = _scored(docs.select("doc_id", "text", "lang", "source"), fit(docs, labels, **options), ["doc_id"])
