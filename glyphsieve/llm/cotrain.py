@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -98,7 +99,7 @@ class Logistic:
             sums = _newton(x, y, mean, scale, w) + (share * more.newton(mean, scale, w) if more else 0)
             step = np.linalg.solve(sums[: -k - 1].reshape(k + 1, k + 1) + np.diag(ridge), sums[-k - 1 :] + ridge * w)
             w = w - step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         return cls(mean, scale, w)
 
@@ -215,22 +216,25 @@ class Pool:
 
 
 class TablePool(Pool):
-    """All rows without a label, in a table (view, cell, chance): each task adds up its rows, the driver adds up the tasks."""
+    """All rows without a label, in a table (view, cell, chance): each task adds up its rows, and of many tasks a few add up the sums."""
 
     def __init__(self, table: DataFrame):
-        self.table, self.size = table, table.count()
+        self.table, self.size, self.parts = table, table.count(), table.rdd.getNumPartitions()
 
     def total(self, of: Callable[[Rows], np.ndarray]) -> np.ndarray:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [0.0]
-            for b in batches:
-                if b.num_rows:
-                    read = np.frombuffer(b"".join(b.column("view").to_pylist()), np.float16).reshape(b.num_rows, -1)
-                    parts = [parts[0] + of(Rows(split_views(read, b.column("cell").to_numpy()), b.column("chance").to_numpy()))]
-            if isinstance(parts[0], np.ndarray):
-                yield pa.RecordBatch.from_arrays([pa.array([parts[0].tobytes()], pa.binary())], ["sums"])
+        def added(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            sums = sum(parts, 0.0)
+            if isinstance(sums, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
-        return sum(np.frombuffer(r.sums) for r in self.table.mapInArrow(add, "sums binary").toLocalIterator())  # one task's sums at a time
+        def rows(b: pa.RecordBatch) -> np.ndarray:
+            read = np.frombuffer(b"".join(b.column("view").to_pylist()), np.float16).reshape(b.num_rows, -1)
+            return of(Rows(split_views(read, b.column("cell").to_numpy()), b.column("chance").to_numpy()))
+
+        some = self.table.mapInArrow(lambda batches: added(rows(b) for b in batches if b.num_rows), "sums binary")
+        if self.parts > 64:
+            some = some.repartition(math.isqrt(self.parts)).mapInArrow(lambda batches: added(np.frombuffer(x) for b in batches for x in b.column(0).to_pylist()), "sums binary")
+        return sum(np.frombuffer(r.sums) for r in some.collect())
 
 
 @dataclass
@@ -341,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **options:
     """Train on at most max_labelled labelled documents, the first by a hash of doc_id, and on all rows without a label.
 
     Views of the rows without a label are written once; every round passes over all of them. What reaches the driver are
-    the labelled documents' views, and sums of bounded size, one task's at a time. Labels that disagree
+    the labelled documents' views, and sums of bounded size from a few tasks. Labels that disagree
     on a doc_id count as their rounded mean; with under 20 labels, or one kind alone, nothing is learned and every score is 1.
     """
     spark = docs.sparkSession
