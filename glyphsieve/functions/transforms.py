@@ -1,7 +1,7 @@
 """Text transforms as column expressions.
 
-Delete and VariantNorm are built-in expressions. The others can turn one character into several; ASCII texts, which
-need at most lower-casing, never leave the JVM, and the rest go through an Arrow UDF.
+Each transform maps single characters, so any sequence of them is one table. Where that maps characters to one or none, it is a
+built-in expression; texts with a character that becomes several go through an Arrow UDF, the others never leave the JVM.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphsieve import tables
 from glyphsieve.flags import ProcessType
+from glyphsieve.tables import Own, Table
 
 
 def _ranges(codes: list[int]) -> str:
@@ -27,78 +28,78 @@ def _ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
-@cache
-def delete_class() -> str:
-    """A Java regex class of exactly the deleted codepoints: Java's categories, corrected where its Unicode version differs."""
-    jvm = SparkSession.builder.getOrCreate()._jvm
-    base = "\\p{Cc}\\p{Cf}\\p{M}\\p{P}\\p{S}\\p{Z}"
-    gone = tables.delete()
-    strip = lambda text: jvm.java.util.regex.Pattern.compile(f"[{base}]").matcher(text).replaceAll("")
-    missed = [ord(c) for c in strip("".join(map(chr, gone)))]
-    rest = [c for c in range(0x110000) if c not in gone and not 0xD800 <= c < 0xE000]
-    left = {ord(c) for c in strip("".join(map(chr, rest)))}
-    wrong = [c for c in rest if c not in left]
-    return f"[{base}{_ranges(missed)}" + (f"&&[^{_ranges(wrong)}]]" if wrong else "]")
+def _any_of(codes: list[int]) -> str:
+    """A Java regular expression for one of codes; ASCII characters are passed by at once if none of them is ASCII."""
+    return f"[{'[^\\x00-\\x7F]&&' * (min(codes) > 127)}[{_ranges(codes)}]]"
+
+
+class Mapping:
+    """A table as an expression. Its UDF holds the table in its closure: executors derive none."""
+
+    def __init__(self, table: Table):
+        single = {c: s for c, s in table.items() if s and len(s) == 1}
+        gone = [c for c, s in table.items() if not s]
+        self.matching, self.replace = "".join(map(chr, [*single, *gone])), "".join(single.values())
+        several = [c for c, s in table.items() if s and len(s) > 1]
+        self.several = _any_of(several) if several else None
+
+        @F.pandas_udf("string")
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: t.translate(table), na_action="ignore")
+
+        self.run = run
+
+    def __call__(self, text: Column) -> Column:
+        plain = F.translate(text, self.matching, self.replace) if self.matching else text
+        if not self.several:
+            return plain
+        needs = text.rlike(self.several)
+        return F.when(needs, self.run(F.when(needs, text))).otherwise(plain)
 
 
 @cache
-def _translator(step: int):  # noqa: ANN202
-    """An Arrow UDF with the table inside its closure: executors need no JVM of their own to derive it."""
-    table = tables.table(step)
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t.translate(table), na_action="ignore")
-
-    return run
-
-
-def apply_step(text: Column, step: ProcessType) -> Column:
-    """One transform of a string column."""
-    if step == ProcessType.DELETE:
-        return F.regexp_replace(text, delete_class(), "")
-    if step == ProcessType.VARIANT_NORM:
-        pairs = tables.variant_norm()
-        return F.translate(text, "".join(map(chr, pairs)), "".join(pairs.values()))
-    ascii_only = ~text.rlike("[^\\x00-\\x7F]")
-    plain = F.lower(text) if step == ProcessType.NORMALIZE else text
-    return F.when(ascii_only, plain).otherwise(_translator(int(step))(F.when(~ascii_only, text)))
-
-
-def prefixes(text: Column, pt: int) -> list[Column]:
-    """The text after each step, in order; without steps nothing."""
-    out = []
-    for step in ProcessType.checked(pt).normalized().steps():
-        text = apply_step(text, step)
-        out.append(text)
-    return out
+def _derived(steps: tuple[int, ...]) -> Mapping:
+    return Mapping(tables.composed(steps))
+
+
+def steps_of(pt: int) -> list[ProcessType]:
+    """Single transforms of pt in their order; 0, no transform at all, leaves a text as it is."""
+    return ProcessType.checked(pt).normalized().steps() if pt else []
+
+
+def prefixes(text: Column, pt: int, own: Own = None) -> list[Column]:
+    """The text after each step, in order; without steps nothing. Each is read off the text itself, not off the one before."""
+    steps = tuple(map(int, steps_of(pt)))
+    parts = [steps[: k + 1] for k in range(len(steps))]
+    return [(Mapping(tables.composed(s, own)) if own else _derived(s))(text) for s in parts]
 
 
-def text_process(pt: int, text: Column) -> Column:
-    """The text after all transforms of pt."""
-    return ([text] + prefixes(text, pt))[-1]
+def text_process(pt: int, text: Column, own: Own = None) -> Column:
+    """The text after all transforms of pt. own replaces derived tables, by transform bit (see sources.read_table)."""
+    steps = tuple(map(int, steps_of(pt)))
+    if not steps:
+        return text
+    return (Mapping(tables.composed(steps, own)) if own else _derived(steps))(text)
 
 
-def reduce_text_process(pt: int, text: Column) -> Column:
+def reduce_text_process(pt: int, text: Column, own: Own = None) -> Column:
     """Array of the text and of each transform's result that differs from the one before."""
-    every = F.array(text, *prefixes(text, pt))
+    every = F.array(text, *prefixes(text, pt, own))
     return F.transform(F.array(every), lambda a: F.filter(a, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(a, i - 1))))[0]
 
 
-def reduce_text_process_emit(pt: int, text: Column) -> Column:
+def reduce_text_process_emit(pt: int, text: Column, own: Own = None) -> Column:
     """As reduce_text_process, but a changed result takes the place of the last entry, except that Delete's adds one."""
-    steps = ProcessType.checked(pt).normalized().steps()
     out, last = F.array(text), text
-    for step, now in zip(steps, prefixes(text, pt), strict=True):
+    for step, now in zip(steps_of(pt), prefixes(text, pt, own), strict=True):
         kept = out if step == ProcessType.DELETE else F.slice(out, 1, F.size(out) - 1)
         out = F.when(now.eqNullSafe(last), out).otherwise(F.concat(kept, F.array(now)))
         last = now
     return out
 
 
-def variants(pt: int, text: Column) -> list[Column]:
+def variants(pt: int, text: Column, own: Own = None) -> list[Column]:
     """The forms of a text in which a rule of type pt is looked for: the result of each step, and the text itself if
     there is no step or the first is Delete."""
-    pt = ProcessType.checked(pt).normalized()
-    first = pt.steps()[:1]
-    return ([text] if not first or first[0] == ProcessType.DELETE else []) + prefixes(text, pt)
+    first = steps_of(pt)[:1]
+    return ([text] if not first or first[0] == ProcessType.DELETE else []) + prefixes(text, pt, own)

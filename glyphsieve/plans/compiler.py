@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from glyphsieve import tables
 from glyphsieve.flags import EmptyPatterns, ProcessType, RuleError
+from glyphsieve.tables import Own
 
 BOUNDARY = "\\b"
 
@@ -47,6 +48,7 @@ class Rule:
 @dataclass
 class Compiled:
     rules: list[Rule]
+    own: Own = None  # tables that take the place of derived ones
     patterns: list[str] = field(default_factory=list)
 
     def entries(self) -> Iterable[tuple[int, str, bool, bool, int, int]]:
@@ -57,27 +59,27 @@ class Compiled:
                     yield int(r.process_type), a.pattern, a.left, a.right, k, s.number
 
 
-def emitted(pt: ProcessType, pattern: str) -> str:
+def emitted(pt: ProcessType, pattern: str, own: Own = None) -> str:
     """A pattern under all transforms of pt but Delete, which concerns texts alone."""
     for step in pt.steps():
         if step != ProcessType.DELETE:
-            pattern = tables.translate(step, pattern)
+            pattern = tables.translate(step, pattern, own)
     return pattern
 
 
-def _alternatives(pt: ProcessType, segment: str) -> tuple[Alternative, ...]:
+def _alternatives(pt: ProcessType, segment: str, own: Own) -> tuple[Alternative, ...]:
     out: dict[Alternative, None] = {}
     for part in segment.split("|"):
         left = part.startswith(BOUNDARY)
         part = part[2:] if left else part
         right = part.endswith(BOUNDARY)
         part = part[:-2] if right else part
-        if part and (pattern := emitted(pt, part)):
+        if part and (pattern := emitted(pt, part, own)):
             out[Alternative(pattern, left, right)] = None
     return tuple(out)
 
 
-def parse(pt: ProcessType, word_id: int, word: str) -> Rule | None:
+def parse(pt: ProcessType, word_id: int, word: str, own: Own = None) -> Rule | None:
     """A rule, or None if it asks for no segment. & and ~ begin a needed and a vetoing segment; | parts alternatives. A segment
     written k times has quota k; segments are told apart by their text."""
     needed, vetoing, counts = Counter(), Counter(), Counter
@@ -90,10 +92,10 @@ def parse(pt: ProcessType, word_id: int, word: str) -> Rule | None:
     if not needed:
         return None
     segments = [(False, *x) for x in counts(needed).items()] + [(True, *x) for x in counts(vetoing).items()]
-    return Rule(pt, word_id, word, tuple(Segment(k, neg, quota, _alternatives(pt, text)) for k, (neg, text, quota) in enumerate(segments)))
+    return Rule(pt, word_id, word, tuple(Segment(k, neg, quota, _alternatives(pt, text, own)) for k, (neg, text, quota) in enumerate(segments)))
 
 
-def compile_rules(rows: Iterable[tuple[int, int, str]]) -> Compiled:
+def compile_rules(rows: Iterable[tuple[int, int, str]], own: Own = None) -> Compiled:
     """Rows are (process_type, word_id, word). Of rows with one normalized type and id the last stays.
 
     Raises InvalidProcessType for a type outside 1..127, RuleError for other bad rows, and EmptyPatterns if nothing is left to look for.
@@ -103,8 +105,8 @@ def compile_rules(rows: Iterable[tuple[int, int, str]]) -> Compiled:
         if not isinstance(word, str) or isinstance(word_id, bool) or not isinstance(word_id, int):
             raise RuleError(f"not a rule: {(pt, word_id, word)!r}")
         last[ProcessType.checked(pt).normalized(), word_id] = word
-    rules = [r for (pt, word_id), word in sorted(last.items()) if (r := parse(pt, word_id, word))]
-    out = Compiled(rules)
+    rules = [r for (pt, word_id), word in sorted(last.items()) if (r := parse(pt, word_id, word, own))]
+    out = Compiled(rules, own)
     out.patterns = sorted({e[1] for e in out.entries()})
     if not out.patterns:
         raise EmptyPatterns("no rule has a pattern")

@@ -49,17 +49,32 @@ def fires(rule: Rule, texts: list[Column]) -> Column:
 
 
 def _by_type(compiled: Compiled, text: Column) -> dict[int, list[Column]]:
-    return {int(pt): variants(pt, text) for pt in {r.process_type for r in compiled.rules}}
+    return {int(pt): variants(pt, text, compiled.own) for pt in {r.process_type for r in compiled.rules}}
+
+
+def predicate(compiled: Compiled, text: Column) -> Column:
+    """Whether any rule fires; null or false where a text is null. As a filter it is pushed to the scan where it is made of literals.
+    Every rule needs a pattern, so empty texts fire none."""
+    texts = _by_type(compiled, text)
+    return reduce(lambda a, b: a | b, [fires(r, texts[int(r.process_type)]) for r in compiled.rules])
 
 
 def is_match(compiled: Compiled, text: Column) -> Column:
+    return F.coalesce(predicate(compiled, text), F.lit(False))
+
+
+def _each(compiled: Compiled, text: Column) -> list[Column]:
+    """(word_id, word) of each rule where it fires, else null."""
     texts = _by_type(compiled, text)
-    return F.coalesce((text != "") & reduce(lambda a, b: a | b, [fires(r, texts[int(r.process_type)]) for r in compiled.rules]), F.lit(False))
+    return [F.when(fires(r, texts[int(r.process_type)]), F.struct(F.lit(r.word_id).cast("long").alias("word_id"), F.lit(r.word).alias("word"))) for r in compiled.rules]
 
 
 def process(compiled: Compiled, text: Column) -> Column:
     """Array of (word_id, word) of the rules that fire, by process type and id."""
-    texts = _by_type(compiled, text)
-    one = lambda r: F.when(fires(r, texts[int(r.process_type)]), F.struct(F.lit(r.word_id).cast("long").alias("word_id"), F.lit(r.word).alias("word")))
-    every = F.filter(F.array(*map(one, compiled.rules)), lambda x: x.isNotNull())
+    every = F.filter(F.array(*_each(compiled, text)), lambda x: x.isNotNull())
     return F.when(text != "", every).otherwise(F.array().cast(MATCHES)).cast(MATCHES)
+
+
+def first(compiled: Compiled, text: Column) -> Column:
+    """The first rule that fires, or null; rules behind it are not evaluated."""
+    return F.coalesce(*_each(compiled, text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from glyphsieve import tables
 from glyphsieve.flags import ProcessType
 from glyphsieve.plans.compiler import Alternative, Compiled, Rule
+from glyphsieve.tables import Own
 
 
 def word_character(c: str) -> bool:
@@ -24,17 +25,17 @@ def hits(text: str, a: Alternative) -> int:
     return n
 
 
-def text_variants(pt: ProcessType, text: str) -> list[str]:
+def text_variants(pt: ProcessType, text: str, own: Own = None) -> list[str]:
     steps = pt.steps()
     out = [text] if not steps or steps[0] == ProcessType.DELETE else []
     for s in steps:
-        text = tables.translate(s, text)
+        text = tables.translate(s, text, own)
         out.append(text)
     return list(dict.fromkeys(out))
 
 
-def fires(rule: Rule, text: str) -> bool:
-    forms = text_variants(rule.process_type, text)
+def fires(rule: Rule, text: str, own: Own = None) -> bool:
+    forms = text_variants(rule.process_type, text, own)
     for s in rule.segments:
         most = max(sum(hits(v, a) for a in s.alternatives) for v in forms)
         if (most >= s.quota) == s.negative:
@@ -44,4 +45,4 @@ def fires(rule: Rule, text: str) -> bool:
 
 def process(compiled: Compiled, text: str | None) -> list[tuple[int, str]]:
     """(word_id, word) of the rules that fire, by process type and id."""
-    return [(r.word_id, r.word) for r in compiled.rules if text and fires(r, text)]
+    return [(r.word_id, r.word) for r in compiled.rules if text and fires(r, text, compiled.own)]

@@ -7,30 +7,26 @@ readings and look-alike letters the ICU library in Spark's JVM, which is asked o
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
+from contextlib import suppress
 from fractions import Fraction
 from functools import cache
+from importlib import import_module
 from pathlib import Path
 
 Table = dict[int, str | None]
+#: Tables that take the place of derived ones, by transform bit.
+Own = Mapping[int, Table] | None
 #: General categories whose characters Delete drops.
 DELETED = ("Cc", "Cf", "Mc", "Me", "Mn", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Sc", "Sk", "Sm", "So", "Zl", "Zp", "Zs")
 #: Syllable parts of the Revised Romanization of Korean.
-KOREAN_INITIAL = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
-KOREAN_MEDIAL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(" ")
-KOREAN_FINAL = " g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h".split(" ")
+KOREAN_INITIAL = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
+KOREAN_MEDIAL = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i")
+KOREAN_FINAL = ("", "g", "kk", "gs", "n", "nj", "nh", "d", "l", "lg", "lm", "lb", "ls", "lt", "lp", "lh", "m", "b", "bs", "s", "ss", "ng", "j", "ch", "k", "t", "p", "h")
 #: Kana whose Hepburn reading is not the last word of their Unicode name.
 HEPBURN = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji"}
-#: Short names of common pictographs that don't follow from their Unicode names.
-EMOJI_NAMES = {
-    "❤": "red_heart", "👍": "thumbs_up", "👎": "thumbs_down", "🔥": "fire", "👋": "waving_hand", "👏": "clapping_hands",
-    "🙏": "folded_hands", "💪": "flexed_biceps", "👀": "eyes", "👌": "ok_hand", "✌": "victory_hand", "👊": "oncoming_fist",
-    "✊": "raised_fist", "✋": "raised_hand", "☝": "index_pointing_up", "😂": "face_with_tears_of_joy", "😭": "loudly_crying_face",
-    "😊": "smiling_face_with_smiling_eyes", "😍": "smiling_face_with_heart-eyes", "😘": "face_blowing_a_kiss", "😁": "beaming_face_with_smiling_eyes",
-    "😡": "enraged_face", "😠": "angry_face", "💯": "hundred_points", "⭐": "star", "✨": "sparkles", "☀": "sun", "☁": "cloud",
-    "☎": "telephone", "✅": "check_mark_button", "❌": "cross_mark", "✔": "check_mark", "™": "trade_mark", "℗": "sound_recording_copyright",
-    "💩": "pile_of_poo", "👻": "ghost", "💀": "skull", "🚀": "rocket", "🎉": "party_popper", "💔": "broken_heart", "💕": "two_hearts",
-}
+#: Fixed value: a symbol that has a name though it is no pictograph.
+RECORDING = {"\u2117": "sound_recording_copyright"}
 
 
 def _characters() -> Iterable[str]:
@@ -138,34 +134,59 @@ def romanize() -> Table:
     return {c: f" {s}" for c, s in readings().items()}
 
 
+def _short_names() -> dict[str, str]:
+    """Short names of single pictographs, as the public list in the rich library has them (pip brings a copy); of several the first."""
+    for module in ("rich._emoji_codes", "pip._vendor.rich._emoji_codes"):
+        with suppress(ImportError):
+            out: dict[str, str] = {}
+            for name, text in import_module(module).EMOJI.items():
+                out.setdefault(text.replace("\ufe0f", ""), name.replace(" ", "_"))
+            return out
+    return {}
+
+
 @cache
 def emoji(names: str | None = None) -> Table:
-    """A space and the short name of each symbol beyond U+0200; joiners, variation selectors and skin tones are dropped;
-    regional indicators are a space and their letter. Names come from a file of lines "character<TAB>name" if given; else
-    from EMOJI_NAMES and Unicode names without "sign" or "symbol" at their end."""
-    own = dict(EMOJI_NAMES)
+    """A space and the short name of each pictograph; joiners, variation selectors and skin tones are dropped; regional indicators
+    are a space and their letter. Names come from a file of lines "character<TAB>name" if given; else they are short names of symbols
+    (category So) beyond U+0200, or where that list is not at hand Unicode names without "sign" or "symbol" at their end."""
     if names:
         own = {k: v for k, _, v in (line.partition("\t") for line in Path(names).read_text(encoding="utf-8").splitlines() if line and line[0] != "#")}
-    out: Table = {}
-    for c in _characters():
-        if unicodedata.category(c) != "So" or ord(c) < 0x200:
-            continue
-        name = own.get(c) or ("" if names else unicodedata.name(c, "").lower().removesuffix(" sign").removesuffix(" symbol"))
-        if name and (names or ord(c) >= 0x2190):
-            out[ord(c)] = " " + "_".join(name.split())
+    else:
+        own = _short_names() or {c: unicodedata.name(c, "").lower().removesuffix(" sign").removesuffix(" symbol") for c in _characters() if ord(c) >= 0x2190}
+        own = {c: n for c, n in own.items() if len(c) == 1 and unicodedata.category(c) == "So" and ord(c) >= 0x200 and n} | RECORDING
+    out: Table = {ord(c): " " + "_".join(n.split()) if n else None for c, n in own.items()}
+    if names:
+        return out
     out |= {c: None for c in (0x200D, 0xFE0E, 0xFE0F, *range(0x1F3FB, 0x1F400))}
     return out | {0x1F1E6 + k: f" {chr(97 + k)}" for k in range(26)}
 
 
-def table(step: int) -> Table:
-    """The table of one transform bit."""
+def table(step: int, own: Own = None) -> Table:
+    """The table of one transform bit: own's, if own has one, else the derived one."""
+    if own and int(step) in own:
+        return own[int(step)]
     return {2: variant_norm, 4: delete, 8: normalize, 16: romanize, 32: readings, 64: emoji}[int(step)]()
 
 
-def translate(step: int, text: str) -> str:
+def translate(step: int, text: str, own: Own = None) -> str:
     """One transform of a text, in Python."""
-    if int(step) == 8 and text.isascii():
-        return text.lower()
-    if int(step) in (2, 16, 32, 64) and text.isascii():
-        return text
-    return text.translate(table(step))
+    if not (own and int(step) in own):
+        if int(step) == 8 and text.isascii():
+            return text.lower()
+        if int(step) in (2, 16, 32, 64) and text.isascii():
+            return text
+    return text.translate(table(step, own))
+
+
+def composed(steps: Iterable[int], own: Own = None) -> Table:
+    """One table that does what steps do one after another: each maps single characters, so all of them together do."""
+    every = [table(s, own) for s in steps]
+    out: Table = {}
+    for c in set().union(*every):
+        text = chr(c)
+        for t in every:
+            text = text.translate(t)
+        if text != chr(c):
+            out[c] = text or None
+    return out
