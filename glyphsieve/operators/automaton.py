@@ -29,7 +29,8 @@ class Scanner:
         for pt, pattern, left, right, rule, segment in compiled.entries():
             left, right = left and word_character(pattern[0]), right and word_character(pattern[-1])
             by_type[pt][pattern].append((left, right, rule, segment))
-        self.tables = {int(s): tables.table(s) for pt in by_type for s in ProcessType(pt).steps()}
+        self.tables = {int(s): tables.table(s, compiled.own) for pt in by_type for s in ProcessType(pt).steps()}
+        self.owned = set(compiled.own or ())
         self.entries = {pt: list(patterns.values()) for pt, patterns in by_type.items()}
         self.lengths = {pt: [len(p) for p in patterns] for pt, patterns in by_type.items()}
         # a rule of one needed segment that one hit fulfils fires at once
@@ -58,20 +59,21 @@ class Scanner:
         out = [text] if not steps or steps[0] == ProcessType.DELETE else []
         plain = text.isascii()
         for s in steps:
-            if plain and s != ProcessType.DELETE:
+            if plain and s != ProcessType.DELETE and int(s) not in self.owned:
                 text = text.lower() if s == ProcessType.NORMALIZE else text
             else:
                 text = text.translate(self.tables[int(s)])
             out.append(text)
         return list(dict.fromkeys(out))
 
-    def fired(self, text: str | None, first: bool = False) -> list[int]:
-        """Numbers of the rules that fire, ascending; with first, one of them as soon as it is sure."""
+    def fired(self, text: str | None, first: bool = False, least: bool = False) -> list[int]:
+        """Numbers of the rules that fire, ascending; with first, one of them as soon as it is sure; with least, those of the first
+        process type that has any, as rules are numbered by type: types behind it are not scanned."""
         if not text:
             return []
         done: set[int] = set()
         best: dict[tuple[int, int], int] = {}
-        for pt, entries in self.entries.items():
+        for pt, entries in sorted(self.entries.items()):
             direct, lengths = self.direct[pt], self.lengths[pt]
             for form in self._variants(pt, text):
                 if self.all_direct[pt]:  # single literals: which are found is all that counts
@@ -113,13 +115,21 @@ class Scanner:
                 for at, n in sums.items():
                     if n > best.get(at, 0):
                         best[at] = n
+            if least:
+                done.update(self._settled(best))
+                if done:
+                    return sorted(done)
+        done.update(self._settled(best))
+        return sorted(done)
+
+    def _settled(self, best: dict[tuple[int, int], int]) -> list[int]:
+        """The rules whose needed segments all have their quota and whose vetoing ones have not."""
         have: dict[int, int] = defaultdict(int)
         for (rule, segment), n in best.items():
             negative, quota = self.segments[rule][segment]
             if n >= quota:
                 have[rule] += -1_000_000 if negative else 1
-        done.update(r for r, n in have.items() if n == self.rules[r][2])
-        return sorted(done)
+        return [r for r, n in have.items() if n == self.rules[r][2]]
 
     def is_match(self, text: str | None) -> bool:
         return bool(self.fired(text, first=True))

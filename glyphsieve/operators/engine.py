@@ -6,28 +6,34 @@ import json
 from collections.abc import Iterable, Mapping
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsieve.flags import ProcessType
+from glyphsieve.flags import ProcessType, RuleError
 from glyphsieve.operators.automaton import Scanner
 from glyphsieve.plans import expressions, relational
 from glyphsieve.plans.compiler import Compiled, compile_rules
 from glyphsieve.plans.expressions import MATCHES
+from glyphsieve.tables import Own
 
 #: Up to so many alternatives, rules are expressions; beyond, one automaton scan is cheaper than that many searches.
 FEW = 48
+#: An automaton whose rules take more than this, by size_bytes, is not broadcast: match_rows evaluates rule tables of any size.
+MOST_BYTES = 1 << 30
 
 
 class RuleEngine:
     """Evaluates rules over DataFrames. tier is "expressions", "automaton", or None to choose by the number of patterns.
 
-    Null and empty texts fire nothing. Results are ordered by process type and word_id; word is the rule as written.
+    Null and empty texts fire nothing. Results are ordered by process type and word_id; word is the rule as written. own holds
+    tables that take the place of derived ones, by transform bit (see sources.read_table).
     """
 
-    def __init__(self, rows: Iterable[tuple[int, int, str]], tier: str | None = None):
-        self.compiled: Compiled = compile_rules(rows)
+    def __init__(self, rows: Iterable[tuple[int, int, str]], tier: str | None = None, own: Own = None):
+        self.compiled: Compiled = compile_rules(rows, own)
         if tier not in (None, "expressions", "automaton"):
             raise ValueError(f"no tier {tier!r}")
         self.tier = tier or ("expressions" if sum(1 for _ in self.compiled.entries()) <= FEW else "automaton")
@@ -40,6 +46,8 @@ class RuleEngine:
 
     @cached_property
     def _scanner(self):  # noqa: ANN202
+        if self.size_bytes() > MOST_BYTES:
+            raise RuleError(f"rules of about {self.size_bytes()} bytes are too many to broadcast; use match_rows")
         return SparkSession.builder.getOrCreate().sparkContext.broadcast(Scanner(self.compiled))
 
     def is_match(self, text: Column) -> Column:
@@ -62,10 +70,9 @@ class RuleEngine:
         shared = self._scanner
 
         @F.arrow_udf(MATCHES)
-        def run(texts):  # noqa: ANN001, ANN202
-            import pyarrow as pa
-
-            return pa.array([shared.value.process(t) for t in texts.to_pylist()], pa.list_(pa.struct([("word_id", pa.int64()), ("word", pa.string())])))
+        def run(texts: pa.Array) -> pa.Array:
+            fired = shared.value.fired
+            return _results(shared.value, [fired(t) for t in texts.to_pylist()])
 
         return run(text)
 
@@ -74,21 +81,36 @@ class RuleEngine:
         return F.concat(F.coalesce(existing, F.array().cast(MATCHES)), self.process(text))
 
     def find_match(self, text: Column) -> Column:
-        """The first rule that fires, or null."""
-        return F.get(self.process(text), 0)
+        """The first rule that fires, or null. Expressions stop at it, the automaton at the first process type that has one."""
+        if self.tier == "expressions":
+            return expressions.first(self.compiled, text)
+        shared = self._scanner
+
+        @F.arrow_udf(MATCHES)
+        def run(texts: pa.Array) -> pa.Array:
+            fired = shared.value.fired
+            return _results(shared.value, [fired(t, least=True)[:1] for t in texts.to_pylist()])
+
+        return F.get(run(text), 0)
 
     def explode_matches(self, docs: DataFrame, text: str, limit: int | None = None) -> DataFrame:
-        """docs with a row for each rule that fires (at most limit for each text) and its columns word_id, word."""
-        found = self.process(F.col(text))
+        """docs with a row for each rule that fires (at most limit for each text) and its columns word_id, word; where docs has a column
+        of such a name, match_word_id or match_word."""
+        found = F.filter(F.array(self.find_match(F.col(text))), lambda m: m.isNotNull()) if limit == 1 else self.process(F.col(text))
         found = F.slice(found, 1, limit) if limit else found
-        return docs.select("*", F.explode(found).alias("__m")).select(*[docs[c] for c in docs.columns], F.col("__m.word_id").alias("word_id"), F.col("__m.word").alias("word"))
+        own = [F.col(f"__m.{c}").alias(f"match_{c}" if c in docs.columns else c) for c in ("word_id", "word")]
+        return docs.select("*", F.explode(found).alias("__m")).select(*[docs[c] for c in docs.columns], *own)
 
     def match_df(self, docs: DataFrame, text: str, out: str = "matches") -> DataFrame:
-        """docs with a column of all rules that fire, empty where none does."""
+        """docs with a column of all rules that fire, empty where none does. A column of that name is an error."""
+        if out in docs.columns:
+            raise ValueError(f"docs have a column {out!r} already")
         return docs.withColumn(out, self.process(F.col(text)))
 
     def semi(self, docs: DataFrame, text: str) -> DataFrame:
-        """The rows of docs in which some rule fires."""
+        """The rows of docs in which some rule fires. Literals are looked for by the scan where it can."""
+        if self.tier == "expressions":
+            return docs.where(expressions.predicate(self.compiled, F.col(text)))
         return docs.where(self.is_match(F.col(text)))
 
     def anti(self, docs: DataFrame, text: str) -> DataFrame:
@@ -109,7 +131,7 @@ class RuleEngine:
 
     def register(self, spark: SparkSession, name: str) -> None:
         """SQL functions: name_is_match(text), and name_process(text) for the ids of the rules that fire."""
-        shared = spark.sparkContext.broadcast(Scanner(self.compiled))
+        shared = self._scanner
 
         @F.pandas_udf("boolean")
         def matches(texts: pd.Series) -> pd.Series:
@@ -139,6 +161,16 @@ class RuleEngine:
         return json.dumps(out, ensure_ascii=False)
 
 
+def _results(scanner: Scanner, fired: list[list[int]]) -> pa.Array:
+    """The rules of each text, taken by their numbers from one array of all."""
+    if not hasattr(scanner, "names"):
+        ids, words = [r[0] for r in scanner.rules], [r[1] for r in scanner.rules]
+        scanner.names = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["word_id", "word"])
+    ends = np.cumsum([0, *map(len, fired)], dtype=np.int32)
+    flat = np.fromiter((r for own in fired for r in own), np.int64, int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), scanner.names.take(pa.array(flat)))
+
+
 class RuleEngineBuilder:
     """Collects rules; of those with one type and id the last stays. build() empties the builder, so a second one fails."""
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.functions import variants
@@ -10,7 +13,8 @@ from glyphsieve.plans.compiler import Compiled
 from glyphsieve.plans.expressions import WORD, quoted
 from glyphsieve.plans.naive import word_character
 
-SEED = 5  # characters by which patterns of that length and more find their texts
+SEED = 5  # patterns find their texts by so many characters at their start, or by all if they have fewer
+TRIE = 20_000  # seeds of one length up to which one regular expression holds them
 BROADCAST_BYTES = 32 << 20
 HITS = "rule int, segment int, process_type int, variant int, n long"
 
@@ -21,33 +25,49 @@ def _entries(docs: DataFrame, compiled: Compiled) -> tuple[DataFrame, int]:
     for pt, pattern, left, right, rule, segment in compiled.entries():
         before = f"(?<![{WORD}])" if left and word_character(pattern[0]) else ""
         after = f"(?![{WORD}])" if right and word_character(pattern[-1]) else ""
-        rows.append((pt, pattern, f"(?={before}{quoted(pattern)}{after})", bool(before or after), pattern[:SEED] if len(pattern) >= SEED else None, rule, segment))
+        rows.append((pt, pattern, f"(?={before}{quoted(pattern)}{after})", bool(before or after), pattern[:SEED], rule, segment))
     made = docs.sparkSession.createDataFrame(rows, "process_type int, pattern string, regex string, bounded boolean, seed string, rule int, segment int")
     return made, sum(len(r[1]) + len(r[2]) + 64 for r in rows)
 
 
+def _trie(seeds: list[str]) -> str:
+    """A Java regular expression for any of seeds, which are of one length; common beginnings are written once."""
+    if not seeds[0]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for x in seeds:
+        heads.setdefault(x[0], []).append(x[1:])
+    parts = [re.sub(r"([^\w\s]|[#\s])", r"\\\1", h, flags=re.ASCII) + _trie(rest) for h, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def _occurring(form: Column, seeds: list[str]) -> Column:
+    """The seeds that occur in form: at each place at most one of each length does. Of so many that no expression holds them, all
+    strings of their length are given."""
+    lengths = {n: sorted({x for x in seeds if len(x) == n}) for n in sorted({len(x) for x in seeds})}
+    found = [F.regexp_extract_all(form, F.lit(f"(?s)(?=({_trie(own) if len(own) <= TRIE else f'.{{{n}}}'}))"), F.lit(1)) for n, own in lengths.items()]
+    return F.array_distinct(F.concat(*found))
+
+
 def hit_rows(docs: DataFrame, compiled: Compiled, text: str, key: str) -> DataFrame:
     """key, rule, segment, process_type, variant, n: hits of each alternative in each distinct variant of each text.
 
-    Long patterns are found by an equi-join of their first SEED characters with those that start anywhere in a variant, short ones by
-    a nested loop over the few of them; both are verified. The table of patterns is broadcast if its bytes, known from
-    the compiled rules, allow; else the seed join is an ordinary shuffle join.
+    Patterns find texts by an equi-join of their first SEED characters with those seeds that occur in a variant, and are then verified.
+    The table of patterns is broadcast if its bytes, known from the compiled rules, allow; else the join is an ordinary
+    shuffle join by type and seed, whose hot seeds AQE splits.
     """
     entries, size = _entries(docs, compiled)
     small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df
-    types = sorted({int(r.process_type) for r in compiled.rules})
-    forms = [F.struct(F.lit(pt).alias("process_type"), F.array_distinct(F.array(*variants(pt, F.col(text)))).alias("texts")) for pt in types]
+    seeds: dict[int, set[str]] = {}
+    for pt, pattern, *_ in compiled.entries():
+        seeds.setdefault(pt, set()).add(pattern[:SEED])
+    forms = [F.struct(F.lit(pt).alias("process_type"), F.array_distinct(F.array(*variants(pt, F.col(text), compiled.own))).alias("texts")) for pt in sorted(seeds)]
     each = docs.where(F.col(text) != "").select(F.col(key).alias("__key"), F.explode(F.array(*forms)).alias("f"))
     each = each.select("__key", F.col("f.process_type").alias("process_type"), F.posexplode("f.texts").alias("variant", "form"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        n = F.regexp_count("form", F.col("regex"))
-        return pairs.where(F.contains("form", F.col("pattern"))).select("__key", "rule", "segment", "process_type", "variant", n.cast("long").alias("n")).where("n > 0")
-
-    own = each.join(small(entries.where("seed is null").withColumnRenamed("process_type", "p")), (F.col("process_type") == F.col("p"))).drop("p")
-    seeds = F.array_distinct(F.regexp_extract_all("form", F.lit(f"(?s)(?=(.{{{SEED}}}))"), F.lit(1)))
-    long = each.withColumn("s", F.explode(seeds)).join(small(entries.where("seed is not null").withColumnRenamed("process_type", "p")), (F.col("process_type") == F.col("p")) & (F.col("s") == F.col("seed"))).drop("p")
-    return verified(own).unionByName(verified(long))
+    own = reduce(lambda a, pt: a.when(F.col("process_type") == pt, _occurring(F.col("form"), sorted(seeds[pt]))), sorted(seeds), F.when(F.lit(False), F.lit(None)))
+    pairs = each.withColumn("s", F.explode(own)).join(small(entries.withColumnRenamed("process_type", "p")), (F.col("process_type") == F.col("p")) & (F.col("s") == F.col("seed"))).drop("p")
+    n = F.regexp_count("form", F.col("regex"))
+    return pairs.where(F.contains("form", F.col("pattern"))).select("__key", "rule", "segment", "process_type", "variant", n.cast("long").alias("n")).where("n > 0")
 
 
 def matches(docs: DataFrame, compiled: Compiled, text: str, key: str) -> DataFrame:

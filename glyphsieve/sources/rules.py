@@ -35,11 +35,14 @@ def from_dict(nested: Mapping[int, Mapping[int, str]], tier: str | None = None)
     return RuleEngine(rows, tier)
 
 
-def from_dataframe(rules: DataFrame, order: str | None = None, tier: str | None = None) -> RuleEngine:
+def from_dataframe(rules: DataFrame, order: str | None = None, tier: str | None = None, most: int = 5_000_000) -> RuleEngine:
     """An engine from rows (process_type, word_id, word); of those with one type and id the last by order stays, or the
-    largest word. The rule table is brought to the driver, as compiling needs all of it."""
+    largest word. The rule table is brought to the driver, as compiling needs all of it: a table of over most rules is an error."""
     chosen = rules.groupBy("process_type", "word_id").agg(F.max_by("word", F.struct(order or "word", "word")).alias("word"))
-    return RuleEngine([(r.process_type, r.word_id, r.word) for r in chosen.collect()], tier)
+    rows = chosen.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return RuleEngine([(r.process_type, r.word_id, r.word) for r in rows], tier)
 
 
 def rules_from_json_column(df: DataFrame, column: Column) -> DataFrame:

@@ -96,6 +96,53 @@ def test_strings_and_columns_agree(spark):
         assert [(r.t, r.r, r.e) for r in got] == [(process_text(pt, t), reduce_text(pt, t), reduce_text_emit(pt, t)) for t in texts], pt
 
 
+def test_own_tables(spark, tmp_path):
+    """Tables of one's own take the place of derived ones, in texts, patterns and every plan."""
+    (tmp_path / "t.tsv").write_text("ж\tzh\nѣ\tе\n#\nx\t\n", encoding="utf-8")
+    own = {16: read_table(tmp_path / "t.tsv")}
+    assert own[16] == {ord("ж"): "zh", ord("ѣ"): "е", ord("x"): None}
+    docs = frame(spark, "ждѣx", "zhaxb", "plain", None)
+    assert [r.t for r in docs.select(text_process(16, F.col("text"), own).alias("t")).collect()] == ["zhде", "zhab", "plain", None]
+    assert process_text(16, "ждѣx", own) == "zhде" and reduce_text(16, "x", own) == ["x", ""]
+    for tier in ("expressions", "automaton"):
+        engine = RuleEngine([(16, 1, "жxд"), (16, 2, "zhab"), (16, 3, "西")], tier, own)
+        assert {(r.id, r.word_id) for r in engine.explode_matches(docs, "text").collect()} == {(0, 1), (1, 2)}
+        assert {(r.id, r.word_id) for r in engine.match_rows(docs, "text", "id").collect()} == {(0, 1), (1, 2)}
+
+
+def test_no_transform_leaves_the_text(spark):
+    assert process_text(0, "A b") == "A b" and reduce_text(0, "A") == ["A"]
+    got = frame(spark, "A b").select(text_process(0, F.col("text")).alias("t"), reduce_text_process(0, F.col("text")).alias("r")).first()
+    assert got.t == "A b" and got.r == ["A b"]
+
+
+def test_pictographs():
+    names = tables.emoji()
+    assert names[ord("™")] == " trade_mark" and names[ord("℗")] == " sound_recording_copyright" and names[ord("↕")] == " up-down_arrow"
+    assert names[ord("🤛")] == " left-facing_fist" and names[ord("👦")] == " boy" and names[0xFE0F] is None
+    assert not {ord(c) for c in "©→■♭⠿"} & names.keys()  # symbols that are no pictographs stay
+
+
+@pytest.mark.parametrize("tier", ["expressions", "automaton"])
+def test_clashing_columns(spark, tier):
+    docs = frame(spark, "hello").withColumn("word", F.lit("own")).withColumn("matches", F.lit(1))
+    engine = RuleEngine([(1, 5, "hello")], tier)
+    assert [(r.word, r.word_id, r.match_word) for r in engine.explode_matches(docs, "text").collect()] == [("own", 5, "hello")]
+    assert engine.explode_matches(docs, "text", limit=1).first().word_id == 5
+    with pytest.raises(ValueError):
+        engine.match_df(docs, "text")
+
+
+def test_rules_too_many_to_broadcast(spark, monkeypatch):
+    from glyphsieve.operators import engine as module
+
+    monkeypatch.setattr(module, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="match_rows"):
+        RuleEngine(RULES, "automaton").is_match(F.col("text"))
+    with pytest.raises(ValueError, match="more than 1 rules"):
+        from_dataframe(spark.createDataFrame(RULES, "process_type int, word_id long, word string"), most=1)
+
+
 def test_json_and_sql(spark):
     assert ProcessType.from_json(ProcessType(12).to_json()) == 12
     for bad in ("0", "128", "true", "1.5", '"x"'):
@@ -140,8 +187,11 @@ def test_single_literal_reaches_the_scan(spark, tmp_path):
     """contains() of one literal is pushed to the Parquet scan, and only asked columns are read."""
     path = str(tmp_path / "t")
     frame(spark, "hello", "x").withColumn("extra", F.lit(1)).write.parquet(path)
-    plan = spark.read.parquet(path).where(F.contains("text", F.lit("hello"))).select("id")._jdf.queryExecution().toString()
-    assert "StringContains(text,hello)" in plan and "extra" not in plan.split("ReadSchema")[1]
+    plan = lambda *rules: RuleEngine([(1, k, w) for k, w in enumerate(rules)]).semi(spark.read.parquet(path), "text").select("id")._jdf.queryExecution().toString()
+    assert "StringContains(text,hello)" in plan("hello") and "extra" not in plan("hello").split("ReadSchema")[1]
+    both = plan("hello&world")
+    assert "StringContains(text,hello)" in both and "StringContains(text,world)" in both
+    assert "Or(StringContains(text,a),StringContains(text,b))" in plan("a", "b")
 
 
 def test_entry_without_the_training_data_operators(tmp_path):
