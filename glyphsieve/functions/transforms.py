@@ -17,22 +17,6 @@ from glyphsieve.flags import ProcessType
 from glyphsieve.tables import Own, Table
 
 
-def _ranges(codes: list[int]) -> str:
-    out, run = [], []
-    for c in [*sorted(codes), None]:
-        if run and (c is None or c != run[-1] + 1):
-            out.append(f"\\x{{{run[0]:x}}}-\\x{{{run[-1]:x}}}" if run[0] != run[-1] else f"\\x{{{run[0]:x}}}")
-            run = []
-        if c is not None:
-            run.append(c)
-    return "".join(out)
-
-
-def _any_of(codes: list[int]) -> str:
-    """A Java regular expression for one of codes; ASCII characters are passed by at once if none of them is ASCII."""
-    return f"[{'[^\\x00-\\x7F]&&' * (min(codes) > 127)}[{_ranges(codes)}]]"
-
-
 class Mapping:
     """A table as an expression. Its UDF holds the table in its closure: executors derive none."""
 
@@ -40,8 +24,9 @@ class Mapping:
         single = {c: s for c, s in table.items() if s and len(s) == 1}
         gone = [c for c, s in table.items() if not s]
         self.matching, self.replace = "".join(map(chr, [*single, *gone])), "".join(single.values())
-        several = [c for c, s in table.items() if s and len(s) > 1]
-        self.several = _any_of(several) if several else None
+        several = sorted(c for c, s in table.items() if s and len(s) > 1)
+        self.several = "".join(map(chr, several))
+        self.span = f"[\\x{{{several[0]:x}}}-\\x{{{several[-1]:x}}}]" if several else ""
 
         @F.pandas_udf("string")
         def run(texts: pd.Series) -> pd.Series:
@@ -53,7 +38,8 @@ class Mapping:
         plain = F.translate(text, self.matching, self.replace) if self.matching else text
         if not self.several:
             return plain
-        needs = text.rlike(self.several)
+        # a class of some thousand characters is slow in a regular expression, and nests too deep
+        needs = text.rlike(self.span) & (F.translate(text, self.several, "") != text)
         return F.when(needs, self.run(F.when(needs, text))).otherwise(plain)
 
 
