@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +21,16 @@ BROADCAST_BYTES = 48 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this application: under spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """The shared folder of this application: under spark.checkpoint.dir. Where that is unset, a local session gets a temporary one, as in
+    tests, and a cluster is refused: its executors would write to disks of their own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="glyphsieve-")
             sc.setCheckpointDir(root)

@@ -14,15 +14,37 @@ from glyphsieve.llm.common import texts_of
 #: Phrases that count as places, and the label each gives.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and template. [[words]] may be left out, {{a..b}} stands for a to b words of any kind, the rest is
-#: mandatory word for word. Letter case, punctuation and white space don't matter.
+_GRANT = "((licensed|released|distributed|modify it|available))"
+#: Versions of licenses that come in families, and wordings of their names.
+CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+GNU = {"gpl": ("general", ("2.0", "3.0")), "lgpl": ("lesser general", ("2.1", "3.0")), "agpl": ("affero general", ("3.0",))}
+
+
+def _families() -> tuple[tuple[str, str], ...]:
+    cc = [(f"cc-{k}-{v}", f"licensed under [[a]] [[the]] ((cc {k}|creative commons cc {k}|creative commons {name})) {v} [[international|unported|generic]] [[public]] [[license]]") for k, name in CC.items() for v in CC_VERSIONS]
+    gnu = []
+    for k, (name, versions) in GNU.items():
+        for v in versions:
+            short = v.removesuffix(".0")
+            gnu.append((f"{k}-{v}", f"[[this work is]] {_GRANT} under the [[terms of the]] gnu {name} public license [[as published by the free software foundation]] [[either]] ((version {short}|v{short}|{short})) [[0]] [[of the license]] [[((only|or later|or at your option any later version))]]"))
+    return (*cc, *gnu)
+
+
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+
+#: Label and template, mostly the notice or the opening grant of a license. [[words]] may be left out, ((a|b c)) is one of its
+#: alternatives, [[a|b]] one or none, {{a..b}} stands for a to b words of any kind, the rest is
+#: mandatory word for word. Letter case, punctuation and white space don't matter. from_spdx reads the public template markup.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("cc-by-4.0", "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0 [[international]]"),
-    ("cc-by-nc-4.0", "licensed under [[a]] [[the]] cc by nc 4 0 [[international]]"),
-    ("cc-by-sa-4.0", "licensed under [[a]] [[the]] cc by sa 4 0 [[international]]"),
-    ("gpl-2.0", "[[this work is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[0]]"),
-    ("gpl-3.0", "[[this work is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[0]]"),
+    ("apache-2.0-text", "apache license version 2 0 january 2004 [[http www apache org licenses]] terms and conditions for use reproduction and distribution"),
+    *_families(),
+    ("gpl-text", "gnu general public license version ((2 june 1991|3 29 june 2007)) copyright c {{1..20}} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("lgpl-text", "gnu lesser general public license version ((2 1 february 1999|3 29 june 2007)) copyright c {{1..20}} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("agpl-text", "gnu affero general public license version 3 19 november 2007 copyright c {{1..20}} everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2.0", "made available under the terms of the eclipse public license [[v]] 2 0"),
     ("mit", "[[this work is]] {{0..1}} under the [[terms of the]] mit license"),
     ("all-rights-reserved", "[[copyright {{0..8}}]] all rights reserved"),
     (
@@ -33,12 +55,57 @@ TEMPLATES = (
         "isc-text",
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     ),
+    ("0bsd-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd-2-text", f"{_BSD} this software is provided by {{{{1..12}}}} as is"),
+    (
+        "bsd-3-text",
+        f"{_BSD} [[3]] neither the name of {{{{1..12}}}} nor the names of [[its]] contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
     (
-        "bsd-2-text",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
     ),
+    (
+        "bsl-1.0-text",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+    ),
+    (
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    ("cc0-notice", "to the extent possible under law {{1..12}} ((has|have)) waived all copyright and related or neighboring rights to"),
 )
 
+_MARKUP = re.compile(r"\[\[|\]\]|\(\(|\)\)|\||\{\{\d+\.\.\d+\}\}|[^\s\[\]{}()|]+")
+
+
+def from_spdx(text: str, most_words: int = 60) -> str:
+    """Markup of a license template in the public SPDX form: <<beginOptional>> and <<endOptional>>, and <<var;name=..;original=..;match=..>>
+    whose pattern is any text (.+ or .* for up to most_words words, .{a,b} for up to b) or literal alternatives (a|b)."""
+
+    def variable(m: re.Match) -> str:
+        pattern = (re.search(r'match="([^"]*)"', m[1]) or [None, ".+"])[1]
+        if any_ := re.fullmatch(r"\.(\+|\*|\{(\d+),(\d+)\})", pattern):
+            least, most = (int(any_[1] == "+"), most_words) if any_[3] is None else (min(1, int(any_[2])), min(int(any_[3]), most_words))
+            return f" {{{{{least}..{most}}}}} "
+        plain = pattern.strip("()").replace("\\", "")
+        if re.search(r"[\[\]{}()*+?^$]", plain):
+            raise ValueError(f"no template pattern: {pattern}")
+        return f" (({'|'.join(re.sub(r'[^0-9A-Za-z\x80-\U0010ffff]', ' ', x) for x in plain.split('|'))})) "
+
+    out = []
+    for part in re.split(r"(<<[^>]*(?:>(?!>)[^>]*)*>>)", text):
+        if part.startswith("<<beginOptional"):
+            out.append(" [[ ")
+        elif part.startswith("<<endOptional"):
+            out.append(" ]] ")
+        elif part.startswith("<<var"):
+            out.append(variable(re.fullmatch(r"<<(.*)>>", part, re.S)))
+        else:
+            out.append(re.sub(r"[\[\](){}|]", " ", part))
+    return " ".join("".join(out).split())
+
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -51,7 +118,7 @@ class Template:
     """An automaton over words.
 
     States are places in the template. A mandatory word is a step that consumes that word; an optional region adds a
-    step past it that consumes nothing; a replaceable region of a to b words is a chain of b steps that
+    step past it that consumes nothing; alternatives leave one state and meet in one; a replaceable region of a to b words is a chain of b steps that
     consume any word, of which all but the first a may be passed for nothing. The longest run of
     mandatory words that no region breaks is in every accepted text, so texts without it are not walked.
     """
@@ -61,14 +128,25 @@ class Template:
         self.steps: list[list[tuple[bytes | None, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         runs: list[list[bytes]] = [[]]
-        opened: list[int] = []
-        for token in re.findall(r"\[\[|\]\]|\{\{\d+\.\.\d+\}\}|[^\s\[\]{}]+", markup):
-            if token == "[[":
-                opened.append(len(self.steps) - 1)
+        opened: list[tuple[str, int, list[int]]] = []  # how a region began, its first state, and where alternatives so far end
+        for token in _MARKUP.findall(markup):
+            at = len(self.steps) - 1
+            if token in ("[[", "(("):
+                opened.append((token, at, []))
+                self._state(at)
                 runs.append([])
-            elif token == "]]":
-                start = opened.pop()
-                self.free[start].append(len(self.steps) - 1)
+            elif token == "|":
+                if not opened:
+                    raise ValueError(f"{label}: | outside of a region")
+                opened[-1][2].append(at)
+                self._state(opened[-1][1])
+            elif token in ("]]", "))"):
+                if not opened or opened[-1][0] != {"]]": "[[", "))": "(("}[token]:
+                    raise ValueError(f"{label}: {token} without its beginning")
+                _, start, ends = opened.pop()
+                end = self._state(at)
+                for e in [*ends, *[start] * (token == "]]")]:
+                    self.free[e].append(end)
                 runs.append([])
             elif token.startswith("{{"):
                 least, most = map(int, token[2:-2].split(".."))
@@ -83,7 +161,7 @@ class Template:
                     if not opened:
                         runs[-1].append(word)
         if opened:
-            raise ValueError(f"{label}: [[ without ]]")
+            raise ValueError(f"{label}: {opened[-1][0]} without its end")
         self.end = len(self.steps) - 1
         self.anchor = max(runs, key=lambda r: (len(r), sum(map(len, r))))
         self.mandatory = sum(map(len, runs))
@@ -95,6 +173,13 @@ class Template:
         self._next: dict[tuple[frozenset[int], bytes], frozenset[int]] = {}
         self._words = {w for s in self.steps for w, _ in s if w}
 
+    def _state(self, after: int) -> int:
+        """A new state that is reached from another for nothing."""
+        self.steps.append([])
+        self.free.append([])
+        self.free[after].append(len(self.steps) - 1)
+        return len(self.steps) - 1
+
     def _add(self, word: bytes | None) -> int:
         self.steps.append([])
         self.free.append([])
@@ -164,8 +249,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ba
     labels are the base labels and those of templates with an accepted run of words anywhere in the text. spans has
     each accepted run with its template's number of mandatory words. score: 1 if a template accepts, 0.5 if only base
     phrases are there, 0 if nothing is.
-    Nulls: a null text is empty: no words, empty labels, score 0. A null doc_id stays. Repeated rows are scanned each.
-    An empty table gives no rows. Other columns are not read.
+    Nulls: a null text is empty: no words, empty labels, score 0. A null doc_id stays. Repeated rows are scanned each. A text of any
+    length is scanned whole, in one worker. An empty table gives no rows. Other columns are not read.
     """
     built = [Template(*t) for t in templates]
     phrases = [(words_of(p), label) for p, label in base.items()]
@@ -197,16 +282,16 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ba
 def template_regex(markup: str) -> str:
     """A regular expression over words, each followed by one space, that accepts what the template accepts (for tests and SQL)."""
     out = []
-    for token in re.findall(r"\[\[|\]\]|\{\{\d+\.\.\d+\}\}|[^\s\[\]{}]+", markup):
-        if token == "[[":
+    for token in _MARKUP.findall(markup):
+        if token in ("[[", "(("):
             out.append("(?:")
-        elif token == "]]":
-            out.append(")?")
+        elif token in ("]]", "))"):
+            out.append(")?" if token == "]]" else ")")
+        elif token == "|":
+            out.append("|")
         elif token.startswith("{{"):
             least, most = token[2:-2].split("..")
             out.append(f"(?:[^ ]+ ){{{least},{most}}}")
         else:
             out += [f"{w.decode()} " for w in words_of(token)]
     return "".join(out)
-
-
