@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+import tempfile
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from glyphsieve.flags import ProcessType
 from glyphsieve.functions import reduce_text_process, reduce_text_process_emit, text_process
 from glyphsieve.operators import RuleEngine, RuleEngineBuilder
-from glyphsieve.sources import from_dataframe, from_json, rules_from_json_column
-from glyphsieve.streaming import hit_counts
+from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_table, rules_from_json_column
+from glyphsieve.streaming import hit_counts, run_to_files, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,17 @@ _matching("normalize_match", [(8, 1, "Éaux"), (8, 2, "GROSS")], f"{has('eaux',
 _matching("delete_normalize", [(12, 1, "Ofthe"), (12, 2, "CIONES")], " OR ".join(has(p, t) for p in ("ofthe", "ciones") for t in ("text", DELETED, LATIN.replace("text", DELETED))))
 _matching("automaton_match", [(1, 1, "the&and~tion"), (1, 2, "\\bder\\b"), (12, 3, "ofthe")], f"({has('the')} AND {has('and')} AND NOT {has('tion')}) OR regexp_matches(text, '(^|[^{WORD}])der($|[^{WORD}])') OR {has('ofthe')} OR {has('ofthe', DELETED)} OR {has('ofthe', LATIN.replace('text', DELETED))}", "automaton")
 
+_matching("segments_by_text", [(1, 1, "the&the|der&der|the")], f"{has('the')}")
+_matching("empty_alternatives", [(1, 1, "quele||thereon"), (1, 2, "|ciónas|")], f"{has('quele')} OR {has('thereon')} OR {has('ciónas')}")
+_matching("operators_at_the_ends", [(1, 1, "ofthe&"), (1, 2, "&quele"), (1, 3, "ciónas~|"), (1, 4, "~~er&&tion")], f"{has('ofthe')} OR {has('quele')} OR {has('ciónas')} OR ({has('tion')} AND NOT {has('er')})")
+_matching("vetoes_alone_are_no_rule", [(1, 1, "~the"), (1, 2, "tion&that")], f"{has('tion')} AND {has('that')}")
+_matching("last_rule_of_an_id_stays", [(1, 1, "e"), (1, 1, "tion&that")], f"{has('tion')} AND {has('that')}")
+_matching("needed_after_veto", [(1, 1, "the~tion&and")], f"{has('the')} AND {has('and')} AND NOT {has('tion')}")
+_matching("backslash_and_nul", [(1, 1, "a\\z"), (1, 2, "e\0f"), (1, 3, "\\bthat")], f"contains(text, 'a\\z') OR contains(text, 'e' || chr(0) || 'f') OR regexp_matches(text, '(^|[^{WORD}])that')")
+_MANY = [f"{a}{b}|qu" for a in "etaoinsh" for b in "etaoinsrh"]
+_matching("many_segments", [(1, 1, "&".join(_MANY))], " AND ".join(f"({has(m[:2])} OR {has('qu')})" for m in _MANY), "automaton")
+_matching("none_beside_another", [(5, 1, "ofthe~tion"), (3, 2, "quele")], f"(({has('ofthe')} OR {has('ofthe', DELETED)}) AND NOT ({has('tion')} OR {has('tion', DELETED)})) OR {has('quele')}")
+
 RULES = [(1, 1, "the&and"), (1, 2, "tion~the"), (1, 3, "der|que"), (1, 4, "anan&anan"), (1, 5, "\\ben\\b")]
 RULE_SQL = {
     1: f"{has('the')} AND {has('and')}", 2: f"{has('tion')} AND NOT {has('the')}", 3: f"{has('der')} OR {has('que')}",
@@ -312,6 +324,81 @@ def events_type_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", both.alias("flagged"))
 
 
+@query(f"SELECT doc_id, ({RULE_SQL[1]}) OR ({RULE_SQL[2]}) AS matched FROM documents")
+def rules_from_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against rules of a dictionary, by way of the builder's JSON."""
+    builder = RuleEngineBuilder()
+    for pt, words in {1: {1: RULES[0][2], 2: RULES[1][2]}}.items():
+        for k, w in words.items():
+            builder.add(pt, k, w)
+    nested = {int(pt): {int(k): w for k, w in words.items()} for pt, words in json.loads(builder.to_json()).items()}
+    return _table(spark, sf_dir, "documents").select("doc_id", from_dict(nested).is_match(F.col("text")).alias("matched"))
+
+
+OWN_TABLE = "# own\ne\tee\nt\t\nU+0061\to\nn\tn\n"
+OWN = "replace(replace(replace({t}, 'e', 'ee'), 't', ''), 'a', 'o')"
+
+
+@query(f"SELECT doc_id, md5({OWN.format(t='text')}) AS h, contains({OWN.format(t='text')}, '{'thee and'.replace('e', 'ee').replace('t', '').replace('a', 'o')}') AS matched FROM documents")
+def own_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transform's table from a file, in texts and in rules."""
+    with tempfile.NamedTemporaryFile("w", suffix=".tsv", encoding="utf-8") as f:  # read here, on the driver
+        f.write(OWN_TABLE)
+        f.flush()
+        own = {32: read_table(f.name)}
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text_process(32, text, own)).alias("h"), RuleEngine([(32, 1, "thee and")], own=own).is_match(text).alias("matched"))
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents")
+def no_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text_process(0, F.col("text"))).alias("h"))
+
+
+@query("SELECT * FROM (VALUES (1, CAST(1 AS BIGINT), 'b'), (4, 1, 'a&b'), (4, 3, 'c')) t(process_type, word_id, word)")
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine's rules: the last of a type and id, none without a needed segment."""
+    return RuleEngine([(1, 1, "a"), (1, 1, "b"), (5, 1, "a&b"), (4, 2, "~x"), (4, 3, "c")]).rules_df(spark)
+
+
+@query("SELECT * FROM (VALUES ('a', 4, false, false), ('b', 4, false, false), ('c', 8, true, false), ('c', 8, false, true), ('b', 8, false, false)) t(pattern, process_type, left_bound, right_bound)")
+def rule_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alternatives that are looked for, under their transforms; equal ones of a segment count once."""
+    compiled = RuleEngine([(4, 1, "a|b|a"), (8, 2, "\\bC|C\\b&B")]).compiled
+    return spark.createDataFrame([(p, pt, left, right) for pt, p, left, right, _, _ in compiled.entries()], "pattern string, process_type int, left_bound boolean, right_bound boolean")
+
+
+@query("SELECT CAST(2 AS BIGINT) AS rules, CAST(3 AS BIGINT) AS patterns, 'delete,none' AS process_types, 'expressions' AS tier")
+def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = RuleEngine([(1, 1, "a&b"), (4, 2, "c")]).stats()
+    return spark.createDataFrame([(s["rules"], s["patterns"], ",".join(s["process_types"]), s["tier"])], "rules long, patterns long, process_types string, tier string")
+
+
+#: Rule tables that can't be compiled.
+BAD_RULES = {"type 0": [(0, 1, "a")], "type 128": [(128, 1, "a")], "no rules": [], "empty rule": [(1, 1, "")], "veto alone": [(1, 1, "~a")], "operators alone": [(1, 1, "&|~")], "no text": [(1, 1, None)]}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', true)" for k in BAD_RULES) + ", ('a good one', false)) t(name, refused)")
+def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def refused(rows: list) -> bool:
+        try:
+            RuleEngine(rows)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, refused(rows)) for k, rows in (BAD_RULES | {"a good one": [(1, 1, "a")]}).items()], "name string, refused boolean")
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER ({has('the')} AND {has('and')}) AS matched FROM (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS text FROM documents)")
+def line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of text files against rules; the files are the documents, written as text."""
+    path = scratch_folder(spark, "lines")
+    _table(spark, sf_dir, "documents").select(F.coalesce(F.replace("text", F.lit("\r"), F.lit("")), F.lit("")).alias("value")).write.text(path)
+    matched = RuleEngine([RULES[0]]).is_match(F.col("text"))
+    return lines(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_if(matched).alias("matched"))
+
+
 EVENT_RULES = [(1, 1, "c"), (1, 2, "p~v"), (8, 3, "VIEW|SIGNUP")]
 EVENT_SQL = "SELECT date_trunc('hour', ts) AS window_start, CAST({k} AS BIGINT) AS word_id, '{w}' AS word, count(*) AS hits FROM events WHERE {c} GROUP BY ALL"
 EVENTS = " UNION ALL ".join(EVENT_SQL.format(k=k, w=w, c=c) for k, w, c in ((1, "c", "contains(event_type, 'c')"), (2, "p~v", "contains(event_type, 'p') AND NOT contains(event_type, 'v')"), (3, "VIEW|SIGNUP", "contains(lower(event_type), 'view') OR contains(lower(event_type), 'signup')")))
@@ -326,11 +413,7 @@ def window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENTS)
 def streaming_window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts by a stream over the files, run until it has read them all, in complete mode."""
-    name = f"window_hits_{uuid.uuid4().hex}"
     schema = _table(spark, sf_dir, "events").schema
     # a stream reads folders: the table's own if it is one, else its file among its neighbours
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    counted = hit_counts(stream, RuleEngine(EVENT_RULES), "event_type", "ts", "1 hour")
-    running = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return run_to_files(hit_counts(stream, RuleEngine(EVENT_RULES), "event_type", "ts", "1 hour"), "complete")

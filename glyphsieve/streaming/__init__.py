@@ -1,5 +1,6 @@
 """Rules over streams: matching is a stateless map, counts are windowed aggregates."""
 
 from glyphsieve.streaming.matching import hit_counts, match_stream
+from glyphsieve.streaming.sinks import run_to_files, scratch_folder
 
-__all__ = ["hit_counts", "match_stream"]
+__all__ = ["hit_counts", "match_stream", "run_to_files", "scratch_folder"]
