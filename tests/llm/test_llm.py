@@ -790,17 +790,63 @@ def test_relaxed_trees_find_most_and_look_at_less():
 # --- pipeline and queries
 
 
-def test_pipeline(spark, docs):
-    step = docs
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], (lambda d: cotrain.keep_good(d, labels), rules.keep_good, neardup.keep_one), strict=True):
+def kept_by_classifier(docs, labels):
+    """The classifier in memory, over sorted lists; docs are rows, each with its hash and chance."""
+    known = {r.doc_id: r.quality for r in labels}
+    rows = sorted(docs, key=lambda r: (r.doc_id not in known, r.h, r.doc_id))
+    cells = np.array([cotrain.metadata_cell(r.source, r.lang, len((r.text or "").encode())) for r in rows])
+    text, meta = cotrain.split_views(np.array([cotrain.read_views(r.text or "") for r in rows]), cells)
+    model = cotrain.train(text, meta, np.array([known.get(r.doc_id, np.nan) for r in rows], float), chance=np.array([r.chance for r in rows]))
+    return {r.doc_id for r, score in zip(rows, model.scores(text, meta)[2], strict=True) if score >= 0.5 and (r.text or "").strip()}
+
+
+def kept_by_rules(docs):
+    """The rules by exact quartiles of sorted lists."""
+    read = {}
+    for r in docs:
+        text = r.text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        n = len({j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        chars, dup, symbols = sum(map(len, words)), len(lines) - len(set(lines)), len(re.findall(r"[#*$%&|<>]", text))
+        if len(words) >= 50 and 2 * n <= len(words):
+            values = ((symbols + 1) / (chars + 1), chars / len(words), (dup + 1) / (len(lines) + 1), (n + 1) / (len(words) + 1))
+            read[r.doc_id] = (r.lang, r.source), values, (symbols, None, dup, n)
+
+    def fences(of):
+        out = []
+        for k in range(4):
+            x = sorted(v[k] for _, v, _ in of)
+            low, high = (x[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.25, 0.75))
+            out.append((low * (low / high) ** 3, high * (high / low) ** 3))
+        return out
+
+    kept = set()
+    for d, (group, values, counts) in read.items():
+        sets = ([x for x in read.values() if x[0] == group], [x for x in read.values() if x[0][0] == group[0]], list(read.values()))
+        limits = fences(next((x for x in sets[:2] if len(x) >= 100), sets[2]))
+        fine = [c == 0 or v <= high * (1 + 1e-12) and (c is not None or v >= low * (1 - 1e-12)) for v, c, (low, high) in zip(values, counts, limits, strict=True)]
+        kept |= {d} if all(fine) else set()
+    return kept
+
+
+def test_pipeline(spark):
+    """Each stage's decisions on what the one before kept, against plain versions over lists."""
+    sf = "/root/testdata/sf0.001"
+    step = docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    chance = (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 31)) / float(1 << 31)).alias("chance")
+    plain = (lambda rows: kept_by_classifier(rows, labels), kept_by_rules, lambda rows: {d for d, c, _ in brute(rows) if d == c})
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], plain, strict=True):
         before = step
-        step = common.materialize(stage(spark, step, SF), name)
-        assert step.columns == docs.columns and 0 < step.count() <= before.count()
-        assert {r.doc_id for r in step.collect()} == {r.doc_id for r in want(before).collect()}
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in step.collect()}
-    check_packing(rows, 4096)
+        step = common.materialize(stage(spark, step, sf), name)
+        assert step.columns == docs.columns and 0 < step.count() < before.count()
+        assert {r.doc_id for r in step.collect()} == want(before.select("*", F.xxhash64("doc_id", F.lit(17)).alias("h"), chance).collect()), name
+    rows = corpus_pipeline.run(spark, sf).collect()
+    texts = step.select("doc_id", "text").collect()
+    assert collections.Counter((r.doc_id, r.length) for r in rows) == collections.Counter((r.doc_id, min(4096, n - s)) for r, ids in zip(texts, encoded([r.text for r in texts]), strict=True) for n in [len(ids) // 4] for s in range(0, n, 4096))
+    assert check_packing(rows, 4096) <= packing.lower_bound(np.array([r.length for r in rows]), 4096) + 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_duplicates", "best_fit_packing"]
 
 
