@@ -31,6 +31,20 @@ class Tree:
         self._split(0, len(vectors))
         self.raw, self.placed = self.raw[self.order], self.placed[self.order]
 
+    def parts(self) -> list[bytes]:
+        """The built tree: order and vectors, then ranges, vantage points and distances of its nodes. See load."""
+        nodes = sorted(self.nodes)
+        points, bounds = (np.array([self.nodes[n][k] for n in nodes], np.float64) for k in (0, 1))
+        return [x.tobytes() for x in (self.order, self.raw, np.array(nodes, np.int64), points, bounds)]
+
+    @classmethod
+    def load(cls, parts: list[bytes], dim: int, reach: float) -> Tree:
+        tree = object.__new__(cls)
+        order, raw, nodes, points, bounds = (np.frombuffer(x, t) for x, t in zip(parts, (np.int64, np.float64, np.int64, np.float64, np.float64), strict=True))
+        tree.reach, tree.order, tree.raw = reach, order, raw.reshape(-1, dim)
+        tree.nodes = {(lo, hi): (v, b) for (lo, hi), v, b in zip(nodes.reshape(-1, 2).tolist(), points.reshape(-1, dim + 1), bounds.reshape(-1, 4), strict=True)}
+        return tree
+
     def _split(self, lo: int, hi: int) -> None:
         if hi - lo <= LEAF:
             return
@@ -127,12 +141,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) that is_query holds for, its k best of all
     other rows by inner product in double precision, ties to the smaller vec_id; all of them if fewer.
 
-    Rows are dealt by hash into shards of about shard_vectors, each indexed by one tree, all indexed; queries into blocks of
-    about block_queries. A task takes a shard and a block, both bounded; of a query and shard k rows remain. factor
+    Rows are dealt by hash into shards of about shard_vectors, all indexed: each shard's tree is built once and written; queries are dealt
+    into blocks of about block_queries. A task takes a shard and a block, both bounded; of a query and shard k rows remain. factor
     relaxes the trees' pruning (see Tree.search); at one the result is exact.
     Nulls: rows whose vector is null, zero, empty, or holds null or non-finite components take no part, as query or
     candidate; neither do null vec_ids. Vectors meet only those of their own dimension. Rows that repeat a vec_id are
-    rows of their own. An empty table gives no rows. Other columns are not read.
+    rows of their own. An empty table gives no rows. A vector of any length is one value. Other columns are not read.
     """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
@@ -146,11 +160,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     def index(t: pa.Table) -> pa.Table:
         t = t.sort_by("uid")
         flat = t.column("v").combine_chunks().flatten().to_numpy().astype("<f8")
-        one = [t.column("dim")[0].as_py(), t.column("shard")[0].as_py(), t.column("uid").to_numpy().tobytes(), t.column("vec_id").to_numpy().tobytes(), flat.tobytes()]
-        return pa.table([pa.array([x], kind) for x, kind in zip(one, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["dim", "shard", "uids", "ids", "vectors"])
+        dim = t.column("dim")[0].as_py()
+        one = [dim, t.column("shard")[0].as_py(), t.column("uid").to_numpy().tobytes(), t.column("vec_id").to_numpy().tobytes(), Tree(flat.reshape(-1, dim), reach).parts()]
+        return pa.table([pa.array([x], kind) for x, kind in zip(one, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())], strict=True)], ["dim", "shard", "uids", "ids", "tree"])
 
-    shard_rows = rows.select("dim", dealt(shards).alias("shard"), "uid", "vec_id", "v").groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, uids binary, ids binary, vectors binary")
-    shard_rows = materialize(shard_rows, "shards").withColumn("block", every(blocks))
+    shard_rows = rows.select("dim", dealt(shards).alias("shard"), "uid", "vec_id", "v").groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, uids binary, ids binary, tree array<binary>")
+    # a shard is a row, so few rows make a batch
+    shard_rows = materialize(shard_rows, "shards", 4).withColumn("block", every(blocks))
     asked = rows.where("asks").select("dim", dealt(blocks).alias("block"), "uid", "vec_id", "v").withColumn("shard", every(shards))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -159,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
             return empty
         dim = left.column("dim")[0].as_py()
         uids, ids = (np.frombuffer(left.column(c)[0].as_py(), np.int64) for c in ("uids", "ids"))
-        tree = Tree(np.frombuffer(left.column("vectors")[0].as_py(), "<f8").reshape(-1, dim), reach)
+        tree = Tree.load(left.column("tree")[0].as_py(), dim, reach)
         queries = right.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         q_uid, q_id = right.column("uid").to_numpy(), right.column("vec_id").to_numpy()
         at = np.minimum(np.searchsorted(uids, q_uid), len(uids) - 1)

@@ -759,12 +759,21 @@ def test_nearest(spark):
     assert [r.rank for r in few] == [1, 2, 3, 4]
 
 
+def test_nearest_of_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3000))
+    got = vptree.nearest(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    want = [int(i) for i in np.argsort(-(v @ v[0])) if i][:3]
+    assert [r.vec_id for r in got] == want
+
+
 def test_relaxed_trees_find_most_and_look_at_less():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 6)) * 4
     v = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 6)) * 0.5
     reach = np.sqrt((v**2).sum(1)).max()
     tree = vptree.Tree(v, reach)
+    tree = vptree.Tree.load(tree.parts(), 6, reach)  # as it is written and read
     exact = np.argsort(-(v[:50] @ v.T), 1)[:, :10]
     looked = {}
     for factor in (1.0, 0.5):
