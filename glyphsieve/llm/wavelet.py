@@ -15,79 +15,95 @@ from pyspark.sql import functions as F
 from glyphsieve.llm.common import scratch_path, shuffle_partitions, small_batches, texts_of, tidy
 from glyphsieve.llm.tokens import encoder
 
-MAGIC = b"GWM1"
+MAGIC = b"GWM2"
 ROWS, BATCH_CHARS, CACHED = 4096, 8 << 20, 500_000  # of a batch, of what is encoded at once, and pieces whose ids a worker keeps
 BLOCK = 64  # bytes of a plane for each entry of its rank directory
+PIECE = 1 << 16  # bytes of a plane that are compressed by themselves, so that access unpacks no more
 STORE = "part int, seq int, first_token long, n_tokens long, doc_ids binary, id_known binary, lengths binary, payload binary"
 
 
 class WaveletMatrix:
     """Sequence of n ids below 2**width. Plane l holds bit width-1-l of each id, in the order left by the planes above:
     stably, first ids whose last bit was 0 (zeros[l] of them), then the rest. access, rank, select and count take
-    O(width) rank or select steps; decode gives all ids."""
+    O(width) rank or select steps; decode gives all ids. A plane is kept as its compressed rank directory (ones before each block) and
+    its compressed pieces; both are unpacked when first asked for."""
 
-    def __init__(self, n: int, width: int, zeros: list[int], packed: list[bytes]):
+    def __init__(self, n: int, width: int, zeros: list[int], packed: list[list[bytes]]):
         self.n, self.width, self.zeros = n, width, zeros
-        self._packed, self._planes = packed, {}
+        self._packed, self._directories, self._pieces = packed, {}, {}
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        squeeze = zstandard.ZstdCompressor(level=1)
+
+        def packed(plane: bytes) -> list[bytes]:
+            raw = np.frombuffer(plane + bytes(-len(plane) % BLOCK), np.uint8).reshape(-1, BLOCK)
+            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(raw).sum(1, dtype=np.int64))))
+            return [squeeze.compress(ones.astype("<u4" if len(ids) < 1 << 32 else "<u8").tobytes()), *(squeeze.compress(plane[i : i + PIECE]) for i in range(0, len(plane), PIECE))]
+
         values, zeros, planes = ids.astype(np.uint16 if width <= 16 else np.uint32), [], []
         for level in range(width):
             bits = (values & values.dtype.type(1 << (width - 1 - level))) != 0
-            planes.append(np.packbits(bits, bitorder="little").tobytes())
+            planes.append(packed(np.packbits(bits, bitorder="little").tobytes()))
             zeros.append(len(ids) - int(np.count_nonzero(bits)))
             if level + 1 < width:
                 parted = np.empty_like(values)
                 np.compress(bits, values, out=parted[zeros[-1] :])
                 np.compress(np.logical_not(bits, out=bits), values, out=parted[: zeros[-1]])
                 values = parted
-        squeeze = zstandard.ZstdCompressor(level=1)
-        return cls(len(ids), width, zeros, [squeeze.compress(p) for p in planes])
+        return cls(len(ids), width, zeros, planes)
 
     def to_bytes(self) -> bytes:
-        head = struct.pack("<4sQB", MAGIC, self.n, self.width) + struct.pack(f"<{2 * self.width}Q", *self.zeros, *map(len, self._packed))
-        return head + b"".join(self._packed)
+        sizes = [len(x) for plane in self._packed for x in plane]
+        head = struct.pack("<4sQB", MAGIC, self.n, self.width) + struct.pack(f"<{self.width + len(sizes)}Q", *self.zeros, *sizes)
+        return head + b"".join(x for plane in self._packed for x in plane)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         magic, n, width = struct.unpack_from("<4sQB", data)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix")
-        at = struct.calcsize("<4sQB")
-        numbers = struct.unpack_from(f"<{2 * width}Q", data, at)
-        at += 16 * width
-        packed = []
-        for size in numbers[width:]:
-            packed.append(data[at : at + size])
-            at += size
-        return cls(n, width, list(numbers[:width]), packed)
+        at, each = struct.calcsize("<4sQB"), 1 + -(-((n + 7) // 8) // PIECE)
+        numbers = struct.unpack_from(f"<{width + width * each}Q", data, at)
+        at += 8 * len(numbers)
+        ends = np.cumsum([at, *numbers[width:]]).tolist()
+        view = memoryview(data)
+        parts = [view[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return cls(n, width, list(numbers[:width]), [parts[k * each : (k + 1) * each] for k in range(width)])
 
     def _raw(self, level: int) -> np.ndarray:
         """Bytes of a plane."""
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._packed[level], max_output_size=(self.n + 7) // 8 + 1), np.uint8)
+        unpack = zstandard.ZstdDecompressor()
+        return np.frombuffer(b"".join(unpack.decompress(x) for x in self._packed[level][1:]), np.uint8)
+
+    def _directory(self, level: int) -> np.ndarray:
+        """Ones of a plane before each block, and of all of it."""
+        if level not in self._directories:
+            raw = zstandard.ZstdDecompressor().decompress(self._packed[level][0])
+            self._directories[level] = np.frombuffer(raw, "<u4" if self.n < 1 << 32 else "<u8").astype(np.int64)
+        return self._directories[level]
 
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of a plane and its rank directory: ones before each block. Decompressed when first asked for."""
-        if level not in self._planes:
-            raw = self._raw(level)
-            ones = np.bitwise_count(np.pad(raw, (0, -len(raw) % BLOCK)).reshape(-1, BLOCK)).sum(1, dtype=np.int64)
-            self._planes[level] = raw, np.concatenate(([0], np.cumsum(ones)))
-        return self._planes[level]
+    def _piece(self, level: int, k: int) -> np.ndarray:
+        if (level, k) not in self._pieces:
+            self._pieces[level, k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._packed[level][1 + k]), np.uint8)
+        return self._pieces[level, k]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        raw, directory = self._plane(level)
         block, rest = divmod(i, 8 * BLOCK)
-        whole, odd = divmod(rest, 8)
-        at = block * BLOCK
-        count = int(directory[block]) + int(np.bitwise_count(raw[at : at + whole]).sum(dtype=np.int64))
-        return count + (int(raw[at + whole]) & ((1 << odd) - 1)).bit_count() if odd else count
+        count = int(self._directory(level)[block])
+        if rest:
+            whole, odd = divmod(rest, 8)
+            k, at = divmod(block * BLOCK, PIECE)
+            raw = self._piece(level, k)
+            count += int(np.bitwise_count(raw[at : at + whole]).sum(dtype=np.int64))
+            count += (int(raw[at + whole]) & ((1 << odd) - 1)).bit_count() if odd else 0
+        return count
 
     def _find(self, level: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) bit of that kind in a plane."""
-        _, directory = self._plane(level)
+        directory = self._directory(level)
         lo, hi = 0, self.n
         held = directory if bit else np.arange(len(directory)) * 8 * BLOCK - directory
         block = int(np.searchsorted(held, k, side="right")) - 1
@@ -182,7 +198,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
     document with which it holds shard_tokens ids, so a task holds one shard at a time. Documents are dealt to parts
     by doc_id cuts from a sketch of the doc_id column alone, so texts are encoded once; a part is one task.
     Nulls: a null text is empty (its ids are [end_id]); null doc_ids come first. Rows that repeat a doc_id all stay,
-    ordered by their ids. An empty table gives an empty store. Other columns are not read.
+    ordered by their ids. A text of any length is encoded whole, in one worker, and is in one shard. An empty table gives an empty
+    store. Other columns are not read.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)

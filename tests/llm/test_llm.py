@@ -321,6 +321,12 @@ def test_wavelet_matrix():
             assert w.rank(t, n // 2) == (places < n // 2).sum()
     with pytest.raises(IndexError):
         w.access(1000)
+    ids = rng.integers(0, 500, 3 * 8 * wavelet.PIECE + 77)  # planes of several pieces
+    w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    assert w.access(len(ids) - 1) == ids[-1] and len(w._pieces) <= 2 * w.width  # not all were unpacked
+    places = np.flatnonzero(ids == 7)
+    assert (w.decode() == ids).all() and w.count(7) == len(places) and [w.select(7, k) for k in (0, 1000, len(places) - 1)] == places[[0, 1000, -1]].tolist()
+    assert all(w.access(int(i)) == ids[i] for i in rng.integers(0, len(ids), 50)) and w.rank(7, 800_000) == (places < 800_000).sum()
 
 
 def test_token_store(spark, docs, odd, none):
