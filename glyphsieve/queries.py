@@ -77,7 +77,7 @@ _matching("automaton_match", [(1, 1, "the&and~tion"), (1, 2, "\\bder\\b"), (12,
 
 _matching("segments_by_text", [(1, 1, "the&the|der&der|the")], f"{has('the')}")
 _matching("empty_alternatives", [(1, 1, "quele||thereon"), (1, 2, "|ciónas|")], f"{has('quele')} OR {has('thereon')} OR {has('ciónas')}")
-_matching("operators_at_the_ends", [(1, 1, "ofthe&"), (1, 2, "&quele"), (1, 3, "ciónas~|"), (1, 4, "~~er&&tion")], f"{has('ofthe')} OR {has('quele')} OR {has('ciónas')} OR ({has('tion')} AND NOT {has('er')})")
+_matching("dangling_operators", [(1, 1, "ofthe&"), (1, 2, "&quele"), (1, 3, "ciónas~|"), (1, 4, "~~er&&tion")], f"{has('ofthe')} OR {has('quele')} OR {has('ciónas')} OR ({has('tion')} AND NOT {has('er')})")
 _matching("vetoes_alone_are_no_rule", [(1, 1, "~the"), (1, 2, "tion&that")], f"{has('tion')} AND {has('that')}")
 _matching("last_rule_of_an_id_stays", [(1, 1, "e"), (1, 1, "tion&that")], f"{has('tion')} AND {has('that')}")
 _matching("needed_after_veto", [(1, 1, "the~tion&and")], f"{has('the')} AND {has('and')} AND NOT {has('tion')}")
