@@ -46,7 +46,7 @@ def format_conversations(turns: DataFrame, trained_roles: tuple[str, ...] = ("as
     meet in one task, as they must for their formatted text.
     Nulls: a null role or text is the empty string, a null turn sorts first, rows of null conv_id form one
     conversation. Rows with the same turn are ordered by role, then text; repeated rows stay.
-    An empty table gives no rows. Other columns are not read.
+    A conversation of any length is one value. An empty table gives no rows. Other columns are not read.
     """
     read = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     held = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))

@@ -423,7 +423,7 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
     salt, so a host with a third of all pages is spread.
     Nulls: a null html is empty and gives an empty text; a null or odd url belongs to the host that its text names,
     at worst the empty one; a null page_id stays. Repeated rows are extracted each. An empty table gives no rows.
-    Other columns are not read.
+    A page of any length is parsed whole, in one worker. Other columns are not read.
     """
     made = materialize(templates(pages, share, least_pages), "templates")
     brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "fixed", "skeleton", "root")

@@ -215,7 +215,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), n_tokens, ids_crc32, decoded of every row of docs (doc_id, text).
 
     decoded is what the ids alone give back. Nulls: a null text is empty and has no ids; a null doc_id stays. Repeated
-    rows are encoded each. An empty table gives no rows. Other columns are not read.
+    rows are encoded each, texts of any length whole, in one worker. An empty table gives no rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

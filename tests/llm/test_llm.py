@@ -118,6 +118,13 @@ def test_extract_long_boilerplate(spark):
     assert all(r.text == f"Story {r.page_id} {'told ' * 50}End of {r.page_id}" for r in extract.extract(df).collect())
 
 
+def test_extract_repeated_rows_and_long_pages(spark):
+    rows = [page("<article><p>Same page</p></article>", "r.example", 1)] * 5 + [page(f"<nav>Menu</nav><article>{'<p>long words</p>' * 30_000}</article>", "l.example", k) for k in (2, 3)]
+    got = collections.Counter((r.page_id, r.text) for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    long = " ".join(["long words"] * 30_000)
+    assert got == {(1, "Same page"): 5, (2, long): 1, (3, long): 1}
+
+
 def test_extract_neutral_markup(spark):
     """Where every element is a div without a name, the template alone finds the articles of the test pages, and of pages with a
     long notice that all repeat; without it each page comes out with all its text."""
