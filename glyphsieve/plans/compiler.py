@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 from glyphsieve import tables
 from glyphsieve.flags import EmptyPatterns, ProcessType, RuleError
 from glyphsieve.tables import Own
 
 BOUNDARY = "\\b"
+_OPERATORS = re.compile(r"[&~|\\]")
 
 
 @dataclass(frozen=True)
@@ -59,11 +60,15 @@ class Compiled:
                     yield int(r.process_type), a.pattern, a.left, a.right, k, s.number
 
 
+@cache
+def _pattern_steps(pt: ProcessType) -> tuple[ProcessType, ...]:
+    return tuple(step for step in pt.steps() if step != ProcessType.DELETE)
+
+
 def emitted(pt: ProcessType, pattern: str, own: Own = None) -> str:
     """A pattern under all transforms of pt but Delete, which concerns texts alone."""
-    for step in pt.steps():
-        if step != ProcessType.DELETE:
-            pattern = tables.translate(step, pattern, own)
+    for step in _pattern_steps(pt):
+        pattern = tables.translate(step, pattern, own)
     return pattern
 
 
@@ -82,16 +87,20 @@ def _alternatives(pt: ProcessType, segment: str, own: Own) -> tuple[Alternative,
 def parse(pt: ProcessType, word_id: int, word: str, own: Own = None) -> Rule | None:
     """A rule, or None if it asks for no segment. & and ~ begin a needed and a vetoing segment; | parts alternatives. A segment
     written k times has quota k; segments are told apart by their text."""
-    needed, vetoing, counts = Counter(), Counter(), Counter
+    if word and not _OPERATORS.search(word):  # one literal, as most rules of a large table are
+        pattern = emitted(pt, word, own)
+        return Rule(pt, word_id, word, (Segment(0, False, 1, (Alternative(pattern, False, False),) if pattern else ()),))
+    needed: dict[str, int] = {}
+    vetoing: dict[str, int] = {}
     kind = needed
     for token in re.findall(r"[&~]|[^&~]+", word):
         if token in "&~":
             kind = needed if token == "&" else vetoing
         else:
-            kind[token] += 1
+            kind[token] = kind.get(token, 0) + 1
     if not needed:
         return None
-    segments = [(False, *x) for x in counts(needed).items()] + [(True, *x) for x in counts(vetoing).items()]
+    segments = [(False, *x) for x in needed.items()] + [(True, *x) for x in vetoing.items()]
     return Rule(pt, word_id, word, tuple(Segment(k, neg, quota, _alternatives(pt, text, own)) for k, (neg, text, quota) in enumerate(segments)))
 
 
@@ -101,10 +110,15 @@ def compile_rules(rows: Iterable[tuple[int, int, str]], own: Own = None) -> Comp
     Raises InvalidProcessType for a type outside 1..127, RuleError for other bad rows, and EmptyPatterns if nothing is left to look for.
     """
     last: dict[tuple[ProcessType, int], str] = {}
+    types: dict[int, ProcessType] = {}
     for pt, word_id, word in rows:
         if not isinstance(word, str) or isinstance(word_id, bool) or not isinstance(word_id, int):
             raise RuleError(f"not a rule: {(pt, word_id, word)!r}")
-        last[ProcessType.checked(pt).normalized(), word_id] = word
+        kind = types.get(pt) if pt.__class__ is int else None
+        if kind is None:
+            kind = ProcessType.checked(pt).normalized()
+            types[int(pt)] = kind
+        last[kind, word_id] = word
     rules = [r for (pt, word_id), word in sorted(last.items()) if (r := parse(pt, word_id, word, own))]
     out = Compiled(rules, own)
     out.patterns = sorted({e[1] for e in out.entries()})
