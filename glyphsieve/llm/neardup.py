@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.common import connected_components, discard, map_runs, materialize, sized, texts_of, tidy
@@ -160,9 +160,15 @@ def _paired(members: DataFrame) -> DataFrame:
 
 def _candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(a, b) edges that join representatives into candidate clusters: each bucket's pairs that survive the Bayesian
-    test, reduced to a star for each of the bucket's components. No list of pairs leaves a task."""
+    test, reduced to a star for each of the bucket's components. No list of pairs leaves a task.
+
+    Near copies share many bands, whose buckets often hold the same members: of each set of members one bucket is compared, told by
+    their number and two sums without carry of their hashes, which are added up before anything is shuffled."""
     keyed = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
+    sums = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"sum_{k}") for k in (0, 1)]
+    held = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1")
+    chosen = materialize(held.groupBy("n", "sum_0", "sum_1").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "chosen")
+    shared = keyed.join(sized(chosen, 24), "bucket")
     buckets = materialize(_paired(_dealt(shared, "rep", BUCKET, "n")), "buckets")
     members = buckets.join(reps.select("rep", "signature"), "rep")
     need = least_matches(threshold, tolerance)
@@ -204,7 +210,7 @@ def _candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFram
             tidy()
 
     edges = materialize(map_runs(members, ["bucket", "i", "j"], compare, "a long, b long", ["rep"]), "candidates")
-    discard(buckets)
+    discard(chosen, buckets)
     return edges
 
 
