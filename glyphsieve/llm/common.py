@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def row_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         change = np.zeros(batch.num_rows, bool)
         for k, v in zip(keys, last, strict=True):
             column = batch.column(k)
-            change |= np.asarray(pa.compute.not_equal(column, v).fill_null(v.is_valid).to_numpy(zero_copy_only=False), bool) if v.is_valid else np.asarray(pa.compute.is_valid(column).to_numpy(zero_copy_only=False), bool)
+            change |= np.asarray(pc.not_equal(column, v).fill_null(v.is_valid).to_numpy(zero_copy_only=False), bool) if v.is_valid else np.asarray(pc.is_valid(column).to_numpy(zero_copy_only=False), bool)
         cut = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
         if cut:
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
