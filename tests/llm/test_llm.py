@@ -3,13 +3,17 @@
 import collections
 import hashlib
 import html
+import io
 import itertools
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -592,6 +596,24 @@ def test_connected_components(spark):
     assert got == {k: 0 for k in range(31)} | {k: 100 for k in range(100, 140)} | {k: 200 for k in (200, 201, 202)}
 
 
+def test_row_groups_in_a_fresh_process():
+    """A worker gets its batches from a stream, so nothing but the module itself has imported parts of pyarrow."""
+    code = """
+import sys
+import pyarrow as pa
+from glyphsieve.llm import common
+batches = pa.ipc.open_stream(sys.stdin.buffer)
+print([t.column("k").to_pylist() for t in common.row_groups(batches, ["k"])])
+"""
+    batches = [pa.RecordBatch.from_pydict({"k": k}, pa.schema([("k", pa.int64())])) for k in ([1, 1, 2], [2, 2], [3, None])]
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    done = subprocess.run([sys.executable, "-c", code], cwd=corpus_pipeline.__file__.rpartition("/")[0], input=sink.getvalue(), capture_output=True, check=True)
+    assert done.stdout.decode().strip() == "[[1, 1], [2, 2, 2, 3], [None]]"  # whole runs, several at a time
+
+
 # --- 7
 
 
