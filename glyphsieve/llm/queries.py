@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsieve.llm import chat, cotrain, extract, licenses, neardup, packing, pieces, rules, tokens, vptree, wavelet
+from glyphsieve.llm import centroids, chat, cotrain, extract, licenses, neardup, packing, pieces, rules, spelling, tokens, topk, vptree, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,21 @@ def op10_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
 
 
+def op11_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 highest integer inner products of every vector whose id is divisible by 50."""
+    return topk.exact_top(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_anagram_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of documents."""
+    return spelling.group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op13_gemm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every vector of 64 components."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_adaptive_rules,
         op10_vp_trees,
+        op11_histogram_topk,
+        op12_anagram_spellings,
+        op13_gemm_centroids,
     )
 }
 
@@ -212,4 +230,69 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-ORACLE: dict[str, str] = {"op1_template_extract": OP1_SQL, "op4_license_templates": OP4_SQL, "op6_bayes_jaccard": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_adaptive_rules": OP9_SQL, "op10_vp_trees": OP10_SQL}
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.u, c.u AS c_u, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.u <> c.u AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id NULLS LAST, c_u) AS r FROM pairs
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, v) ORDER BY v) AS t FROM range(256) r(v)
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents
+), counted AS (
+  SELECT doc_id, w, count(*) AS n FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM counted
+), hashed AS (
+  SELECT w, n, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes, crc
+), damaged AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word
+), best AS (
+  SELECT a.word, a.n, count(b.word) AS n_near, arg_max(b.word, struct_pack(n := b.n, rest := -r)) AS near, max(b.n) AS near_n
+  FROM words a LEFT JOIN near USING (word) LEFT JOIN (SELECT *, row_number() OVER (ORDER BY word) AS r FROM words) b ON b.word = near.near GROUP BY a.word, a.n
+), forms AS MATERIALIZED (
+  SELECT word, n, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM best
+), walk AS (
+  SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at AND f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN walk w USING (word) JOIN forms e ON e.word = w.at AND e.form IS NULL
+"""
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
+    away = "list_sum(list_transform(list_zip(v.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        f" WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS k, x AS c FROM v QUALIFY k < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT v.u, v.vec_id, v.x, arg_min(c.k, struct_pack(d := {away}, k := c.k)) AS k, CAST(min({away}) AS BIGINT) AS d FROM v, c{r} c GROUP BY ALL)")
+        if r < rounds:
+            means = f"SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM a{r}, range(1, {dim + 1}) t(i) GROUP BY k, i) GROUP BY k"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN ({means}) n ON n.k = o.k)")
+    return f"""WITH {", ".join(parts)}
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+OP13_SQL = _clusters_sql()
+
+ORACLE: dict[str, str] = {"op1_template_extract": OP1_SQL, "op4_license_templates": OP4_SQL, "op6_bayes_jaccard": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_adaptive_rules": OP9_SQL, "op10_vp_trees": OP10_SQL, "op11_histogram_topk": OP11_SQL, "op12_anagram_spellings": OP12_SQL, "op13_gemm_centroids": OP13_SQL}
