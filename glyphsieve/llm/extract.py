@@ -76,7 +76,15 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _node(parent: Node, tag: str, attributes: str) -> Node:
+Names = frozenset[str] | None
+
+
+def _parts(tag: str, name: str) -> list[str]:
+    """The parts of a class and id as they may stand in a path: all numbers are alike, and the document's own elements have none."""
+    return [] if tag in ("html", "body") else _DIGITS.sub("0", name).replace("/", "_").split()
+
+
+def _node(parent: Node, tag: str, attributes: str, stable: Names) -> Node:
     names, role, hidden = [], "", False
     if attributes.strip(" /"):
         for m in _ATTRIBUTE.finditer(attributes):
@@ -96,8 +104,9 @@ def _node(parent: Node, tag: str, attributes: str) -> Node:
     named = bool(name and tag not in ("html", "body") and (CHROME_NAMES.search(name) or (not parent.article and HEADER_NAMES.search(name))) and not (opens and not parent.article))
     heading = tag == "header" and parent.article
     chrome = parent.chrome or (tag in CHROME and not heading) or role in CHROME_ROLES or hidden
-    step = tag + (f".{_DIGITS.sub('0', name)}" if name else "")
-    if not name and tag in PLACED:
+    parts = [x for x in _parts(tag, name) if stable is None or f"{tag}.{x}" in stable]
+    step = tag + (f".{' '.join(parts)}" if parts else "")
+    if not parts and tag in PLACED:
         k = parent.unnamed[tag] = parent.unnamed.get(tag, 0) + 1
         step += f"~{k}" * (k > 1)
     path = f"{parent.path}/{step}"
@@ -114,8 +123,9 @@ def _only_chrome(name: str) -> bool:
     return any(not HEADER_NAMES.sub("", CHROME_NAMES.sub("", x)).strip("-_") for x in name.split())
 
 
-def parse(text: str) -> Page:
-    """Tokens and blocks of a page. Markup may be cut off, unclosed or crossed."""
+def parse(text: str, stable: Names = None) -> Page:
+    """Tokens and blocks of a page. Markup may be cut off, unclosed or crossed. Of classes and ids, paths hold the parts that are
+    stable on the host ("tag.part"), all if that is None."""
     page, stack = Page(), [Node("", "", False, "", False, False)]
     parts: list[str] = []
     linked = plain = 0
@@ -177,7 +187,7 @@ def parse(text: str) -> Page:
                         break
                 elif stack[k].tag in SCOPES and stack[k].tag not in CLOSES.get(tag, ()):
                     break
-        node = _node(stack[-1], tag, attributes)
+        node = _node(stack[-1], tag, attributes, stable)
         page.paths[node.path] += 1
         if tag in VOID:
             continue
@@ -229,19 +239,81 @@ def weight(b: Block) -> int:
     return 1 if b.node.marks or b.node.doubt else 8 if b.node.article else 4
 
 
+_NAMED = re.compile(rf"<({_NAME})((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+NAMES = "host string, name string, pages long"
+
+
+def stable_names(pages: DataFrame, share: float = 0.5) -> DataFrame:
+    """host, names: of the tags' parts of classes and ids ("tag.part") those that at least share of the host's pages have. What a page has of
+    its own (categories, numbers of posts, states) is no part of a path, so that pages agree in their paths.
+
+    Tasks add up their pages before anything is shuffled; of a host no more names remain than 1 / share times those of a page.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], int] = defaultdict(int)
+        known: dict[tuple[str, str], list[str]] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["host", "name", "pages"])
+
+        for b in batches:
+            for site, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                seen: set[str] = set()
+                for tag, attributes in set(_NAMED.findall(text or "")):
+                    if not attributes.strip(" /"):
+                        continue
+                    if (own := known.get((tag, attributes))) is None:
+                        low = tag.lower()
+                        name = " ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+                        if len(known) > 20_000:
+                            known.clear()
+                        own = known[tag, attributes] = [f"{low}.{x}" for x in _parts(low, name)]
+                    seen.update(own)
+                for name in seen:
+                    sums[site, name] += 1
+                sums[site, ""] += 1
+            if len(sums) > 200_000:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    rows = pages.select("html", host(F.col("url")).alias("host")).mapInArrow(count, NAMES).groupBy("host", "name").agg(F.sum("pages").alias("pages"))
+    rows = materialize(rows, "names")
+    hosts = rows.where("name = ''").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
+    kept = rows.where("name <> ''").join(sized(hosts, 100), F.col("host") == F.col("h")).where(F.col("pages") >= share * F.col("host_pages"))
+    return materialize(kept.groupBy("host").agg(F.array_sort(F.collect_list("name")).alias("names")), "stable")
+
+
+def by_host(asked: DataFrame, sides: DataFrame, size: int, salts: int) -> DataFrame:
+    """asked with the row of sides of its host, if any: broadcast if size bytes allow, else joined by host and a salt."""
+    if size <= BROADCAST_BYTES:
+        return asked.join(F.broadcast(sides), "host", "left")
+    salted = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
 TOKENS = "host string, token string, vector long, pages long, total long, least long, most long, chars long"
 
 
-def token_vectors(pages: DataFrame) -> DataFrame:
+def _bytes(sides: DataFrame, *lists: str) -> int:
+    return sides.agg(F.sum(F.length("host") + 100 + sum((F.length(F.array_join(F.col(c).cast("array<string>"), "")) + 8 * F.size(c) for c in lists), F.lit(0)))).first()[0] or 0
+
+
+def token_vectors(pages: DataFrame, names: DataFrame | None = None, salts: int = 32) -> DataFrame:
     """host, token, and its occurrence vector over the host's pages as a 64-bit sum of one random term for each page,
     times the count; support and extremes of the counts; of text tokens the weighted characters. Also a row (token starts with "@")
     for each path of blocks: total and chars are its weighted characters and those that are links.
 
-    Tasks add up their pages before anything is shuffled, so a host with a third of all pages is a few rows a task.
+    Tasks add up their pages before anything is shuffled, so a host with a third of all pages is a few rows a task. names are stable_names,
+    if known.
     """
+    names = stable_names(pages) if names is None else names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], list[int]] = {}
+        stable: dict[str, frozenset[str]] = {}
 
         def out() -> pa.RecordBatch:
             keys = list(sums)
@@ -250,8 +322,12 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(vector), *[pa.array(c, pa.int64()) for c in cols[1:]]], [c.split()[0] for c in TOKENS.split(", ")])
 
         for b in batches:
-            for key, url, site, text in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-                page, term = parse(text or ""), _hash(f"{key} {url}")
+            if len(stable) > 1000:
+                stable.clear()
+            for k, (key, url, site, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True)):
+                if site not in stable:
+                    stable[site] = frozenset(b.column("names")[k].as_py() or ())
+                page, term = parse(text or "", stable[site]), _hash(f"{key} {url}")
                 seen = page_tokens(page)
                 seen[""] = 1  # the host itself: its number of pages
                 for token, n in seen.items():
@@ -273,7 +349,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         if sums:
             yield out()
 
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).mapInArrow(count, TOKENS)
+    asked = by_host(pages.select("page_id", "url", "html", host(F.col("url")).alias("host")), names, _bytes(names, "names"), salts)
+    rows = asked.select("page_id", "url", "html", "host", "names").mapInArrow(count, TOKENS)
     added = [F.sum(c).alias(c) for c in ("pages", "total", "chars")]
     return rows.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), *added, F.min("least").alias("least"), F.max("most").alias("most"))
 
@@ -343,12 +420,27 @@ def main_slot(nested: list[dict], slots: list[dict], repeated: bool = True, enou
 TEMPLATES = "host string, host_pages long, classes array<struct<class_id:int,parent:int,pages:long,once:boolean,tokens:array<string>>>, fixed array<long>, skeleton array<long>, root string"
 
 
-def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3) -> DataFrame:
+def slots_of(vectors: DataFrame, share: float) -> DataFrame:
+    """host, path, total, chars of the paths of blocks that at least share of the host's pages have; what stands below rarer ones is added up
+    as one path "*" below the nearest that is that frequent. So a host has no more than 1 / share times the paths of a page."""
+    hosts = sized(vectors.where("token = ''").select(F.col("host").alias("h"), (F.col("pages") * share).alias("least_pages")), 100)
+    frequent = vectors.join(hosts, F.col("host") == F.col("h"))
+    tags = frequent.where("startswith(token, '/') and not endswith(token, '/') and pages >= least_pages").select(F.col("host").alias("h"), F.col("token").alias("tag"))
+    told = frequent.where("startswith(token, '@')").select("host", F.expr("substring(token, 2)").alias("path"), "total", "chars")
+    above = F.expr("transform(filter(sequence(1, length(path)), i -> substring(path, i, 1) = '/' AND i > 1), i -> substring(path, 1, i - 1))")
+    each = told.select("*", F.explode(F.concat(F.array(F.lit("")), above, F.array("path"))).alias("prefix"))
+    held = each.join(tags, (F.col("host") == F.col("h")) & (F.col("prefix") == F.col("tag")), "left").where("tag is not null or prefix = ''")
+    nearest = held.groupBy("host", "path", "total", "chars").agg(F.max(F.struct(F.length("prefix"), "prefix")).alias("at"))
+    place = F.when(F.col("at.prefix") == F.col("path"), F.col("path")).otherwise(F.concat("at.prefix", F.lit("/*")))
+    return nearest.groupBy("host", place.alias("path")).agg(F.sum("total").alias("total"), F.sum("chars").alias("chars"))
+
+
+def templates(pages: DataFrame, share: float = 0.5, least_pages: int = 3, names: DataFrame | None = None, salts: int = 32) -> DataFrame:
     """For each host: its nested classes; hashes of the texts in them; hashes of their tag paths; and the path of the main slot.
-    On a host with fewer than least_pages pages no text counts as template."""
-    vectors = materialize(token_vectors(pages), "tokens")
+    On a host with fewer than least_pages pages no text counts as template. Of a host only what at least share of its pages have is gathered."""
+    vectors = materialize(token_vectors(pages, stable_names(pages, share) if names is None else names, salts), "tokens")
     classes = equivalence_classes(vectors, share).groupBy("host", "host_pages").agg(F.collect_list(F.struct("class_vector", "pages", "once", "tokens", "chars", "valid")).alias("classes"))
-    slots = vectors.where("startswith(token, '@')").groupBy(F.col("host").alias("r")).agg(F.collect_list(F.struct(F.expr("substring(token, 2)").alias("path"), "total", "chars")).alias("slots"))
+    slots = slots_of(vectors, share).groupBy(F.col("host").alias("r")).agg(F.collect_list(F.struct("path", "total", "chars")).alias("slots"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -418,16 +510,17 @@ def main_text(page: Page, once: frozenset[str], fixed: frozenset[int], skeleton:
 def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: int = 32) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
-    Templates are deduced from all pages of each host (see templates); then each page's slots are read through its host's.
-    Templates are broadcast only if their counted bytes allow; otherwise pages are joined with them by host and a
+    Names that a host's pages share are found first (see stable_names), then templates are deduced from all pages of each host (see
+    templates); then each page's slots are read through its host's. Both are broadcast only if their counted bytes allow; otherwise pages are joined with them by host and a
     salt, so a host with a third of all pages is spread.
     Nulls: a null html is empty and gives an empty text; a null or odd url belongs to the host that its text names,
     at worst the empty one; a null page_id stays. Repeated rows are extracted each. An empty table gives no rows.
     A page of any length is parsed whole, in one worker. Other columns are not read.
     """
-    made = materialize(templates(pages, share, least_pages), "templates")
-    brief = made.select("host", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "fixed", "skeleton", "root")
-    size = brief.agg(F.sum(F.length("host") + F.length(F.array_join("once", "")) + 8 * F.size("fixed") + 8 * F.size("skeleton") + 100)).first()[0] or 0
+    names = stable_names(pages, share)
+    made = materialize(templates(pages, share, least_pages, names, salts), "templates")
+    brief = made.join(names, "host", "left").select("host", "names", F.flatten(F.transform(F.filter("classes", lambda c: c["once"]), lambda c: F.filter(c["tokens"], lambda t: ~t.startswith(TEXT)))).alias("once"), "fixed", "skeleton", "root")
+    size = _bytes(brief, "once", "fixed", "skeleton") + _bytes(names, "names")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, tuple[frozenset, ...]] = {}
@@ -437,16 +530,13 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 3, salts: i
                 if site not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("once", "fixed", "skeleton"))
-                texts.append(main_text(parse(text), *sets[site], root or ""))
+                    sets[site] = tuple(frozenset(b.column(c)[k].as_py() or ()) for c in ("names", "once", "fixed", "skeleton"))
+                stable, *of_host = sets[site]
+                texts.append(main_text(parse(text, stable), *of_host, root or ""))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     asked = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
-    if size <= BROADCAST_BYTES:
-        joined = asked.join(F.broadcast(brief), "host", "left")
-    else:
-        salted = brief.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "host", "once", "fixed", "skeleton", "root").mapInArrow(read, "page_id long, url string, text string")
+    joined = by_host(asked, brief, size, salts)
+    out = joined.select("page_id", "url", "html", "host", "names", "once", "fixed", "skeleton", "root").mapInArrow(read, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
