@@ -181,7 +181,19 @@ SELECT d.doc_id, c.class_id, least(d.doc_id, coalesce(k.copy, d.doc_id)) AS copy
 FROM documents d JOIN classes c ON c.d = d.doc_id LEFT JOIN counted k ON k.a = d.doc_id
 """
 
-#: The thresholds as exact quartiles: what the sketches give while a group and its language have no more than k documents.
+def _quantiles(enough: int) -> str:
+    """What rules.thresholds reads from sketches, as exact quantiles of a group."""
+    out = []
+    for f, (_, part) in rules.FEATURES.items():
+        if part is None:
+            out.append(f"quantile_disc({f}, 0.25) AS {f}_a, quantile_disc({f}, 0.75) AS {f}_b")
+        else:
+            rare = f"CASE WHEN count(*) FILTER ({f} > 0) >= {enough} THEN quantile_disc({f}, {rules.RARE}) FILTER ({f} > 0) END"
+            out.append(f"NULL AS {f}_a, coalesce(nullif(quantile_disc({f}, {part}), 0), {rare}) AS {f}_b")
+    return ", ".join(out)
+
+
+#: The thresholds as exact quantiles: what the sketches give while a group and its language have no more than k documents.
 OP9_SQL = r"""
 WITH cut AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -203,7 +215,7 @@ WITH cut AS (
 ), per_lang AS (
   SELECT lang, count(*) AS n, {quartiles} FROM f WHERE NOT base_failed GROUP BY lang
 ), overall AS (
-  SELECT {quartiles} FROM f WHERE NOT base_failed
+  SELECT {all_quartiles} FROM f WHERE NOT base_failed
 ), chosen AS (
   SELECT o.lang, o.source, {choices} FROM own o LEFT JOIN per_lang p ON p.lang IS NOT DISTINCT FROM o.lang, overall a
 )
@@ -213,9 +225,12 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """.format(
     shares=", ".join(f"CAST({e} AS DOUBLE) AS {f}" for f, (e, _) in rules.FEATURES.items()),
-    quartiles=", ".join(f"quantile_disc({f}, 0.25) AS {f}_a, quantile_disc({f}, 0.75) AS {f}_b" for f in rules.FEATURES),
-    choices=", ".join(f"CASE WHEN o.n >= 100 THEN o.{f}_{q} WHEN p.n >= 100 THEN p.{f}_{q} ELSE a.{f}_{q} END AS {f}_{q}" for f in rules.FEATURES for q in "ab"),
-    inside=" AND ".join([f"({f} <= {f}_b" + f" * ({f}_b / {f}_a)" * 3 + (f" OR {count} = 0)" if count else f" AND {f} >= {f}_a" + f" * ({f}_a / {f}_b)" * 3 + ")") for f, (_, count) in rules.FEATURES.items()]),
+    quartiles=_quantiles(rules.ENOUGH),
+    all_quartiles=_quantiles(1),
+    choices=", ".join(f"CASE WHEN o.n >= {least} AND o.{f}_b IS NOT NULL THEN o.{f}_{q} WHEN p.n >= {least} AND p.{f}_b IS NOT NULL THEN p.{f}_{q} ELSE a.{f}_{q} END AS {f}_{q}" for f, (_, part) in rules.FEATURES.items() for least in (rules.least_documents(part, 100),) for q in "ab"),
+    inside=" AND ".join(
+        f"coalesce({f} <= {f}_b" + (f" * ({f}_b / {f}_a)" * 3 + f" AND {f} >= {f}_a" + f" * ({f}_a / {f}_b)" * 3 if part is None else "") + ", true)" for f, (_, part) in rules.FEATURES.items()
+    ),
 )
 
 OP10_SQL = """

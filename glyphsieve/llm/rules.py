@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from glyphsieve.llm.common import materialize, sized
 
-#: What the sketches watch: a name, the value sketched, and the count without which a document can't fail (none: low values fail too).
-#: Shares are smoothed by one, as a text of n words can't show a share below 1/n: so each has a logarithm, and a spread even where
-#: most texts have none of it.
-FEATURES: dict[str, tuple[str, str | None]] = {
-    "symbol_share": ("(n_symbols + 1) / (word_chars + 1)", "n_symbols"),
+#: What the sketches watch: a name, the value, and for shares, of which most documents have none at all, the part of a group's documents
+#: that may not lie above the limit. These parts and RARE were chosen on half of the labels of sf0.1 (see README).
+FEATURES: dict[str, tuple[str, float | None]] = {
+    "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.9),
     "mean_word": ("word_chars / greatest(n_words, 1)", None),
-    "dup_line_share": ("(n_dup_lines + 1) / (n_lines + 1)", "n_dup_lines"),
-    "repeat_share": ("(n_repeat_words + 1) / (n_words + 1)", "n_repeat_words"),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 0.99),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.99),
 }
+#: Where fewer documents than that part have any of it, the limit is this quantile of the shares of those that have, once there are so many.
+RARE, ENOUGH = 0.05, 20
+SHARES = [f for f, (_, part) in FEATURES.items() if part is not None]
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -78,40 +80,65 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def least_documents(part: float | None, least: int) -> int:
+    """How many documents a group needs for a limit of its own: least, or so many that five lie beyond the quantile."""
+    return least if part is None else max(least, round(5 / (1 - part)))
+
+
 def sketches(measured: DataFrame, k: int = 4096) -> DataFrame:
-    """lang, source, n and a KLL sketch of each feature, over the measured documents that pass the base rules.
+    """lang, source, n, a KLL sketch of each feature over the measured documents that pass the base rules, and of shares also one over
+    those that are not 0, with their number.
 
     Sketches merge: a group's may be built by any number of tasks, and groups may be merged to languages or to all.
     """
     shares = measured.where(~base_failed()).select("lang", "source", *[F.expr(e).cast("double").alias(f) for f, (e, _) in FEATURES.items()])
-    return shares.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f, k).alias(f) for f in FEATURES])
+    cols = [F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f, k).alias(f) for f in FEATURES]]
+    for f in SHARES:
+        some = F.when(F.col(f) > 0, F.col(f))
+        cols += [F.count(some).alias(f"n_{f}"), F.kll_sketch_agg_double(some, k).alias(f"some_{f}")]
+    return shares.groupBy("lang", "source").agg(*cols)
 
 
 def thresholds(groups: DataFrame, least: int = 100, fence: int = 3) -> DataFrame:
-    """lang, source, low_<feature>, high_<feature>: the quartiles, each parted from the other by fence times their ratio again.
+    """lang, source, low_<feature>, high_<feature>.
 
-    These are the outer fences of a box plot of logarithms, so they follow the data at any scale and hold no cutoff of their own.
-    Groups with fewer than least documents take their language's merged sketch, and if that has fewer, all documents'.
+    A share's limit is the quantile of its group that FEATURES names, and if that is 0 the quantile RARE of the shares above 0: so it
+    is a share that some document has, however long texts are. The length of words has both limits: its quartiles, each
+    parted from the other by fence times their ratio again (the outer fences of a box plot of logarithms). Groups with fewer than
+    least_documents, or with fewer than ENOUGH shares above 0 where these tell, take their language's merged sketch, then all documents'.
     """
 
     def merged(*by: str) -> DataFrame:
-        return groups.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(f).alias(f) for f in FEATURES])
+        kept = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(f).alias(f) for f in FEATURES]]
+        for f in SHARES:
+            kept += [F.sum(f"n_{f}").alias(f"n_{f}"), F.kll_merge_agg_double(f"some_{f}").alias(f"some_{f}")]
+        return groups.groupBy(*by).agg(*kept)
 
-    def fences(of: DataFrame, prefix: str, *by: str) -> DataFrame:
-        quartile = lambda f, q: F.kll_sketch_get_quantile_double(F.col(f), F.lit(q))
+    def limits(of: DataFrame, prefix: str, *by: str, enough: int = ENOUGH) -> DataFrame:
+        quantile = lambda f, q: F.kll_sketch_get_quantile_double(F.col(f), F.lit(q))
         away = lambda x, ratio: reduce(lambda a, _: a * ratio, range(fence), x)
         cols = []
-        for f in FEATURES:
-            low, high = quartile(f, 0.25), quartile(f, 0.75)
-            cols.append(F.struct(away(low, low / high).alias("low"), away(high, high / low).alias("high")).alias(f"{prefix}{f}"))
+        for f, (_, part) in FEATURES.items():
+            if part is None:
+                a, b = quantile(f, 0.25), quantile(f, 0.75)
+                low, high = away(a, a / b), away(b, b / a)
+            else:
+                rare = F.when(F.col(f"n_{f}") >= enough, quantile(f"some_{f}", RARE))
+                low, high = F.lit(None).cast("double"), F.when(quantile(f, part) > 0, quantile(f, part)).otherwise(rare)
+            cols.append(F.struct(low.alias("low"), high.alias("high")).alias(f"{prefix}{f}"))
         return of.select(*[F.col(b).alias(f"{prefix}{b}") for b in by], F.col("n").alias(f"{prefix}n"), *cols)
 
-    own = fences(groups, "g_", "lang", "source")
-    langs = fences(merged("lang"), "l_", "lang")
-    total = fences(merged().where("n > 0"), "").first()  # one row, or none of an empty table
+    own = limits(groups, "g_", "lang", "source")
+    langs = limits(merged("lang"), "l_", "lang")
+    total = limits(merged().where("n > 0"), "", enough=1).first()  # one row, or none of an empty table
     joined = own.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left")
     overall = lambda f: F.struct(*[F.lit(total[f][s] if total else None).cast("double").alias(s) for s in ("low", "high")])
-    choose = lambda f: F.when(F.col("g_n") >= least, F.col(f"g_{f}")).when(F.col("l_n") >= least, F.col(f"l_{f}")).otherwise(overall(f))
+
+    def choose(f: str) -> Column:
+        n = least_documents(FEATURES[f][1], least)
+        known = lambda p: F.when((F.col(f"{p}n") >= n) & F.col(f"{p}{f}.high").isNotNull(), F.col(f"{p}{f}"))
+        return F.coalesce(known("g_"), known("l_"), overall(f))
+
     return joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *[choose(f)[s].alias(f"{s}_{f}") for f in FEATURES for s in ("low", "high")])
 
 
@@ -120,8 +147,8 @@ def judge(docs: DataFrame, k: int = 4096, least: int = 100, fence: int = 3) -> D
     (doc_id, text, lang, source).
 
     Base rules fail texts of under 50 words or with over half their words in repeated windows. Of the rest, a document
-    is kept while every feature lies inside the thresholds of its language and source; see sketches and thresholds. One without
-    symbols, repeated lines or windows never fails by that feature.
+    is kept while every feature lies inside the thresholds of its language and source, limits included; see sketches and thresholds. One
+    without symbols, repeated lines or windows never fails by that feature.
     Texts are read once: their metrics are written, sketched and joined. KLL sketches draw lots once a group has more
     than k documents, so a document within the sketch's rank error of a fence may fall on either side.
     Nulls: a null text has no words (base_failed); null lang or source are a value like others; a null doc_id stays.
@@ -134,10 +161,9 @@ def judge(docs: DataFrame, k: int = 4096, least: int = 100, fence: int = 3) -> D
     on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     joined = measured.join(sized(limits, 200), on, "left")
     inside = []
-    for f, (e, count) in FEATURES.items():
-        below = F.expr(e) <= F.col(f"high_{f}")
-        inside.append(below | (F.col(count) == 0) if count else below & (F.expr(e) >= F.col(f"low_{f}")))
-    verdict = F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(True))
+    for f, (e, _) in FEATURES.items():  # no limit (a group without any) fails none
+        inside += [F.coalesce(F.expr(e) <= F.col(f"high_{f}"), F.lit(True)), F.coalesce(F.expr(e) >= F.col(f"low_{f}"), F.lit(True))]
+    verdict = reduce(lambda a, b: a & b, inside)
     return joined.select("doc_id", *[m for m in METRICS if m != "n_lines"], base_failed().alias("base_failed"), (~base_failed() & verdict).alias("kept"), "n_lines")
 
 
