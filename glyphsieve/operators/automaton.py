@@ -23,6 +23,7 @@ class Scanner:
 
     def __init__(self, compiled: Compiled):
         self.rules = [(r.word_id, r.word, len(r.needed)) for r in compiled.rules]
+        self.process_types = [int(r.process_type) for r in compiled.rules]
         self.segments = [[(s.negative, s.quota) for s in r.segments] for r in compiled.rules]
         self.types: dict[int, list[str]] = defaultdict(list)
         by_type: dict[int, dict[str, list[tuple[bool, bool, int, int]]]] = defaultdict(lambda: defaultdict(list))
@@ -116,13 +117,30 @@ class Scanner:
                     if n > best.get(at, 0):
                         best[at] = n
             if least:
-                done.update(self._settled(best))
+                done.update(self.settled(best))
                 if done:
                     return sorted(done)
-        done.update(self._settled(best))
+        done.update(self.settled(best))
         return sorted(done)
 
-    def _settled(self, best: dict[tuple[int, int], int]) -> list[int]:
+    def hits(self, text: str | None) -> dict[tuple[int, int], int]:
+        """Hits of each segment, by rule and segment: the most of any variant of the text; none of a null or empty text."""
+        best: dict[tuple[int, int], int] = {}
+        for pt, entries in self.entries.items() if text else ():
+            for form in self._variants(pt, text):
+                sums: dict[tuple[int, int], int] = defaultdict(int)
+                for end, k in self._scan(pt, form):
+                    start = end + 1 - self.lengths[pt][k]
+                    for left, right, rule, segment in entries[k]:
+                        cut_left = left and start and word_character(form[start - 1])
+                        cut_right = right and end + 1 < len(form) and word_character(form[end + 1])
+                        if not cut_left and not cut_right:
+                            sums[rule, segment] += 1
+                for at, n in sums.items():
+                    best[at] = max(n, best.get(at, 0))
+        return best
+
+    def settled(self, best: dict[tuple[int, int], int]) -> list[int]:
         """The rules whose needed segments all have their quota and whose vetoing ones have not."""
         have: dict[int, int] = defaultdict(int)
         for (rule, segment), n in best.items():

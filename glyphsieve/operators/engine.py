@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve.flags import ProcessType, RuleError
 from glyphsieve.operators.automaton import Scanner
+from glyphsieve.operators.table_function import register_table_functions
 from glyphsieve.plans import expressions, relational
 from glyphsieve.plans.compiler import Compiled, compile_rules
 from glyphsieve.plans.expressions import MATCHES
@@ -50,6 +51,10 @@ class RuleEngine:
             raise RuleError(f"rules of about {self.size_bytes()} bytes are too many to broadcast; use match_rows")
         return SparkSession.builder.getOrCreate().sparkContext.broadcast(Scanner(self.compiled))
 
+    def scanner(self):  # noqa: ANN201
+        """The broadcast automaton, whatever the tier."""
+        return self._scanner
+
     def is_match(self, text: Column) -> Column:
         """Whether any rule fires."""
         if self.tier == "expressions":
@@ -144,6 +149,19 @@ class RuleEngine:
         spark.udf.register(f"{name}_is_match", matches)
         spark.udf.register(f"{name}_process", ids)
 
+    def register_table_functions(self, spark: SparkSession, name: str) -> None:
+        """SQL table functions name_hits(text) and name_hits_of(TABLE(t), column); see operators.table_function."""
+        register_table_functions(spark, self._scanner, name)
+
+    def quotas_df(self, spark: SparkSession) -> DataFrame:
+        """rule, segment, negative, quota: rules by their numbers."""
+        return spark.createDataFrame([(k, s.number, s.negative, s.quota) for k, r in enumerate(self.compiled.rules) for s in r.segments], "rule int, segment int, negative boolean, quota int")
+
+    def numbered_df(self, spark: SparkSession) -> DataFrame:
+        """rule, process_type, word_id, word, needed (how many segments must reach their quota)."""
+        rows = [(k, int(r.process_type), r.word_id, r.word, len(r.needed)) for k, r in enumerate(self.compiled.rules)]
+        return spark.createDataFrame(rows, "rule int, process_type int, word_id long, word string, needed int")
+
     def rules_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(int(r.process_type), r.word_id, r.word) for r in self.compiled.rules], "process_type int, word_id long, word string")
 

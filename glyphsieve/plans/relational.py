@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +12,21 @@ from glyphsieve.plans.compiler import Compiled
 from glyphsieve.plans.expressions import WORD, quoted
 from glyphsieve.plans.naive import word_character
 
-SEED = 5  # patterns find their texts by so many characters at their start, or by all if they have fewer
+SEED = 5  # patterns find their texts by a seed of so many characters, or by all if they have fewer
+FEW = 64  # up to so many patterns of a process type, each is its own seed and looked for by itself
 TRIE = 20_000  # seeds of one length up to which one regular expression holds them
+WINDOW = 1 << 20  # characters of a text that one task searches; longer texts are cut
 BROADCAST_BYTES = 32 << 20
 HITS = "rule int, segment int, process_type int, variant int, n long"
 
 
-def _entries(docs: DataFrame, compiled: Compiled) -> tuple[DataFrame, int]:
-    """One row for each alternative, with the expression that counts it, and the rows' bytes."""
+def _entries(docs: DataFrame, compiled: Compiled, seeds: dict[tuple[int, str], str]) -> tuple[DataFrame, int]:
+    """One row for each alternative, with its seed and the expression that counts it, and the rows' bytes."""
     rows = []
     for pt, pattern, left, right, rule, segment in compiled.entries():
         before = f"(?<![{WORD}])" if left and word_character(pattern[0]) else ""
         after = f"(?![{WORD}])" if right and word_character(pattern[-1]) else ""
-        rows.append((pt, pattern, f"(?={before}{quoted(pattern)}{after})", bool(before or after), pattern[:SEED], rule, segment))
+        rows.append((pt, pattern, f"(?={before}{quoted(pattern)}{after})", bool(before or after), seeds[pt, pattern], rule, segment))
     made = docs.sparkSession.createDataFrame(rows, "process_type int, pattern string, regex string, bounded boolean, seed string, rule int, segment int")
     return made, sum(len(r[1]) + len(r[2]) + 64 for r in rows)
 
@@ -42,40 +43,103 @@ def _trie(seeds: list[str]) -> str:
 
 
 def _occurring(form: Column, seeds: list[str]) -> Column:
-    """The seeds that occur in form: at each place at most one of each length does. Of so many that no expression holds them, all
-    strings of their length are given."""
+    """The seeds that occur in form. A few are looked for one by one; more by one expression for each length, as at each place at most one of
+    a length begins; of so many that no expression holds them, all strings of their length are given."""
+    if len(seeds) <= FEW:
+        return F.filter(F.array(*[F.lit(s) for s in seeds]), lambda s: F.contains(form, s))
     lengths = {n: sorted({x for x in seeds if len(x) == n}) for n in sorted({len(x) for x in seeds})}
     found = [F.regexp_extract_all(form, F.lit(f"(?s)(?=({_trie(own) if len(own) <= TRIE else f'.{{{n}}}'}))"), F.lit(1)) for n, own in lengths.items()]
     return F.array_distinct(F.concat(*found))
 
 
-def hit_rows(docs: DataFrame, compiled: Compiled, text: str, key: str) -> DataFrame:
-    """key, rule, segment, process_type, variant, n: hits of each alternative in each distinct variant of each text.
+def _found(forms: DataFrame, seeds: dict[int, set[str]]) -> Column:
+    own = F.when(F.lit(False), F.lit(None).cast("array<string>"))
+    for pt in sorted(seeds):
+        own = own.when(F.col("process_type") == pt, _occurring(F.col("form"), sorted(seeds[pt])))
+    return own
 
-    Patterns find texts by an equi-join of their first SEED characters with those seeds that occur in a variant, and are then verified.
+
+def _grams(pattern: str) -> list[str]:
+    return [pattern[k : k + SEED] for k in range(max(1, len(pattern) - SEED + 1))]
+
+
+def choose_seeds(forms: DataFrame, compiled: Compiled) -> dict[tuple[int, str], str]:
+    """The seed of each pattern of a process type: itself where there are few, else that of its SEED-character strings which the fewest forms hold.
+
+    A pass over all forms counts each of the patterns' strings with partial sums, so that no pattern stands for a beginning that
+    nearly every text has. What comes to the driver is one count for each string of the rules, which it holds already.
+    """
+    patterns: dict[int, set[str]] = {}
+    for pt, pattern, *_ in compiled.entries():
+        patterns.setdefault(pt, set()).add(pattern)
+    seeds = {(pt, p): p for pt, own in patterns.items() if len(own) <= FEW for p in own}
+    many = {pt: own for pt, own in patterns.items() if len(own) > FEW}
+    if many:
+        grams = {pt: {g for p in own for g in _grams(p)} for pt, own in many.items()}
+        told = forms.where(F.col("process_type").isin(*many)).select("process_type", F.explode(_found(forms, grams)).alias("seed"))
+        if max(map(len, grams.values())) > TRIE:  # then all strings of the forms are given
+            own = forms.sparkSession.createDataFrame([(pt, g) for pt, gs in grams.items() for g in sorted(gs)], "process_type int, seed string")
+            told = told.join(F.broadcast(own) if 64 * sum(map(len, grams.values())) <= BROADCAST_BYTES else own, ["process_type", "seed"])
+        counts = {(r.process_type, r.seed): r["count"] for r in told.groupBy("process_type", "seed").count().collect()}
+        seeds |= {(pt, p): min(_grams(p), key=lambda g: counts.get((pt, g), 0)) for pt, own in many.items() for p in own}
+    return seeds
+
+
+def forms_of(docs: DataFrame, compiled: Compiled, text: str, key: str, window: int = WINDOW) -> DataFrame:
+    """__key, process_type, variant, form, lead, body: each distinct variant of each text under each process type.
+
+    A form is searched for hits that start within body characters behind lead of context. Variants of up to window characters are one
+    form; longer ones are cut into many, which are dealt out to all tasks: each has one character of context before and as many
+    behind as the longest pattern, so hits that lie across a cut, and boundaries at it, are found where they start.
+    """
+    types = sorted({pt for pt, *_ in compiled.entries()})
+    longest = max(len(e[1]) for e in compiled.entries())
+    every = [F.struct(F.lit(pt).alias("process_type"), F.array_distinct(F.array(*variants(pt, F.col(text), compiled.own))).alias("texts")) for pt in types]
+    each = lambda df: df.select(F.col(key).alias("__key"), F.explode(F.array(*every)).alias("f")).select("__key", F.col("f.process_type").alias("process_type"), F.posexplode("f.texts").alias("variant", "form"))
+    texts = docs.where(F.col(text) != "")
+    # no more bytes than characters: no text counts as short that is long; transforms may make a text longer, so its variants are measured
+    whole = each(texts.where(F.octet_length(text) <= window)).select("*", F.lit(0).alias("lead"), F.length("form").alias("body"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("form") - 1, F.lit(0)), F.lit(window))
+    lead = lambda at: F.when(at > 0, 1).otherwise(0)
+    cut = lambda at: F.struct(F.substr("form", at + 1 - lead(at), lead(at) + F.lit(window + longest)).alias("form"), lead(at).alias("lead"), F.least(F.lit(window), F.length("form") - at).alias("body"))
+    pieces = each(texts.where(F.octet_length(text) > window)).select("__key", "process_type", "variant", F.posexplode(F.transform(starts, cut)).alias("piece", "p"))
+    spread = pieces.repartition("__key", "process_type", "variant", "piece")
+    return whole.unionByName(spread.select("__key", "process_type", "variant", "p.form", "p.lead", "p.body"))
+
+
+def hit_rows(docs: DataFrame, compiled: Compiled, text: str, key: str, window: int = WINDOW) -> DataFrame:
+    """key, rule, segment, process_type, variant, n: hits of each alternative in each distinct variant of each text; of a variant that was cut
+    (see forms_of) a row for each window with hits.
+
+    Patterns find texts by an equi-join of their seeds (see choose_seeds) with those that occur in a form, and are then verified.
     The table of patterns is broadcast if its bytes, known from the compiled rules, allow; else the join is an ordinary
     shuffle join by type and seed, whose hot seeds AQE splits.
     """
-    entries, size = _entries(docs, compiled)
+    each = forms_of(docs, compiled, text, key, window)
+    seeds = choose_seeds(each, compiled)
+    entries, size = _entries(docs, compiled, seeds)
     small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df
-    seeds: dict[int, set[str]] = {}
-    for pt, pattern, *_ in compiled.entries():
-        seeds.setdefault(pt, set()).add(pattern[:SEED])
-    forms = [F.struct(F.lit(pt).alias("process_type"), F.array_distinct(F.array(*variants(pt, F.col(text), compiled.own))).alias("texts")) for pt in sorted(seeds)]
-    each = docs.where(F.col(text) != "").select(F.col(key).alias("__key"), F.explode(F.array(*forms)).alias("f"))
-    each = each.select("__key", F.col("f.process_type").alias("process_type"), F.posexplode("f.texts").alias("variant", "form"))
-    own = reduce(lambda a, pt: a.when(F.col("process_type") == pt, _occurring(F.col("form"), sorted(seeds[pt]))), sorted(seeds), F.when(F.lit(False), F.lit(None)))
-    pairs = each.withColumn("s", F.explode(own)).join(small(entries.withColumnRenamed("process_type", "p")), (F.col("process_type") == F.col("p")) & (F.col("s") == F.col("seed"))).drop("p")
-    n = F.regexp_count("form", F.col("regex"))
-    return pairs.where(F.contains("form", F.col("pattern"))).select("__key", "rule", "segment", "process_type", "variant", n.cast("long").alias("n")).where("n > 0")
-
-
-def matches(docs: DataFrame, compiled: Compiled, text: str, key: str) -> DataFrame:
+    own: dict[int, set[str]] = {}
+    for (pt, _), seed in seeds.items():
+        own.setdefault(pt, set()).add(seed)
+    pairs = each.withColumn("s", F.explode(_found(each, own))).join(small(entries.withColumnRenamed("process_type", "p")), (F.col("process_type") == F.col("p")) & (F.col("s") == F.col("seed"))).drop("p")
+    pairs = pairs.where(F.contains("form", F.col("pattern")))
+    # of a window, up to the pattern's length behind its body, less a hit that starts in the context before and one just behind the body
+    size_of = F.length("pattern")
+    searched = F.substr("form", F.lit(1), F.col("lead") + F.col("body") + size_of)
+    early = F.when(F.col("lead") > 0, F.regexp_count(F.substr("form", F.lit(1), size_of + 1), F.concat(F.lit("^"), "regex"))).otherwise(0)
+    late = F.regexp_count(F.substr("form", F.col("lead") + F.col("body"), size_of + 1), F.concat(F.lit("^[\\s\\S]"), "regex"))
+    whole = (F.col("lead") == 0) & (F.col("body") == F.length("form"))
+    n = F.when(whole, F.regexp_count("form", F.col("regex"))).otherwise(F.regexp_count(searched, F.col("regex")) - early - late)
+    return pairs.select("__key", "rule", "segment", "process_type", "variant", n.cast("long").alias("n")).where("n > 0")
+
+
+def matches(docs: DataFrame, compiled: Compiled, text: str, key: str, window: int = WINDOW) -> DataFrame:
     """key, process_type, word_id, word: a row for each rule that fires in a row of docs; key must tell rows apart.
 
     Hits are summed over a segment's alternatives, then the largest sum of its variants is held against its quota.
     """
-    hits = hit_rows(docs, compiled, text, key)
+    hits = hit_rows(docs, compiled, text, key, window)
     sums = hits.groupBy("__key", "rule", "segment", "variant").agg(F.sum("n").alias("n"))
     most = sums.groupBy("__key", "rule", "segment").agg(F.max("n").alias("n"))
     spark = docs.sparkSession

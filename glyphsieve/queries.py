@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from glyphsieve.flags import ProcessType
 from glyphsieve.functions import reduce_text_process, reduce_text_process_emit, text_process
-from glyphsieve.operators import RuleEngine, RuleEngineBuilder
-from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_table, rules_from_json_column
-from glyphsieve.streaming import hit_counts, run_to_files, scratch_folder
+from glyphsieve.operators import RuleEngine, RuleEngineBuilder, RuleVersions
+from glyphsieve.operators.bitmaps import counted, fired_bitmaps, fired_together, merged
+from glyphsieve.operators.time_joins import asof, within
+from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_table, register, rules_from_json_column
+from glyphsieve.streaming import hit_counts, last_changes, rule_changes, rules_over_keys, run_in_parts, run_to_files, scratch_folder, session_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,3 +419,200 @@ def streaming_window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads folders: the table's own if it is one, else its file among its neighbours
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     return run_to_files(hit_counts(stream, RuleEngine(EVENT_RULES), "event_type", "ts", "1 hour"), "complete")
+
+
+@query(f"SELECT doc_id, 1 AS process_type, word_id, word FROM ({FIRED})")
+def process_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that fire, in plain SQL: a table function joined laterally."""
+    RuleEngine(RULES).register_table_functions(spark, "five")
+    return spark.sql("SELECT d.doc_id, h.process_type, h.word_id, h.word FROM {docs} d, LATERAL five_hits(d.text) h", docs=_table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, source, word_id, row_number() OVER (PARTITION BY source, word_id ORDER BY doc_id) AS nth FROM ({FIRED})")
+def partitioned_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits numbered within each source: a table function over a parted and ordered table."""
+    RuleEngine(RULES).register_table_functions(spark, "five")
+    rows = "TABLE(SELECT doc_id, source, text FROM {docs}) PARTITION BY source ORDER BY (doc_id)"
+    return spark.sql(f"SELECT doc_id, source, word_id, nth FROM five_hits_of({rows}, 'text')", docs=_table(spark, sf_dir, "documents"))
+
+
+EVENT_IDS = "list_concat(CASE WHEN contains(event_type, 'c') THEN [1] ELSE [] END, CASE WHEN contains(event_type, 'p') AND NOT contains(event_type, 'v') THEN [2] ELSE [] END, CASE WHEN contains(lower(event_type), 'view') OR contains(lower(event_type), 'signup') THEN [3] ELSE [] END)"
+GAP, DELAY = "6 hours", "10 minutes"
+
+
+def sessions_sql(rows: str) -> str:
+    """Sessions of rows (user_id, ts, ids): a row opens one if it is more than the gap behind the one before."""
+    opens = f"SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '{GAP}' THEN 0 ELSE 1 END AS opens FROM {rows}"
+    numbered = f"SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM ({opens})"
+    ids = "coalesce(array_to_string(list_sort(list_distinct(flatten(list(ids)))), ','), '')"
+    return f"SELECT user_id, s, min(ts) AS session_start, max(ts) + INTERVAL '{GAP}' AS session_end, count(*) AS events, CAST(sum(len(ids)) AS BIGINT) AS hits, {ids} AS rules FROM ({numbered}) GROUP BY user_id, s"
+
+
+SESSION = "user_id, session_start, session_end, events, hits, rules"
+FOUND = f"WITH e AS (SELECT user_id, ts, event_type, {EVENT_IDS} AS ids FROM events)"
+MARK = f"(SELECT date_trunc('millisecond', max(ts)) - INTERVAL '{DELAY}' FROM {{rows}})"
+
+
+def _sessions(rows: DataFrame) -> DataFrame:
+    return session_hits(rows, RuleEngine(EVENT_RULES), "event_type", "ts", "user_id", GAP, DELAY).withColumn("rules", F.array_join("rules", ","))
+
+
+@query(f"{FOUND} SELECT {SESSION} FROM ({sessions_sql('e')})")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and rules by session of each user."""
+    return _sessions(_table(spark, sf_dir, "events"))
+
+
+@query(f"{FOUND} SELECT {SESSION} FROM ({sessions_sql('e')}) WHERE session_end <= {MARK.format(rows='e')}")
+def streaming_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that a stream has closed when it has read all events: those that end before the last watermark."""
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return run_to_files(_sessions(stream), "append")
+
+
+@query(f"""{FOUND}, a AS (SELECT * FROM e WHERE event_type <> 'error'), first AS MATERIALIZED ({sessions_sql('a')}),
+open AS (SELECT a.* FROM a JOIN first f ON f.user_id = a.user_id AND a.ts BETWEEN f.session_start AND f.session_end - INTERVAL '{GAP}' WHERE f.session_end > {MARK.format(rows='a')}),
+late AS (SELECT * FROM open UNION ALL SELECT * FROM e WHERE event_type = 'error' AND ts + INTERVAL '{GAP}' > {MARK.format(rows='a')})
+SELECT {SESSION} FROM first WHERE session_end <= {MARK.format(rows='a')}
+UNION ALL SELECT {SESSION} FROM ({sessions_sql('late')}) WHERE session_end <= {MARK.format(rows='e')}""")
+def streaming_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors reach the stream after all other events: those behind the watermark are dropped, the rest join the sessions that are open."""
+    events = _table(spark, sf_dir, "events")
+    return run_in_parts([events.where("event_type <> 'error'"), events.where("event_type = 'error'")], _sessions, "append")
+
+
+KEY_RULES = [(1, 1, "&".join(["signup"] * 13) + "~error" * 14), (1, 2, "&".join(["view|click"] * 27)), (8, 3, "&".join(["PURCHASE"] * 14) + "&View"), (1, 4, "view~purchase")]
+_TIMES = "count(*) FILTER (WHERE event_type = '{}')".format
+_KEYED = {1: f"{_TIMES('signup')} >= 13 AND {_TIMES('error')} < 14", 2: f"{_TIMES('view')} + {_TIMES('click')} >= 27", 3: f"{_TIMES('purchase')} >= 14 AND {_TIMES('view')} >= 1", 4: f"{_TIMES('view')} >= 1 AND {_TIMES('purchase')} < 1"}
+KEYED = " UNION ALL ".join(f"SELECT CAST(user_id AS VARCHAR) AS user_id, CAST({k} AS BIGINT) AS word_id, '{w}' AS word FROM events GROUP BY user_id HAVING {_KEYED[k]}" for _, k, w in KEY_RULES)
+
+
+@query(KEYED)
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over all events of each user taken together."""
+    return rules_over_keys(_table(spark, sf_dir, "events"), RuleEngine(KEY_RULES), "event_type", "user_id", "ts")
+
+
+@query(KEYED)
+def streaming_user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by keyed state, as each user stands after the last change: vetoing errors, then purchases reach the stream last."""
+    events = _table(spark, sf_dir, "events")
+    parts = [events.where(c) for c in ("event_type not in ('error', 'purchase')", "event_type = 'error'", "event_type = 'purchase'")]
+    engine = RuleEngine(KEY_RULES)
+    changes = run_in_parts(parts, lambda s: rule_changes(s, engine, "event_type", "user_id", "ts", "60 days", "60 days"), "update")
+    return last_changes(changes, "user_id")
+
+
+#: A log of changes made of events: each error gives its user's rule (user_id modulo 10) another wording, or none, from then on.
+CHANGE_LOG = "SELECT ts AS {at}, 1 AS process_type, CAST(user_id % 10 AS BIGINT) AS word_id, CASE CAST(floor(value) AS INT) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'view|purchase' WHEN 2 THEN 'c~p' ELSE 'sign' END AS word FROM {events} WHERE event_type = 'error'"
+CHANGED = f"""WITH log AS ({CHANGE_LOG.format(events="events", at='"at"')}),
+spans AS (SELECT word_id, word, "at" AS valid_from, lead("at") OVER (PARTITION BY word_id ORDER BY "at") AS valid_to FROM (SELECT word_id, "at", arg_max(word, coalesce(word, '')) AS word FROM log GROUP BY word_id, "at")),
+hits AS (SELECT event_id, event_type, ts FROM events)
+SELECT event_id, word_id, word, valid_from FROM hits JOIN spans ON ts >= valid_from AND (valid_to IS NULL OR ts < valid_to) AND CASE word
+  WHEN 'view|purchase' THEN contains(event_type, 'view') OR contains(event_type, 'purchase') WHEN 'c~p' THEN contains(event_type, 'c') AND NOT contains(event_type, 'p')
+  WHEN 'sign' THEN contains(event_type, 'sign') ELSE false END"""
+
+
+@query(CHANGED)
+def changing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against the rules that were valid at their time, by a log of changes and deletions."""
+    events = _table(spark, sf_dir, "events")
+    versions = RuleVersions(spark.sql(CHANGE_LOG.format(events="{events}", at="at"), events=events))
+    return versions.match(events.select("event_id", "event_type", "ts"), "event_type", "ts", "6 hours").select("event_id", "word_id", "word", "valid_from")
+
+
+HITS_C = "SELECT event_id, user_id, ts FROM events WHERE contains(event_type, 'c')"
+
+
+@query(f"SELECT h.event_id, o.o_orderkey, o.o_orderdate FROM ({HITS_C}) h ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON h.user_id = o.o_custkey AND h.ts >= o.o_orderdate")
+def hits_after_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hit of a rule in events with its user's last order before it: an as-of join."""
+    hits_ = RuleEngine([(1, 1, "c")]).semi(_table(spark, sf_dir, "events"), "event_type")
+    found = asof(hits_, _table(spark, sf_dir, "orders"), ("user_id", "o_custkey"), ("ts", "o_orderdate"), ["o_orderdate", "o_orderkey"], "30 days")
+    return found.select("event_id", "o_orderkey", "o_orderdate")
+
+
+@query(f"SELECT h.event_id, p.event_id AS bought_id FROM ({HITS_C}) h ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON h.user_id = p.user_id AND h.ts >= p.ts")
+def hits_after_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hit with its user's last purchase until then."""
+    events = _table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), F.col("event_id").alias("bought_id"))
+    return asof(RuleEngine([(1, 1, "c")]).semi(events, "event_type"), bought, ("user_id", "user_id"), ("ts", "bought"), ["bought_id"], "6 hours").select("event_id", "bought_id")
+
+
+@query("SELECT h.event_id, p.event_id AS bought_id FROM (SELECT * FROM events WHERE contains(event_type, 'view') OR contains(event_type, 'click')) h JOIN events p ON p.event_type = 'purchase' AND h.user_id = p.user_id AND h.ts >= p.ts AND h.ts < p.ts + INTERVAL '2 days'")
+def hits_within_two_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in the two days behind each of their user's purchases: a range join by buckets of a day."""
+    events = _table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought_id"), F.col("ts").alias("opens"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("closes"))
+    hits_ = RuleEngine([(1, 1, "view|click")]).semi(events, "event_type")
+    return within(hits_, bought, ("user_id", "user_id"), "ts", "opens", "closes", ["bought_id"]).select("event_id", "bought_id")
+
+
+@query(f"SELECT lang, source, CAST(count(DISTINCT word_id) AS BIGINT) AS n_rules FROM ({FIRED}) GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+def rule_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the rules fire in any document of each language and source, each language, and at all, by bitmaps that are merged."""
+    fine = fired_bitmaps(_table(spark, sf_dir, "documents"), RuleEngine(RULES), "text", "lang", "source")
+    none = F.lit(None).cast("string")
+    langs = counted(merged(fine, "lang"), "lang").withColumn("source", none)
+    total = counted(merged(fine.withColumn("all", F.lit(1)), "all"), "all").select(none.alias("lang"), none.alias("source"), "n_rules")
+    return counted(fine, "lang", "source").unionByName(langs).unionByName(total)
+
+
+@query(f"SELECT a.lang, a.word_id AS first, b.word_id AS second, count(*) AS rows FROM ({FIRED}) a JOIN ({FIRED}) b ON a.doc_id = b.doc_id AND a.word_id < b.word_id GROUP BY ALL")
+def rules_fired_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each language two rules fire in together."""
+    return fired_together(_table(spark, sf_dir, "documents"), RuleEngine(RULES), "text", "lang")
+
+
+BENCH_RULES = "SELECT 1 AS process_type, item_id AS word_id, regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+') || '&' || regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS word FROM {t} WHERE regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+') AND regexp_matches(text, '[A-Za-z]+[^A-Za-z]*$')"
+
+
+@query(f"SELECT process_type, CAST(word_id AS BIGINT) AS word_id, word FROM ({BENCH_RULES.format(t='benchmark')})")
+def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule files made of the benchmark's passages (the first two words and the last), read as a table of rules by the data source."""
+    return _rule_files(spark, sf_dir)
+
+
+def _rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("a"), F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]*$", 1).alias("b")).where("a <> '' and b <> ''")
+    rule = F.to_json(F.create_map(F.lit("1"), F.create_map(F.col("item_id").cast("string"), F.concat("a", F.lit("&"), "b"))))
+    path = scratch_folder(spark, "rules")
+    items.select(rule.alias("value")).write.text(path)
+    return spark.read.format("glyphsieve").option("kind", "rules").load(path).select("process_type", "word_id", "word")
+
+
+@query(f"SELECT d.doc_id, r.word_id FROM documents d JOIN (SELECT *, string_split(word, '&') AS w FROM ({BENCH_RULES.format(t='benchmark')})) r ON contains(d.text, r.w[1]) AND contains(d.text, r.w[2])")
+def rule_files_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the rules of those files, by joins."""
+    engine = from_dataframe(_rule_files(spark, sf_dir))
+    return engine.match_rows(_table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "word_id")
+
+
+@query("SELECT count(*) AS n, CAST(sum(length(l)) AS BIGINT) AS chars, count(*) FILTER (contains(l, 'the')) AS matched FROM (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS l FROM benchmark)")
+def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a stream reads from growing files: the benchmark's passages, written in two parts."""
+    register(spark)
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit("\r"), F.lit("")).alias("value"))
+    cut = items.agg(F.avg("item_id")).first()[0]
+    path, out = scratch_folder(spark, "lines"), scratch_folder(spark, "stream")
+    for part in (items.where(F.col("item_id") <= cut), items.where(F.col("item_id") > cut)):
+        part.select("value").write.mode("append").text(path)
+        stream = spark.readStream.format("glyphsieve").option("kind", "lines").option("piece", 4096).load(path)
+        found = run_to_files(stream, "append", out)
+    matched = RuleEngine([(1, 1, "the")]).is_match(F.col("text"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if(matched).alias("matched"))
+
+
+@query(f"SELECT doc_id, word_id, word FROM ({FIRED})")
+def committed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of documents, written with a commit by a stream and read back."""
+    register(spark)
+    schema = _table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    path, state = scratch_folder(spark, "results"), scratch_folder(spark, "state")
+    found = RuleEngine(RULES).explode_matches(docs, "text").select("doc_id", "word_id", "word")
+    found.writeStream.format("glyphsieve").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format("glyphsieve").load(path)

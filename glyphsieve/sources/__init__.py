@@ -1,5 +1,6 @@
-"""Where rules, texts and tables come from."""
+"""Where rules, texts and tables come from, and where results go."""
 
-from glyphsieve.sources.rules import from_dataframe, from_dict, from_json, lines, rules_from_json_column, read_table
+from glyphsieve.sources.datasource import register
+from glyphsieve.sources.rules import from_dataframe, from_dict, from_json, lines, read_table, rules_from_json_column
 
-__all__ = ["from_dataframe", "from_dict", "from_json", "lines", "read_table", "rules_from_json_column"]
+__all__ = ["from_dataframe", "from_dict", "from_json", "lines", "read_table", "register", "rules_from_json_column"]
