@@ -402,7 +402,7 @@ def test_token_store(spark, docs, odd, none):
 def scan_one(text, templates=licenses.TEMPLATES):
     words = licenses.words_of(text)
     joined = b" " + b" ".join(words) + b" "
-    return {t: licenses.Template(t, m).find(words, joined) for t, m in templates}
+    return {t: found for t, m in templates if (found := licenses.Template(t, m).find(words, joined))}
 
 
 def test_template_automata_accept_what_their_regex_does():
@@ -456,8 +456,36 @@ def test_license_texts_altered():
             other = licenses.words_of(" ".join("zzz" if i == k else w for i, (w, _) in enumerate(words)))
             if sum(w == words[k][0] for w, _ in words) == 1:
                 assert not template.find(other, b" " + b" ".join(other) + b" "), (label, words[k])
-    bsd = licenses._BSD + " neither the name of the owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by them as is"
-    assert [t for t, found in scan_one(bsd).items() if found] == ["bsd-3-text"]
+    bsd = licenses._BSD + " neither the name of the owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+    end = licenses._BSD_END.replace("{{1..12}}", "the copyright holder or contributors")
+    assert [*scan_one(bsd + end)] == ["bsd-3-text"] and [*scan_one(licenses._BSD + " " + end)] == ["bsd-2-text"]
+    assert not scan_one(bsd + "this software is provided by them as is") and not scan_one(bsd + end.replace("strict liability", "liability"))
+
+
+def test_license_texts_need_all_their_wording():
+    grant = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. """
+    end = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    assert [*scan_one(grant + end)] == ["mit-text"]
+    assert not scan_one(grant + "The Software shall be used for Good, not Evil. " + end)
+    assert not scan_one(grant) and not scan_one(grant + end.replace("TORT", "TORTS")) and not scan_one(grant + end.replace("FITNESS FOR A PARTICULAR PURPOSE", "FITNESS"))
+
+
+def test_license_names_and_tags():
+    told = {
+        "Licensed under the Apache License 2.0": "apache-2.0", "GNU GPL v3": "gpl-3.0", "released under the GNU LGPL 2.1 or later": "lgpl-2.1", "// SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "distribute it under the GNU Library General Public License, version 2": None, "you can modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2": "lgpl-2.0",
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.": "lgpl-title",
+    }
+    for text, label in told.items():
+        assert [*scan_one(text)] == ([label] if label else []), text
+
+
+def test_license_anchors_pass_over_no_template():
+    built = [licenses.Template(*t) for t in licenses.TEMPLATES]
+    index = licenses.Anchors(built)
+    for t in built:
+        assert t in index.of([b"some", *t.anchor, b"words"])
+    assert index.of([b"some", b"words"]) == []
 
 
 def test_spdx_templates():
