@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ _NAME = r"[a-zA-Z][^\s/>]*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)({_NAME})((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)({_NAME})([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
 
 Marks = tuple[tuple[str, bool], ...]
 
@@ -84,34 +84,40 @@ def _parts(tag: str, name: str) -> list[str]:
     return [] if tag in ("html", "body") else _DIGITS.sub("0", name).replace("/", "_").split()
 
 
-def _node(parent: Node, tag: str, attributes: str, stable: Names) -> Node:
+@lru_cache(maxsize=20_000)
+def _attributes(attributes: str) -> tuple[str, str, bool, bool, bool, bool]:
+    """Of a tag's attributes: class and id, role, whether it is hidden; whether its name is chrome's, a header's, and nothing but such."""
     names, role, hidden = [], "", False
-    if attributes.strip(" /"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id"):
-                names.append(value)
-            elif key == "role":
-                role = value.lower().strip()
-            elif key == "itemprop" and value.lower() == "articlebody":
-                role = "article"
-            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                hidden = True
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id"):
+            names.append(value)
+        elif key == "role":
+            role = value.lower().strip()
+        elif key == "itemprop" and value.lower() == "articlebody":
+            role = "article"
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            hidden = True
     name = " ".join(names)
+    return name, role, hidden, bool(CHROME_NAMES.search(name)), bool(HEADER_NAMES.search(name)), _only_chrome(name)
+
+
+def _node(parent: Node, tag: str, attributes: str, stable: Names) -> Node:
+    name, role, hidden, chrome_name, header_name, only = _attributes(attributes) if attributes.strip(" /") else ("", "", False, False, False, False)
     sure = tag == "article" or role == "article"
     opens = sure or tag == "main" or role == "main"
     # an article inside an article, such as a reader's comment, is no article of the page
-    named = bool(name and tag not in ("html", "body") and (CHROME_NAMES.search(name) or (not parent.article and HEADER_NAMES.search(name))) and not (opens and not parent.article))
+    named = bool(name and tag not in ("html", "body") and (chrome_name or (not parent.article and header_name)) and not (opens and not parent.article))
     heading = tag == "header" and parent.article
     chrome = parent.chrome or (tag in CHROME and not heading) or role in CHROME_ROLES or hidden
-    parts = [x for x in _parts(tag, name) if stable is None or f"{tag}.{x}" in stable]
+    parts = [x for x in _parts(tag, name) if stable is None or f"{tag}.{x}" in stable] if name else ()
     step = tag + (f".{' '.join(parts)}" if parts else "")
     if not parts and tag in PLACED:
         k = parent.unnamed[tag] = parent.unnamed.get(tag, 0) + 1
         step += f"~{k}" * (k > 1)
     path = f"{parent.path}/{step}"
     enters = not chrome and (sure and not parent.sure or opens and not parent.article)
-    marks = (*parent.marks, (path, _only_chrome(name))) if named else parent.marks
+    marks = (*parent.marks, (path, only)) if named else parent.marks
     doubt = parent.doubt
     if enters:
         marks, doubt = (), (*doubt, *marks)
@@ -135,7 +141,7 @@ def parse(text: str, stable: Names = None) -> Page:
     def flush() -> None:
         nonlocal parts, linked, plain
         if parts:
-            words = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            words = " ".join(html.unescape("".join(parts)).split())
             if words:
                 page.blocks.append(Block(owner, words, not plain and linked > 0))
         parts, linked, plain = [], 0, 0
