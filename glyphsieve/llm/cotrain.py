@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -83,30 +84,58 @@ class Logistic:
     scale: np.ndarray
     weights: np.ndarray
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float, more: Taught | None = None, start: np.ndarray | None = None) -> Logistic:
-        """more adds the sums of rows that are elsewhere, which all together count as these rows do, and half each at most."""
-        sums, k, share = _moments(x), x.shape[1], 0.0
-        if more:
-            others = more.moments()
-            share = min(HALF, len(x) / max(1.0, others[0]))
-            sums = sums + share * others
-        mean = sums[1 : k + 1] / sums[0]
-        scale = np.maximum(np.sqrt(np.maximum(sums[k + 1 :] / sums[0] - mean * mean, 0)), 1e-3)
-        w, ridge = np.zeros(k + 1) if start is None else start, np.full(k + 1, penalty)
-        ridge[-1] = 1e-6
-        for _ in range(30):
-            sums = _newton(x, y, mean, scale, w) + (share * more.newton(mean, scale, w) if more else 0)
-            step = np.linalg.solve(sums[: -k - 1].reshape(k + 1, k + 1) + np.diag(ridge), sums[-k - 1 :] + ridge * w)
-            w = w - step
-            if np.abs(step).max() < 1e-4:
-                break
-        return cls(mean, scale, w)
-
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
 
 
+#: Newton steps of a round over the rows without a label: they start from the weights of the round before, which are near. With a pass that
+#: finds the surest rows and one for moments, a round is three passes.
+STEPS = 1
+
+
+@dataclass
+class Task:
+    """What a logistic regression is fitted on: rows at hand, and sums over rows elsewhere, which all together count as these do, and half
+    each at most."""
+
+    x: np.ndarray
+    y: np.ndarray
+    penalty: float
+    more: Taught | None = None
+    start: np.ndarray | None = None
+
+
+def fit_views(tasks: list[Task], steps: int = 30) -> list[Logistic]:
+    """A logistic regression for each task. Those with rows elsewhere share each pass over them: one for the moments, one a step."""
+    away = [t for t in tasks if t.more]
+    width = [t.x.shape[1] + 1 for t in away]
+    sums = iter(_together(away[0].more.pool, [t.more.moments_of for t in away], [2 * k - 1 for k in width]) if away else ())
+    fitted: list[tuple[Task, np.ndarray, np.ndarray, np.ndarray, float]] = []
+    for t in tasks:
+        own, k, share = _moments(t.x), t.x.shape[1], 0.0
+        if t.more:
+            others = next(sums)
+            share = min(HALF, len(t.x) / max(1.0, others[0]))
+            own = own + share * others
+        mean = own[1 : k + 1] / own[0]
+        scale = np.maximum(np.sqrt(np.maximum(own[k + 1 :] / own[0] - mean * mean, 0)), 1e-3)
+        fitted.append((t, mean, scale, np.zeros(k + 1) if t.start is None else t.start, share))
+    for _ in range(steps):
+        each = [partial(t.more.newton_of, mean=mean, scale=scale, w=w) for t, mean, scale, w, _ in fitted if t.more]
+        sums = iter(_together(away[0].more.pool, each, [k * k + k for k in width]) if away else ())
+        most = 0.0
+        for n, (t, mean, scale, w, share) in enumerate(fitted):
+            ridge = np.full(len(w), t.penalty)
+            ridge[-1] = 1e-6
+            own = _newton(t.x, t.y, mean, scale, w) + (share * next(sums) if t.more else 0)
+            step = np.linalg.solve(own[: -len(w)].reshape(len(w), len(w)) + np.diag(ridge), own[-len(w) :] + ridge * w)
+            fitted[n] = t, mean, scale, w - step, share
+            most = max(most, np.abs(step).max())
+        if most < 1e-4:
+            break
+    return [Logistic(mean, scale, w) for _, mean, scale, w, _ in fitted]
+
+
 @dataclass
 class CoTrained:
     """Both views' classifiers, each with the Platt scaling of its held-out logits, and the weights that combine them."""
@@ -245,13 +274,19 @@ class Taught:
     v: int
     rounds: list[Round]
 
-    def moments(self) -> np.ndarray:
-        v, rounds = self.v, self.rounds
-        return self.pool.total(lambda rows: _moments(rows.learnt(v, rounds)[0]))
+    def __getstate__(self) -> dict:  # tasks get what to sum, not the table
+        return {"pool": None, "v": self.v, "rounds": self.rounds}
 
-    def newton(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
-        v, rounds = self.v, self.rounds
-        return self.pool.total(lambda rows: _newton(*rows.learnt(v, rounds), mean, scale, w))
+    def moments_of(self, rows: Rows) -> np.ndarray:
+        return _moments(rows.learnt(self.v, self.rounds)[0])
+
+    def newton_of(self, rows: Rows, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return _newton(*rows.learnt(self.v, self.rounds), mean, scale, w)
+
+
+def _together(pool: Pool, sums: list[Callable[[Rows], np.ndarray]], sizes: list[int]) -> list[np.ndarray]:
+    """Several sums of known sizes over the rows of a pool, in one pass."""
+    return np.split(pool.total(lambda rows: np.concatenate([f(rows) for f in sums])), np.cumsum(sizes)[:-1])
 
 
 def _cut(counts: np.ndarray, most: int) -> tuple[int, float]:
@@ -268,6 +303,7 @@ def _loss(logit: np.ndarray, y: np.ndarray) -> float:
 
 
 PENALTY = (5.0, 10.0)
+LEAST_HELD = 10  # held-out rows without which no lesson can be judged, so that none is given
 
 
 def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, confident: float = 0.97, share: float = 0.1, trust: float = 0.5, pool: Pool | None = None, chance: np.ndarray | None = None) -> CoTrained:
@@ -276,9 +312,9 @@ def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4
     A fifth of the labelled rows of each kind is held out for calibration only. In each round both views are fitted and calibrated;
     each passes the rows without a label of which it is surest (chance over confident either way, at most share of
     them in a round and in the labels' own proportion) to the other as pseudo-labels, which together count as much as the labels at
-    most. A view teaches only while its loss on held-out rows is under trust times that of knowing the labels' proportion alone, and a
-    lesson that raises the other's over the least it had by more than a twentieth of that is undone. Rows that are equally sure at the cut are told apart by chance, a number
-    in [0, 1) of each row.
+    most. A view teaches only while its loss on held-out rows is under trust times that of knowing the labels' proportion alone. A lesson
+    that doesn't lower the other's loss there is undone, so each view ends as it was in its best round; a round without a lesson is the last, and with fewer than LEAST_HELD rows held out there is none.
+    Rows that are equally sure at the cut are told apart by chance, a number in [0, 1) of each row.
     """
     known = np.flatnonzero(~np.isnan(label))
     held = np.concatenate([known[label[known] == kind][::5] for kind in (0, 1)])
@@ -295,17 +331,17 @@ def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4
     done: list[Round] = []
     fitted: list[tuple[Logistic, np.ndarray] | None] = [None, None]
 
-    def fit(v: int) -> tuple[Logistic, np.ndarray]:
-        start = fitted[v][0].weights if fitted[v] else None
-        model = Logistic.fit(views[v][seed], label[seed], PENALTY[v], Taught(pool, v, done) if any(r[1 - v].teaches for r in done) else None, start)
-        return model, _calibrate(model.logit(views[v][held])[:, None], label[held])
+    def fit(*vs: int) -> list[tuple[Logistic, np.ndarray]]:
+        taught = lambda v: Taught(pool, v, done) if any(r[1 - v].teaches for r in done) else None
+        models = fit_views([Task(views[v][seed], label[seed], PENALTY[v], taught(v), fitted[v][0].weights if fitted[v] else None) for v in vs], STEPS if done else 30)
+        return [(m, _calibrate(m.logit(views[v][held])[:, None], label[held])) for v, m in zip(vs, models, strict=True)]
 
     def loss(v: int, f: tuple[Logistic, np.ndarray]) -> float:
         return _loss(np.clip(f[0].logit(views[v][held]) * f[1][0] + f[1][1], -30, 30), label[held])
 
-    fitted = [fit(0), fit(1)]
+    fitted = fit(0, 1)
     least = [loss(v, f) for v, f in enumerate(fitted)]
-    for _ in range(rounds if pool.size else 0):
+    for _ in range(rounds if pool.size and len(held) >= LEAST_HELD else 0):
         asked: Round = tuple(Lesson(m, a, float(np.log(confident / (1 - confident))), bool(a[0] > 0 and loss(v, (m, a)) < trust * blind)) for v, (m, a) in enumerate(fitted))
         if not any(x.teaches for x in asked):
             break
@@ -316,12 +352,14 @@ def train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4
         for v in (0, 1):
             asked[v].cuts = tuple(_cut(levels[v][side], max(1, round(most * part))) for side, part in ((0, 1 - prior), (1, prior)))
         done.append(asked)
-        for v in (0, 1):
-            if asked[1 - v].teaches:
-                model = fit(v)
-                asked[1 - v].teaches = loss(v, model) <= least[v] + 0.05 * blind
-                fitted[v] = model if asked[1 - v].teaches else fitted[v]
-                least[v] = min(least[v], loss(v, fitted[v]))
+        learners = [v for v in (0, 1) if asked[1 - v].teaches]
+        for v, model in zip(learners, fit(*learners), strict=True):
+            now = loss(v, model)
+            asked[1 - v].teaches = now < least[v]
+            if now < least[v]:
+                fitted[v], least[v] = model, now
+        if not any(x.teaches for x in asked):
+            break
     (text_model, a), (meta_model, b) = fitted
     logits = np.stack((text_model.logit(text[held]) * a[0] + a[1], meta_model.logit(meta[held]) * b[0] + b[1]), 1)
     return CoTrained(text_model, meta_model, (a, b), _calibrate(logits, label[held]))
@@ -354,7 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, **options:
     seed = keyed.select("key").distinct().join(agreed, "key").orderBy(F.xxhash64("key", F.lit(17)), "key").limit(max_labelled).collect()
     asked = spark.createDataFrame([(r.key, r.label) for r in seed], "key long, label double")
     rows = keyed.join(F.broadcast(asked), "key")  # bounded by max_labelled
-    found = {r.key: r for r in sorted(_views(rows.select("key", "label", "text", "lang", "source")).collect(), key=lambda r: (r.key, r.view, r.cell), reverse=True)}
+    one = F.min(F.struct("view", "cell", "label")).alias("x")  # of rows that share a labelled doc_id one is read
+    found = {r.key: r.x for r in _views(rows.select("key", "label", "text", "lang", "source")).groupBy("key").agg(one).collect()}
     order = [found[r.key] for r in seed]
     if len(order) < 20:
         return train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
