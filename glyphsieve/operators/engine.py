@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from glyphsieve.tables import Own
 
 #: Up to so many alternatives, rules are expressions; beyond, one automaton scan is cheaper than that many searches.
 FEW = 48
-#: An automaton whose rules take more than this, by size_bytes, is not broadcast: match_rows evaluates rule tables of any size.
-MOST_BYTES = 1 << 30
+#: An automaton that takes more than this, by size_bytes, is not broadcast: match_rows evaluates rule tables of any size.
+MOST_BYTES = 128 << 20
 
 
 class RuleEngine:
@@ -40,7 +40,7 @@ class RuleEngine:
         self.tier = tier or ("expressions" if sum(1 for _ in self.compiled.entries()) <= FEW else "automaton")
 
     def __repr__(self) -> str:
-        return f"RuleEngine({len(self.compiled.rules)} rules, {len(self.compiled.patterns)} patterns, {self.tier})"
+        return f"RuleEngine({len(self.compiled.rows)} rules, {len(self.compiled.patterns)} patterns, {self.tier})"
 
     def __getstate__(self) -> dict:
         return {"compiled": self.compiled, "tier": self.tier}
@@ -61,10 +61,9 @@ class RuleEngine:
             return expressions.is_match(self.compiled, text)
         shared = self._scanner
 
-        @F.pandas_udf("boolean")
-        def run(texts: pd.Series) -> pd.Series:
-            match = shared.value.is_match
-            return pd.Series([match(t) for t in texts], dtype=bool)
+        @F.arrow_udf("boolean")
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(shared.value.any_fired(texts.to_pylist()), pa.bool_())
 
         return run(text)
 
@@ -135,19 +134,27 @@ class RuleEngine:
         return F.to_json(self.process(text))
 
     def register(self, spark: SparkSession, name: str) -> None:
-        """SQL functions: name_is_match(text), and name_process(text) for the ids of the rules that fire."""
+        """SQL functions: name_is_match(text), and name_process(text) for the ids of the rules that fire. A few rules without transforms
+        become SQL functions that are planned with the query they stand in (a contains of a literal reaches the scan); else they are UDFs."""
+        told = expressions.sql(self.compiled, "t") if self.tier == "expressions" else None
+        if told:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_is_match(t STRING) RETURNS BOOLEAN RETURN coalesce({' OR '.join(told)}, false)")
+            ids = ", ".join(f"CASE WHEN {c} THEN {r.word_id}L END" for c, r in zip(told, self.compiled.rules, strict=True))
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_process(t STRING) RETURNS ARRAY<BIGINT> RETURN array_compact(array({ids}))")
+            return
         shared = self._scanner
 
-        @F.pandas_udf("boolean")
-        def matches(texts: pd.Series) -> pd.Series:
-            return pd.Series([shared.value.is_match(t) for t in texts], dtype=bool)
+        @F.arrow_udf("boolean")
+        def matches(texts: pa.Array) -> pa.Array:
+            return pa.array(shared.value.any_fired(texts.to_pylist()), pa.bool_())
 
-        @F.pandas_udf("array<bigint>")
-        def ids(texts: pd.Series) -> pd.Series:
-            return pd.Series([[m["word_id"] for m in shared.value.process(t)] for t in texts])
+        @F.arrow_udf("array<bigint>")
+        def ids_of(texts: pa.Array) -> pa.Array:
+            scanner = shared.value
+            return pa.array([[scanner.rules[r][0] for r in scanner.fired(t)] for t in texts.to_pylist()], pa.list_(pa.int64()))
 
         spark.udf.register(f"{name}_is_match", matches)
-        spark.udf.register(f"{name}_process", ids)
+        spark.udf.register(f"{name}_process", ids_of)
 
     def register_table_functions(self, spark: SparkSession, name: str) -> None:
         """SQL table functions name_hits(text) and name_hits_of(TABLE(t), column); see operators.table_function."""
@@ -163,19 +170,20 @@ class RuleEngine:
         return spark.createDataFrame(rows, "rule int, process_type int, word_id long, word string, needed int")
 
     def rules_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(int(r.process_type), r.word_id, r.word) for r in self.compiled.rules], "process_type int, word_id long, word string")
+        return spark.createDataFrame(self.compiled.rows, "process_type int, word_id long, word string")
 
     def stats(self) -> dict:
-        return {"rules": len(self.compiled.rules), "patterns": len(self.compiled.patterns), "process_types": sorted({r.process_type.snake_case() for r in self.compiled.rules}), "tier": self.tier}
+        return {"rules": len(self.compiled.rows), "patterns": len(self.compiled.patterns), "process_types": sorted({ProcessType(pt).snake_case() for pt in self.compiled.types()}), "tier": self.tier}
 
     def size_bytes(self) -> int:
-        """Estimate of what a broadcast of the compiled rules takes."""
-        return sum(len(p.encode()) + 48 for p in self.compiled.patterns) + sum(len(r.word.encode()) + 64 * len(r.segments) for r in self.compiled.rules)
+        """Estimate of what a broadcast of the compiled rules takes: an automaton's node for each character of a pattern, and each rule's words."""
+        entries = [(p, 72) for _, p, *_ in self.compiled.entries()]
+        return sum(16 * len(p) + n for p, n in entries) + sum(2 * len(word) + 72 for _, _, word in self.compiled.rows)
 
     def to_json(self) -> str:
         out: dict[str, dict[str, str]] = {}
-        for r in self.compiled.rules:
-            out.setdefault(str(int(r.process_type)), {})[str(r.word_id)] = r.word
+        for pt, word_id, word in self.compiled.rows:
+            out.setdefault(str(pt), {})[str(word_id)] = word
         return json.dumps(out, ensure_ascii=False)
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 from glyphsieve import tables
 from glyphsieve.flags import EmptyPatterns, ProcessType, RuleError
@@ -48,16 +48,35 @@ class Rule:
 
 @dataclass
 class Compiled:
-    rules: list[Rule]
+    """Rules in order of type and id. Those of one literal, as most of a large table are, are kept as their pattern alone."""
+
+    rows: list[tuple[int, int, str]]  # process_type, word_id, word
+    literals: list[str | None]  # the pattern of a rule that is one literal
+    parsed: dict[int, Rule]  # the others, by number
     own: Own = None  # tables that take the place of derived ones
-    patterns: list[str] = field(default_factory=list)
+
+    @cached_property
+    def rules(self) -> list[Rule]:
+        single = lambda p: (Segment(0, False, 1, (Alternative(p, False, False),) if p else ()),)
+        types = {pt: ProcessType(pt) for pt in {r[0] for r in self.rows}}
+        return [self.parsed[k] if p is None else Rule(types[pt], word_id, word, single(p)) for k, ((pt, word_id, word), p) in enumerate(zip(self.rows, self.literals, strict=True))]
+
+    @cached_property
+    def patterns(self) -> list[str]:
+        return sorted({e[1] for e in self.entries()})
+
+    def types(self) -> list[int]:
+        return sorted({r[0] for r in self.rows})
 
     def entries(self) -> Iterable[tuple[int, str, bool, bool, int, int]]:
         """process_type, pattern, left, right, rule number, segment number"""
-        for k, r in enumerate(self.rules):
-            for s in r.segments:
-                for a in s.alternatives:
-                    yield int(r.process_type), a.pattern, a.left, a.right, k, s.number
+        for k, p in enumerate(self.literals):
+            if p:
+                yield self.rows[k][0], p, False, False, k, 0
+            elif p is None:
+                for s in self.parsed[k].segments:
+                    for a in s.alternatives:
+                        yield self.rows[k][0], a.pattern, a.left, a.right, k, s.number
 
 
 @cache
@@ -87,9 +106,6 @@ def _alternatives(pt: ProcessType, segment: str, own: Own) -> tuple[Alternative,
 def parse(pt: ProcessType, word_id: int, word: str, own: Own = None) -> Rule | None:
     """A rule, or None if it asks for no segment. & and ~ begin a needed and a vetoing segment; | parts alternatives. A segment
     written k times has quota k; segments are told apart by their text."""
-    if word and not _OPERATORS.search(word):  # one literal, as most rules of a large table are
-        pattern = emitted(pt, word, own)
-        return Rule(pt, word_id, word, (Segment(0, False, 1, (Alternative(pattern, False, False),) if pattern else ()),))
     needed: dict[str, int] = {}
     vetoing: dict[str, int] = {}
     kind = needed
@@ -109,19 +125,26 @@ def compile_rules(rows: Iterable[tuple[int, int, str]], own: Own = None) -> Comp
 
     Raises InvalidProcessType for a type outside 1..127, RuleError for other bad rows, and EmptyPatterns if nothing is left to look for.
     """
-    last: dict[tuple[ProcessType, int], str] = {}
-    types: dict[int, ProcessType] = {}
+    last: dict[tuple[int, int], str] = {}
+    types: dict[int, int] = {}
     for pt, word_id, word in rows:
-        if not isinstance(word, str) or isinstance(word_id, bool) or not isinstance(word_id, int):
+        if word.__class__ is not str or word_id.__class__ is not int:
             raise RuleError(f"not a rule: {(pt, word_id, word)!r}")
         kind = types.get(pt) if pt.__class__ is int else None
         if kind is None:
-            kind = ProcessType.checked(pt).normalized()
-            types[int(pt)] = kind
+            kind = types[int(pt)] = int(ProcessType.checked(pt).normalized())
         last[kind, word_id] = word
-    rules = [r for (pt, word_id), word in sorted(last.items()) if (r := parse(pt, word_id, word, own))]
-    out = Compiled(rules, own)
-    out.patterns = sorted({e[1] for e in out.entries()})
-    if not out.patterns:
+    made = Compiled([], [], {}, own)
+    plain = {pt: None if _pattern_steps(ProcessType(pt)) else True for pt in set(types.values())}  # types under which a pattern is looked for as written
+    for (pt, word_id), word in sorted(last.items()):
+        if word and not _OPERATORS.search(word):
+            made.literals.append(word if plain[pt] else emitted(ProcessType(pt), word, own))
+        elif rule := parse(ProcessType(pt), word_id, word, own):
+            made.parsed[len(made.rows)] = rule
+            made.literals.append(None)
+        else:
+            continue
+        made.rows.append((pt, word_id, word))
+    if next(iter(made.entries()), None) is None:
         raise EmptyPatterns("no rule has a pattern")
-    return out
+    return made

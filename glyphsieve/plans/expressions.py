@@ -78,3 +78,24 @@ def process(compiled: Compiled, text: Column) -> Column:
 def first(compiled: Compiled, text: Column) -> Column:
     """The first rule that fires, or null; rules behind it are not evaluated."""
     return F.coalesce(*_each(compiled, text))
+
+
+def sql(compiled: Compiled, text: str) -> list[str] | None:
+    """What fires() says of each rule, as SQL over a column name; None if a rule has transforms. Strings are written as bytes, so that no
+    quote or escape of theirs is read as SQL."""
+    if compiled.types() != [1]:
+        return None
+    constant = lambda s: f"CAST(X'{s.encode('utf-8', 'surrogatepass').hex()}' AS STRING)"
+
+    def one(a: Alternative) -> str:
+        own = regex(a)
+        return f"rlike({text}, {constant(own)})" if own != quoted(a.pattern) else f"contains({text}, {constant(a.pattern)})"
+
+    def segment(s: Segment) -> str:
+        if not s.alternatives:
+            return "false"
+        if s.quota == 1:
+            return "(" + " OR ".join(map(one, s.alternatives)) + ")"
+        return "(" + " + ".join(f"regexp_count({text}, {constant(regex(a, True))})" for a in s.alternatives) + f" >= {s.quota})"
+
+    return ["(" + " AND ".join([*map(segment, r.needed), *[f"NOT {segment(s)}" for s in r.segments if s.negative]]) + ")" for r in compiled.rules]

@@ -14,7 +14,7 @@ from glyphsieve.functions import reduce_text_process, reduce_text_process_emit,
 from glyphsieve.operators import RuleEngine, RuleEngineBuilder, RuleVersions
 from glyphsieve.operators.bitmaps import counted, fired_bitmaps, fired_together, merged
 from glyphsieve.operators.time_joins import asof, within
-from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_table, register, rules_from_json_column
+from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_names, read_table, register, rules_from_json_column
 from glyphsieve.streaming import hit_counts, last_changes, rule_changes, rules_over_keys, run_in_parts, run_to_files, scratch_folder, session_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,10 +238,13 @@ def rules_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_RULES = '{"1": {"1": "the&and", "3": "der|que"}, "5": {"9": "ofthe"}}'
 
 
-@query("SELECT * FROM (VALUES (1, CAST(1 AS BIGINT), 'the&and'), (1, 3, 'der|que'), (5, 9, 'ofthe')) t(process_type, word_id, word)")
+@query("SELECT CASE WHEN p_size < 25 THEN 1 ELSE 4 END AS process_type, CAST(p_partkey AS BIGINT) AS word_id, replace(p_name, ' ', '&') || '~' || p_type AS word FROM part")
 def rules_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON rule table as rows."""
-    return rules_from_json_column(spark.createDataFrame([(JSON_RULES,)], "j string"), F.col("j"))
+    """Rule tables in a JSON column, one for each part, as rows."""
+    rule = F.concat(F.replace("p_name", F.lit(" "), F.lit("&")), F.lit("~"), F.col("p_type"))
+    kind = F.when(F.col("p_size") < 25, "1").otherwise("4")
+    tables = _table(spark, sf_dir, "part").select(F.to_json(F.create_map(kind, F.create_map(F.col("p_partkey").cast("string"), rule))).alias("j"))
+    return rules_from_json_column(tables, F.col("j"))
 
 
 @query(f"SELECT doc_id, {has('the')} AND {has('and')} OR {has('der')} OR {has('que')} OR {has('ofthe')} OR {has('ofthe', DELETED)} AS matched FROM documents")
@@ -300,25 +303,42 @@ def reduce_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(reduce_text_process(12, text)).cast("long").alias("steps"), F.size(reduce_text_process_emit(12, text)).cast("long").alias("emitted"))
 
 
-#: Transforms of single texts.
+#: Transforms of what stands in the texts for their letter e.
 CASES = [
-    (2, "測試", "测试"), (2, "ｱｲｳ", "アイウ"), (4, "a*b", "ab"), (8, "ＡＢⅣ①℉", "ab41°f"), (8, "CAFÉ", "cafe"), (12, "Ｈｅ ＬＬ－ｏ", "hello"),
-    (16, "西安", " xi an"), (16, "한글", " han geul"), (16, "あいう", " a i u"), (16, "中あ한", " zhong a han"), (32, "西安", "xian"), (32, "한글", "hangeul"),
-    (64, "👍🏽", " thumbs_up"), (64, "Hello 🔥 World", "Hello  fire World"), (64, "❤️", " red_heart"), (14, "！Ａ！測試！１！", "a测试1"),
+    (2, "測試", "测试"), (2, "ｱｲｳ", "アイウ"), (2, "龍馬", "龙马"), (16, "西安", " xi an"), (16, "한글", " han geul"), (16, "あいう", " a i u"), (16, "中あ한", " zhong a han"),
+    (32, "西安", "xian"), (32, "한글", "hangeul"), (32, "カタ", "kata"), (64, "👍🏽", " thumbs_up"), (64, "🔥", " fire"), (64, "❤️", " red_heart"), (64, "🇩🇪", " d e"),
 ]
+NAMES = "# names that stand in place of derived ones\n❤\tred_heart\n\ufe0f\t\n👍\tthumbs_up\n🏽\t\n🔥\tfire\n🇩\td\n🇪\te\n"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({pt}, '{a}', '{b}')" for pt, a, b in CASES) + ") t(process_type, input, output)")
+@query(" UNION ALL ".join(f"SELECT doc_id, {pt} AS process_type, '{a}' AS put, md5(replace(text, 'e', '{b}')) AS h FROM documents" for pt, a, b in CASES))
 def transform_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Han variants, readings, kana, Hangul, emoji and compatibility forms."""
-    out = None
-    for pt in sorted({c[0] for c in CASES}):
-        some = spark.createDataFrame([(pt, c[1]) for c in CASES if c[0] == pt], "process_type int, input string")
-        some = some.withColumn("output", text_process(pt, F.col("input")))
+    """Han variants, readings, kana, Hangul and pictographs (by names from a file), put into all texts."""
+    with tempfile.NamedTemporaryFile("w", suffix=".tsv", encoding="utf-8") as f:  # read here, on the driver
+        f.write(NAMES)
+        f.flush()
+        own = {64: read_names(f.name)}
+    docs, out = _table(spark, sf_dir, "documents"), None
+    for pt, put, _ in CASES:
+        done = text_process(pt, F.replace("text", F.lit("e"), F.lit(put)), own if pt == 64 else None)
+        some = docs.select("doc_id", F.lit(pt).alias("process_type"), F.lit(put).alias("put"), F.md5(done).alias("h"))
         out = some if out is None else out.unionByName(some)
     return out
 
 
+HAN = ("etaoinsh", "測試龍馬門車書東", "测试龙马门车书东")
+
+
+@query(f"SELECT doc_id, contains(text, 'the') AS plain, contains(text, 'then') OR contains(text, 'tion') AS spelt FROM documents")
+def variant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules under Han variants and under readings, over all texts with some letters put into Han."""
+    plain, old, new = HAN
+    text = F.translate("text", plain, old)
+    simplified = RuleEngine([(2, 1, "the".translate(str.maketrans(plain, new)))])
+    spelt = RuleEngine([(16, 1, "then".translate(str.maketrans(plain, new))), (16, 2, "tion".translate(str.maketrans(plain, old)))])
+    return _table(spark, sf_dir, "documents").select("doc_id", simplified.is_match(text).alias("plain"), spelt.is_match(text).alias("spelt"))
+
+
 @query("SELECT event_id, contains(event_type, 'click') OR contains(props, '69') AS flagged FROM events")
 def events_type_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose type or properties fire a rule each."""
@@ -357,39 +377,55 @@ def no_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text_process(0, F.col("text"))).alias("h"))
 
 
-@query("SELECT * FROM (VALUES (1, CAST(1 AS BIGINT), 'b'), (4, 1, 'a&b'), (4, 3, 'c')) t(process_type, word_id, word)")
+#: Rules made of parts: their names' words, under a process type by size; of the parts of one type and brand the last by rule stays.
+PART_RULES = "SELECT CASE WHEN p_size < 25 THEN 1 ELSE 5 END AS process_type, CAST(length(p_brand) * 1000 + length(p_type) AS BIGINT) AS word_id, replace(p_name, ' ', '|') || '&' || p_type || '~' AS word FROM {part}"
+
+
+def _part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PART_RULES, part=_table(spark, sf_dir, "part"))
+
+
+@query(f"SELECT CASE WHEN process_type = 5 THEN 4 ELSE 1 END AS process_type, word_id, max(word) AS word FROM ({PART_RULES.format(part='part')}) GROUP BY ALL")
 def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An engine's rules: the last of a type and id, none without a needed segment."""
-    return RuleEngine([(1, 1, "a"), (1, 1, "b"), (5, 1, "a&b"), (4, 2, "~x"), (4, 3, "c")]).rules_df(spark)
+    """An engine's rules, made of a table: the last of a type and id; None beside another type is nothing."""
+    return from_dataframe(_part_rules(spark, sf_dir)).rules_df(spark)
 
 
-@query("SELECT * FROM (VALUES ('a', 4, false, false), ('b', 4, false, false), ('c', 8, true, false), ('c', 8, false, true), ('b', 8, false, false)) t(pattern, process_type, left_bound, right_bound)")
+@query(f"""WITH r AS (SELECT CASE WHEN process_type = 5 THEN 4 ELSE 1 END AS process_type, word_id, max(word) AS word FROM ({PART_RULES.format(part='part')}) GROUP BY ALL),
+s AS (SELECT process_type, word_id, unnest(string_split(replace(word, '~', ''), '&')) AS segment FROM r)
+SELECT DISTINCT process_type, word_id, unnest(string_split(segment, '|')) AS pattern, segment FROM s""")
 def rule_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The alternatives that are looked for, under their transforms; equal ones of a segment count once."""
-    compiled = RuleEngine([(4, 1, "a|b|a"), (8, 2, "\\bC|C\\b&B")]).compiled
-    return spark.createDataFrame([(p, pt, left, right) for pt, p, left, right, _, _ in compiled.entries()], "pattern string, process_type int, left_bound boolean, right_bound boolean")
+    """The alternatives that are looked for, by rule and segment; equal ones of a segment count once."""
+    engine = from_dataframe(_part_rules(spark, sf_dir))
+    rules = engine.compiled.rules
+    rows = [(pt, rules[rule].word_id, p, "|".join(a.pattern for a in rules[rule].segments[segment].alternatives)) for pt, p, _, _, rule, segment in engine.compiled.entries()]
+    return spark.createDataFrame(rows, "process_type int, word_id long, pattern string, segment string")
 
 
-@query("SELECT CAST(2 AS BIGINT) AS rules, CAST(3 AS BIGINT) AS patterns, 'delete,none' AS process_types, 'expressions' AS tier")
+@query(f"""WITH r AS (SELECT process_type, word_id, max(word) AS word FROM ({PART_RULES.format(part='part')}) GROUP BY ALL),
+p AS (SELECT unnest(regexp_split_to_array(replace(word, '~', ''), '[&|]')) AS pattern FROM r)
+SELECT (SELECT count(*) FROM r) AS rules, (SELECT count(DISTINCT pattern) FROM p) AS patterns, (SELECT string_agg(DISTINCT CASE WHEN process_type = 5 THEN 'delete' ELSE 'none' END, ',' ORDER BY CASE WHEN process_type = 5 THEN 'delete' ELSE 'none' END) FROM r) AS process_types""")
 def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = RuleEngine([(1, 1, "a&b"), (4, 2, "c")]).stats()
-    return spark.createDataFrame([(s["rules"], s["patterns"], ",".join(s["process_types"]), s["tier"])], "rules long, patterns long, process_types string, tier string")
+    """How many rules, patterns and which process types an engine has that is made of a table."""
+    s = from_dataframe(_part_rules(spark, sf_dir)).stats()
+    return spark.createDataFrame([(s["rules"], s["patterns"], ",".join(s["process_types"]))], "rules long, patterns long, process_types string")
 
 
-#: Rule tables that can't be compiled.
-BAD_RULES = {"type 0": [(0, 1, "a")], "type 128": [(128, 1, "a")], "no rules": [], "empty rule": [(1, 1, "")], "veto alone": [(1, 1, "~a")], "operators alone": [(1, 1, "&|~")], "no text": [(1, 1, None)]}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', true)" for k in BAD_RULES) + ", ('a good one', false)) t(name, refused)")
+@query("SELECT n_nationkey, n_nationkey % 4 = 1 OR n_nationkey * 8 NOT BETWEEN 1 AND 127 AS refused FROM nation")
 def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def refused(rows: list) -> bool:
+    """Rules made of nations that can't be compiled: process types 0 and from 128 on, vetoes alone, operators alone, nothing."""
+
+    def refused(pt: int, word: str) -> bool:
         try:
-            RuleEngine(rows)
+            RuleEngine([(pt, 1, word)])
         except ValueError:
             return True
         return False
 
-    return spark.createDataFrame([(k, refused(rows)) for k, rows in (BAD_RULES | {"a good one": [(1, 1, "a")]}).items()], "name string, refused boolean")
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").limit(1000).collect()  # a fixed list of nations
+    bad = {1: "~{}", 5: "&|~", 9: "", 13: "|"}
+    rows = [(r.n_nationkey, refused(r.n_nationkey * 8, bad.get(r.n_nationkey, "~{}").format(r.n_name) if r.n_nationkey % 4 == 1 else r.n_name)) for r in nations]
+    return spark.createDataFrame(rows, "n_nationkey int, refused boolean")
 
 
 @query(f"SELECT count(*) AS n, count(*) FILTER ({has('the')} AND {has('and')}) AS matched FROM (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS text FROM documents)")

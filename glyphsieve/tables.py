@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable, Mapping
-from contextlib import suppress
 from fractions import Fraction
 from functools import cache
-from importlib import import_module
 from pathlib import Path
 
 Table = dict[int, str | None]
@@ -25,8 +23,6 @@ KOREAN_MEDIAL = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae
 KOREAN_FINAL = ("", "g", "kk", "gs", "n", "nj", "nh", "d", "l", "lg", "lm", "lb", "ls", "lt", "lp", "lh", "m", "b", "bs", "s", "ss", "ng", "j", "ch", "k", "t", "p", "h")
 #: Kana whose Hepburn reading is not the last word of their Unicode name.
 HEPBURN = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji"}
-#: Fixed value: a symbol that has a name though it is no pictograph.
-RECORDING = {"\u2117": "sound_recording_copyright"}
 
 
 def _characters() -> Iterable[str]:
@@ -134,30 +130,38 @@ def romanize() -> Table:
     return {c: f" {s}" for c, s in readings().items()}
 
 
-def _short_names() -> dict[str, str]:
-    """Short names of single pictographs, as the public list in the rich library has them (pip brings a copy); of several the first."""
-    for module in ("rich._emoji_codes", "pip._vendor.rich._emoji_codes"):
-        with suppress(ImportError):
-            out: dict[str, str] = {}
-            for name, text in import_module(module).EMOJI.items():
-                out.setdefault(text.replace("\ufe0f", ""), name.replace(" ", "_"))
-            return out
-    return {}
+def read_names(path: str | Path) -> Table:
+    """A table of names for transform bit 64, from a file of lines "character<TAB>name": a space and the name stand for the character, which is
+    dropped where the line has no name. # starts a comment, of equal characters the last stays. A file that is not there is an error, as is a key
+    that is no single character."""
+    out: Table = {}
+    for line in Path(path).read_text(encoding="utf-8").split("\n"):
+        if line and line[0] != "#":
+            key, _, name = line.partition("\t")
+            if len(key) != 1:
+                raise ValueError(f"{path}: {key!r} is no single character")
+            out[ord(key)] = f" {'_'.join(name.split())}" if name.strip() else None
+    return out
+
+
+@cache
+def _pictographs() -> list[str]:
+    """Other symbols with ICU's emoji property, the sound recording sign among them though it has none."""
+    from pyspark.sql import SparkSession
+
+    jvm = SparkSession.builder.getOrCreate()._jvm
+    found = jvm.java.util.ArrayList()
+    jvm.com.ibm.icu.text.UnicodeSet("[[:Emoji:]&[:So:]&[\\u0200-\\U0010FFFF]]").addAllTo(found)
+    return [*jvm.java.lang.String.join("", found), "\u2117"]
 
 
 @cache
-def emoji(names: str | None = None) -> Table:
-    """A space and the short name of each pictograph; joiners, variation selectors and skin tones are dropped; regional indicators
-    are a space and their letter. Names come from a file of lines "character<TAB>name" if given; else they are short names of symbols
-    (category So) beyond U+0200, or where that list is not at hand Unicode names without "sign" or "symbol" at their end."""
-    if names:
-        own = {k: v for k, _, v in (line.partition("\t") for line in Path(names).read_text(encoding="utf-8").splitlines() if line and line[0] != "#")}
-    else:
-        own = _short_names() or {c: unicodedata.name(c, "").lower().removesuffix(" sign").removesuffix(" symbol") for c in _characters() if ord(c) >= 0x2190}
-        own = {c: n for c, n in own.items() if len(c) == 1 and unicodedata.category(c) == "So" and ord(c) >= 0x200 and n} | RECORDING
-    out: Table = {ord(c): " " + "_".join(n.split()) if n else None for c, n in own.items()}
-    if names:
-        return out
+def emoji() -> Table:
+    """A space and the Unicode name of each pictograph, without "sign" or "symbol" at its end, in lower case and with _ for spaces; joiners, variation
+    selectors and skin tones are dropped; regional indicators are a space and their letter. Common short names differ for many (the red
+    heart is a heavy black heart here): read_names takes them from a file."""
+    names = {c: unicodedata.name(c, "").lower().removesuffix(" sign").removesuffix(" symbol") for c in _pictographs()}
+    out: Table = {ord(c): f" {'_'.join(n.split())}" for c, n in names.items() if n}
     out |= {c: None for c in (0x200D, 0xFE0E, 0xFE0F, *range(0x1F3FB, 0x1F400))}
     return out | {0x1F1E6 + k: f" {chr(97 + k)}" for k in range(26)}
 

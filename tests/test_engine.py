@@ -15,7 +15,7 @@ from glyphsieve import tables
 from glyphsieve.flags import ProcessType
 from glyphsieve.functions import process_text, reduce_text, reduce_text_emit, reduce_text_process, reduce_text_process_emit, text_process
 from glyphsieve.operators import RuleEngine, RuleEngineBuilder
-from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_table, rules_from_json_column
+from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_names, read_table, rules_from_json_column
 from glyphsieve.streaming import hit_counts, match_stream
 
 RULES = [(1, 1, "hello"), (1, 2, "hello&world"), (4, 3, "wor.ld")]
@@ -68,7 +68,7 @@ def test_sources(spark, tmp_path):
     assert read_table(tmp_path / "t.tsv") == {0xFF41: "z", 0x200D: None}
 
 
-def test_tables():
+def test_tables(spark):
     assert len(tables.delete()) == 11321 and len(tables.numbers()) == 1912
     assert tables.translate(8, "ＡＢⅣ①℉") == "ab41°f" and tables.translate(8, "́") == "́"
     assert all(c in tables.delete() for c in tables.emoji() if c > 0x2000)
@@ -116,11 +116,31 @@ def test_no_transform_leaves_the_text(spark):
     assert got.t == "A b" and got.r == ["A b"]
 
 
-def test_pictographs():
+def test_pictographs(spark, tmp_path):
     names = tables.emoji()
-    assert names[ord("™")] == " trade_mark" and names[ord("℗")] == " sound_recording_copyright" and names[ord("↕")] == " up-down_arrow"
-    assert names[ord("🤛")] == " left-facing_fist" and names[ord("👦")] == " boy" and names[0xFE0F] is None
+    assert names[ord("™")] == " trade_mark" and names[ord("℗")] == " sound_recording_copyright" and names[ord("🔥")] == " fire"
+    assert names[ord("👦")] == " boy" and names[0xFE0F] is None and names[0x1F1E6] == " a"
     assert not {ord(c) for c in "©→■♭⠿"} & names.keys()  # symbols that are no pictographs stay
+    (tmp_path / "names.tsv").write_text("# own\n❤\tred heart\n\ufe0f\t\n👍\tthumbs_up\n", encoding="utf-8")
+    own = {64: read_names(tmp_path / "names.tsv")}
+    assert frame(spark, "❤️ 👍", "🔥").select(text_process(64, F.col("text"), own).alias("t")).orderBy("id").collect()[0].t == " red_heart  thumbs_up"
+    assert RuleEngine([(64, 1, "red_heart")], own=own).semi(frame(spark, "a ❤️", "❤"), "text").count() == 2
+    with pytest.raises(FileNotFoundError):
+        read_names(tmp_path / "none.tsv")
+    (tmp_path / "bad.tsv").write_text("ab\tx\n")
+    with pytest.raises(ValueError, match="no single character"):
+        read_names(tmp_path / "bad.tsv")
+
+
+@pytest.mark.skipif("GLYPHSIEVE_NAMES" not in os.environ, reason="names a file of lines character<TAB>name")
+def test_every_line_of_a_file_of_names(spark):
+    path = Path(os.environ["GLYPHSIEVE_NAMES"])
+    rows = [x.partition("\t")[::2] for x in path.read_text(encoding="utf-8").split("\n") if x and x[0] != "#"]
+    own = {64: read_names(path)}
+    got = frame(spark, *[c for c, _ in rows]).select("id", text_process(64, F.col("text"), own).alias("t")).orderBy("id").collect()
+    assert [r.t for r in got] == [f" {n}" if n else "" for _, n in rows] and len({c for c, _ in rows}) == len(own[64]) == len(rows)
+    derived = tables.emoji()
+    print(f"{sum(derived.get(k) == v for k, v in own[64].items())} of {len(rows)} as derived")
 
 
 @pytest.mark.parametrize("tier", ["expressions", "automaton"])
