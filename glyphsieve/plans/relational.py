@@ -103,7 +103,8 @@ def forms_of(docs: DataFrame, compiled: Compiled, text: str, key: str, window: i
     lead = lambda at: F.when(at > 0, 1).otherwise(0)
     cut = lambda at: F.struct(F.substr("form", at + 1 - lead(at), lead(at) + F.lit(window + longest)).alias("form"), lead(at).alias("lead"), F.least(F.lit(window), F.length("form") - at).alias("body"))
     pieces = each(texts.where(F.octet_length(text) > window)).select("__key", "process_type", "variant", F.posexplode(F.transform(starts, cut)).alias("piece", "p"))
-    spread = pieces.repartition("__key", "process_type", "variant", "piece")
+    # so many by number: a few windows make little data, but much work
+    spread = pieces.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "process_type", "variant", "piece")
     return whole.unionByName(spread.select("__key", "process_type", "variant", "p.form", "p.lead", "p.body"))
 
 

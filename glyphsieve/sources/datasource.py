@@ -47,8 +47,8 @@ class Glyphsieve(DataSource):
     A path is a file or a folder, whose files are read but for those whose names begin with "_" or ".". As a stream, rules and tables are read once
     a file (by time of change and name), lines as far as files have grown; a last line without an end of line waits for it.
 
-    Written are Parquet files that count once their write is committed: a task that fails leaves none, a stream's batch that is run
-    again none twice. mode("overwrite") replaces what was there in the same commit.
+    Written are Parquet files that count once their write is committed: a task that fails leaves none, one that is killed none that
+    counts (see sweep), a stream's batch that is run again none twice. mode("overwrite") replaces what was there in the same commit.
     """
 
     @classmethod
@@ -206,6 +206,16 @@ def committed(path: Path) -> list[str]:
     return found
 
 
+def sweep(path: str | Path) -> int:
+    """Delete files that no commit names, as tasks leave that were killed, and say how many. No write may be under way."""
+    root = Path(path)
+    named = {f for c in commits(root) for f in json.loads(c.read_text())["files"]}
+    lost = [p for p in (root / STAGED).glob("*.parquet") if f"{STAGED}/{p.name}" not in named]
+    for p in lost:
+        p.unlink()
+    return len(lost)
+
+
 class ResultReader(DataSourceReader):
     def __init__(self, path: Path, schema: StructType):
         self.path, self.columns = path, [f.name for f in schema.fields]
