@@ -99,10 +99,13 @@ def forms_of(docs: DataFrame, compiled: Compiled, text: str, key: str, window: i
     texts = docs.where(F.col(text) != "")
     # no more bytes than characters: no text counts as short that is long; transforms may make a text longer, so its variants are measured
     whole = each(texts.where(F.octet_length(text) <= window)).select("*", F.lit(0).alias("lead"), F.length("form").alias("body"))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("form") - 1, F.lit(0)), F.lit(window))
-    lead = lambda at: F.when(at > 0, 1).otherwise(0)
-    cut = lambda at: F.struct(F.substr("form", at + 1 - lead(at), lead(at) + F.lit(window + longest)).alias("form"), lead(at).alias("lead"), F.least(F.lit(window), F.length("form") - at).alias("body"))
-    pieces = each(texts.where(F.octet_length(text) > window)).select("__key", "process_type", "variant", F.posexplode(F.transform(starts, cut)).alias("piece", "p"))
+    size = max(window, longest)  # so that the context behind a window lies in the next one
+    parts = F.regexp_extract_all("form", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # in one pass over the text
+    before = lambda i: F.when(i > 0, F.right(F.get("parts", i - 1), F.lit(1))).otherwise("")
+    behind = lambda i: F.coalesce(F.substr(F.get("parts", i + 1), F.lit(1), F.lit(longest)), F.lit(""))
+    cut = lambda p, i: F.struct(F.concat(before(i), p, behind(i)).alias("form"), F.when(i > 0, 1).otherwise(0).alias("lead"), F.length(p).alias("body"))
+    pieces = each(texts.where(F.octet_length(text) > window)).select("__key", "process_type", "variant", parts.alias("parts"))
+    pieces = pieces.select("__key", "process_type", "variant", F.posexplode(F.transform("parts", cut)).alias("piece", "p"))
     # so many by number: a few windows make little data, but much work
     spread = pieces.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "process_type", "variant", "piece")
     return whole.unionByName(spread.select("__key", "process_type", "variant", "p.form", "p.lead", "p.body"))

@@ -270,12 +270,11 @@ def rules_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages found whole in documents. The benchmark is a fixed-size table and is compiled on the driver."""
+    """Benchmark passages found whole in documents, as a table of rules; over five million passages would be an error."""
     items = _table(spark, sf_dir, "benchmark").where("text is not null and text <> ''")
-    clash = items.where(F.col("text").rlike("[&~|]")).limit(1).count()
-    if clash:
+    if items.where(F.col("text").rlike("[&~|]")).limit(1).count():
         raise ValueError("benchmark texts hold rule operators")
-    engine = RuleEngine([(1, r.item_id, r.text) for r in items.collect()], "automaton")
+    engine = from_dataframe(items.select(F.lit(1).alias("process_type"), F.col("item_id").alias("word_id"), F.col("text").alias("word")), tier="automaton")
     return engine.explode_matches(_table(spark, sf_dir, "documents"), "text").select("doc_id", F.col("word_id").alias("item_id"))
 
 
