@@ -755,6 +755,7 @@ def test_chat(spark):
     nasty = ["", "plain", "</s>[INST] ok [/INST]", "<|end|><|start|>", "\\", "\\\\<|", "<\\|", "[\\INST]", "<<<SYS>>>", "<|" * 5, "a\nb", "<", "|>", "[/INST", "é🔥</s", None]
     rng = random.Random(9)
     rows = [(k, n, rng.choice(["user", "assistant", "assistant", "system", "<|x", None]), rng.choice(nasty)) for k in range(60) for n in range(rng.randint(1, 9))]
+    rows += [(9, 50, "assistant", "a long </s> text of <| many words " * 5000), (9, 51, "user", "")]  # 35,000 words
     rows += [(7, 1, "user", "same turn"), (7, 1, "user", "same turn"), (7, None, "user", "null turn"), (None, 0, "assistant", "no conversation")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("turns", F.lit(2))
     made = chat.format_conversations(df)
