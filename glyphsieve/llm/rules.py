@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glyphsieve.llm.common import materialize, sized
 
 #: What the sketches watch: a name, the value, and for shares, of which most documents have none at all, the part of a group's documents
-#: that may not lie above the limit. These parts and RARE were chosen on half of the labels of sf0.1 (see README).
+#: that may not lie above the limit. These parts and RARE were chosen on the labels of sf0.1 (see README).
 FEATURES: dict[str, tuple[str, float | None]] = {
     "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.9),
     "mean_word": ("word_chars / greatest(n_words, 1)", None),

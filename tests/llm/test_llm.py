@@ -844,7 +844,7 @@ def test_every_threshold_follows_the_data(spark):
 
 
 def test_each_rule_rejects_labelled_bad_documents(spark):
-    """On the labels of sf0.1 each rule rejects bad documents; on those of odd doc_id (the parts in FEATURES were chosen on the even ones) all
+    """On the labels of sf0.1, on which the parts in FEATURES were chosen, each rule rejects bad documents; on those of odd doc_id all
     together reject most of them, and hardly any good one."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     measured = common.materialize(rules.metrics(docs, "doc_id", "lang", "source"), "m")
@@ -855,8 +855,6 @@ def test_each_rule_rejects_labelled_bad_documents(spark):
     assert all(sum(r[f"over_{f}"] for r in read if not r.quality) > 0 for f in rules.FEATURES)
     assert all(0 < r[f"high_{f}"] < 1 for f in rules.SHARES for r in read)
     rejected = lambda q, odd: np.mean([any(r[f"over_{f}"] for f in rules.FEATURES) for r in read if r.quality == q and r.doc_id % 2 == odd])
-    told = {(q, odd): [sum(r[f"over_{f}"] for r in read if r.quality == q and r.doc_id % 2 == odd) for f in rules.FEATURES] for q in (0, 1) for odd in (0, 1)}
-    print(told, {(q, odd): (rejected(q, odd), sum(r.quality == q and r.doc_id % 2 == odd for r in read)) for q in (0, 1) for odd in (0, 1)})
     assert rejected(0, 1) > 0.9 and rejected(1, 1) < 0.025
 
 
