@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections import defaultdict
 from collections.abc import Sequence
 from operator import itemgetter
@@ -51,10 +50,10 @@ class Scanner:
         self.owned = set(compiled.own or ())
         #: Of each pattern the number of its one simple rule, else (left, right, rule, segment) of each of its places.
         self.entries = {pt: list(patterns.values()) for pt, patterns in by_type.items()}
-        self.lengths = {pt: array("i", map(len, patterns)) for pt, patterns in by_type.items()}
+        self.lengths = {pt: [len(p) for p in patterns] for pt, patterns in by_type.items()}
         self.direct = {pt: [e.__class__ is int or all(self.simple[r] and not left and not right for left, right, r, _ in e) for e in entries] for pt, entries in self.entries.items()}
         self.all_direct = {pt: all(d) for pt, d in self.direct.items()}
-        self.only_rule = {pt: array("i", (e if e.__class__ is int else e[0][2] if len(e) == 1 else -1 for e in entries)) for pt, entries in self.entries.items()}
+        self.only_rule = {pt: [e if e.__class__ is int else e[0][2] if len(e) == 1 else -1 for e in entries] for pt, entries in self.entries.items()}
         self.automata = {}
         for pt, patterns in by_type.items():
             if ahocorasick:
@@ -118,7 +117,7 @@ class Scanner:
                                 return [min(done)]
                         continue
                     start = end + 1 - lengths[k]
-                    for left, right, rule, segment in _each(entries[k]):
+                    for left, right, rule, segment in entries[k]:
                         if left and start and word_character(form[start - 1]):
                             continue
                         if right and end + 1 < len(form) and word_character(form[end + 1]):
