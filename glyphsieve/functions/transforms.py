@@ -1,14 +1,16 @@
 """Text transforms as column expressions.
 
 Each transform maps single characters, so any sequence of them is one table. Where that maps characters to one or none, it is a
-built-in expression; texts with a character that becomes several go through an Arrow UDF, the others never leave the JVM.
+built-in expression; texts with a character that may become several go through an Arrow UDF, the others never leave the JVM.
 """
 
 from __future__ import annotations
 
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,45 @@ from glyphsieve.flags import ProcessType
 from glyphsieve.tables import Own, Table
 
 
+#: Bytes of texts that are mapped at once: what a task holds besides a batch and its result follows these.
+PIECE = 1 << 21
+#: Up to so many mapped characters in a piece are replaced one after another.
+FEW = 12
+
+
+def _occurring(texts: list[str | None]) -> list[int]:
+    """The distinct codepoints of texts."""
+    seen = np.zeros(0x110000, bool)
+    text = "".join(filter(None, texts))
+    for k in range(0, len(text), PIECE):
+        seen[np.frombuffer(text[k : k + PIECE].encode("utf-32-le"), "<u4")] = True
+    return np.flatnonzero(seen).tolist()
+
+
+def _mapped_piece(texts: pa.Array, table: Table) -> pa.Array:
+    strings = texts.to_pylist()
+    codes = _occurring(strings)
+    put = {chr(c): table[c] or "" for c in codes if c in table}
+    if len(put) <= FEW and not any(c in s for s in put.values() for c in put):  # none makes another's character
+        for c, s in put.items():
+            texts = pc.replace_substring(texts, c, s)
+        return texts
+    every = {c: table.get(c, c) for c in codes}  # an entry for each, as a missing one costs translate an exception
+    return pa.array([t and t.translate(every) for t in strings], texts.type)
+
+
+def mapped(texts: pa.Array, table: Table) -> pa.Array:
+    """Each text by table. A batch is taken by pieces, so that no more of it than a piece, or one long text, is held as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    out, at = [], 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        out.append(_mapped_piece(texts.slice(at, to - at), table))
+        at = to
+    return pa.concat_arrays(out) if out else texts
+
+
 class Mapping:
     """A table as an expression. Its UDF holds the table in its closure: executors derive none."""
 
@@ -25,21 +66,21 @@ class Mapping:
         gone = [c for c, s in table.items() if not s]
         self.matching, self.replace = "".join(map(chr, [*single, *gone])), "".join(single.values())
         several = sorted(c for c, s in table.items() if s and len(s) > 1)
-        self.several = "".join(map(chr, several))
         self.span = f"[\\x{{{several[0]:x}}}-\\x{{{several[-1]:x}}}]" if several else ""
 
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: t.translate(table), na_action="ignore")
+        @F.arrow_udf("string")
+        def run(texts: pa.Array) -> pa.Array:
+            return mapped(texts, table)
 
         self.run = run
 
     def __call__(self, text: Column) -> Column:
         plain = F.translate(text, self.matching, self.replace) if self.matching else text
-        if not self.several:
+        if not self.span:
             return plain
-        # a class of some thousand characters is slow in a regular expression, and nests too deep
-        needs = text.rlike(self.span) & (F.translate(text, self.several, "") != text)
+        # one range, not the characters themselves: a class of some thousand is slow and nests too deep, and taking them out of a text to see
+        # whether it had any costs more than mapping a text that has none
+        needs = text.rlike(self.span)
         return F.when(needs, self.run(F.when(needs, text))).otherwise(plain)
 
 

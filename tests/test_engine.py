@@ -3,17 +3,19 @@
 import json
 import os
 import pickle
+import random
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphsieve import tables
 from glyphsieve.flags import ProcessType
-from glyphsieve.functions import process_text, reduce_text, reduce_text_emit, reduce_text_process, reduce_text_process_emit, text_process
+from glyphsieve.functions import process_text, reduce_text, reduce_text_emit, reduce_text_process, reduce_text_process_emit, text_process, transforms
 from glyphsieve.operators import RuleEngine, RuleEngineBuilder
 from glyphsieve.sources import from_dataframe, from_dict, from_json, lines, read_names, read_table, rules_from_json_column
 from glyphsieve.streaming import hit_counts, match_stream
@@ -96,6 +98,36 @@ def test_strings_and_columns_agree(spark):
         assert [(r.t, r.r, r.e) for r in got] == [(process_text(pt, t), reduce_text(pt, t), reduce_text_emit(pt, t)) for t in texts], pt
 
 
+class Counted(dict):
+    """A table that counts what is asked of it."""
+
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_a_table_is_asked_once_a_character_not_once_a_place(spark):
+    rng = random.Random(15)
+    few, swap, many = {ord("西"): " xi", ord("安"): " an", ord("x"): None}, {ord("a"): "b", ord("b"): "aa"}, {c: f" {c}" for c in range(0x4E00, 0x4E40)}
+    texts = ["".join(rng.choice("西安xabc é🔥" + "".join(map(chr, range(0x4E00, 0x4E20)))) for _ in range(n)) for n in (1, 5, 400, 9, 3000)]
+    texts = [*texts, "", None, "plain", "ab" * 500, "安", None]
+    for table in (few, swap, many, few | many, {}):
+        counted = Counted(table)
+        got = transforms.mapped(pa.array(["kept out", *texts], pa.string()).slice(1), counted)
+        assert got.to_pylist() == [t and t.translate(table) for t in texts]
+        assert counted.asked < 200
+    assert transforms.mapped(pa.array([], pa.string()), few).to_pylist() == []
+    # texts are not searched for each of the table's characters in the JVM before they are mapped
+    plan = frame(spark, "西安").select(text_process(16, F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan.lower()
+
+
 def test_own_tables(spark, tmp_path):
     """Tables of one's own take the place of derived ones, in texts, patterns and every plan."""
     (tmp_path / "t.tsv").write_text("ж\tzh\nѣ\tе\n#\nx\t\n", encoding="utf-8")
