@@ -13,21 +13,24 @@ from glyphsieve.plans.expressions import WORD, quoted
 from glyphsieve.plans.naive import word_character
 
 SEED = 5  # patterns find their texts by a seed of so many characters, or by all if they have fewer
-FEW = 64  # up to so many patterns of a process type, each is its own seed and looked for by itself
+FEW = 64  # up to so many patterns of a process type, each is its own seed whatever it costs
+ONE_BY_ONE = 512  # up to so many strings, looking for each by itself costs less than one expression for all that is tried at every place
 TRIE = 20_000  # seeds of one length up to which one regular expression holds them
 WINDOW = 1 << 20  # characters of a text that one task searches; longer texts are cut
 BROADCAST_BYTES = 32 << 20
 HITS = "rule int, segment int, process_type int, variant int, n long"
 
 
-def _entries(docs: DataFrame, compiled: Compiled, seeds: dict[tuple[int, str], str]) -> tuple[DataFrame, int]:
-    """One row for each alternative, with its seed and the expression that counts it, and the rows' bytes."""
-    rows = []
+def _entries(docs: DataFrame, compiled: Compiled, seeds: dict[tuple[int, str], str], counted: bool) -> tuple[DataFrame, int]:
+    """One row for each alternative, with its seed, the expression that counts it and whether one hit says all, and the rows' bytes."""
+    rows, rules = [], compiled.rules
     for pt, pattern, left, right, rule, segment in compiled.entries():
         before = f"(?<![{WORD}])" if left and word_character(pattern[0]) else ""
         after = f"(?![{WORD}])" if right and word_character(pattern[-1]) else ""
-        rows.append((pt, pattern, f"(?={before}{quoted(pattern)}{after})", bool(before or after), seeds[pt, pattern], rule, segment))
-    made = docs.sparkSession.createDataFrame(rows, "process_type int, pattern string, regex string, bounded boolean, seed string, rule int, segment int")
+        bounded = bool(before or after)
+        once = not counted and not bounded and rules[rule].segments[segment].quota == 1
+        rows.append((pt, pattern, f"(?={before}{quoted(pattern)}{after})", bounded, once, seeds[pt, pattern], rule, segment))
+    made = docs.sparkSession.createDataFrame(rows, "process_type int, pattern string, regex string, bounded boolean, once boolean, seed string, rule int, segment int")
     return made, sum(len(r[1]) + len(r[2]) + 64 for r in rows)
 
 
@@ -43,9 +46,9 @@ def _trie(seeds: list[str]) -> str:
 
 
 def _occurring(form: Column, seeds: list[str]) -> Column:
-    """The seeds that occur in form. A few are looked for one by one; more by one expression for each length, as at each place at most one of
-    a length begins; of so many that no expression holds them, all strings of their length are given."""
-    if len(seeds) <= FEW:
+    """The seeds that occur in form. Some hundred are looked for one by one; more by one expression for each length, as at each place at most
+    one of a length begins; of so many that no expression holds them, all strings of their length are given."""
+    if len(seeds) <= ONE_BY_ONE:
         return F.filter(F.array(*[F.lit(s) for s in seeds]), lambda s: F.contains(form, s))
     lengths = {n: sorted({x for x in seeds if len(x) == n}) for n in sorted({len(x) for x in seeds})}
     found = [F.regexp_extract_all(form, F.lit(f"(?s)(?=({_trie(own) if len(own) <= TRIE else f'.{{{n}}}'}))"), F.lit(1)) for n, own in lengths.items()]
@@ -63,7 +66,7 @@ def _grams(pattern: str) -> list[str]:
     return [pattern[k : k + SEED] for k in range(max(1, len(pattern) - SEED + 1))]
 
 
-def choose_seeds(forms: DataFrame, compiled: Compiled) -> dict[tuple[int, str], str]:
+def choose_seeds(forms: DataFrame, compiled: Compiled, few: int = FEW) -> dict[tuple[int, str], str]:
     """The seed of each pattern of a process type: itself where there are few, else that of its SEED-character strings which the fewest forms hold.
 
     A pass over all forms counts each of the patterns' strings with partial sums, so that no pattern stands for a beginning that
@@ -72,8 +75,8 @@ def choose_seeds(forms: DataFrame, compiled: Compiled) -> dict[tuple[int, str],
     patterns: dict[int, set[str]] = {}
     for pt, pattern, *_ in compiled.entries():
         patterns.setdefault(pt, set()).add(pattern)
-    seeds = {(pt, p): p for pt, own in patterns.items() if len(own) <= FEW for p in own}
-    many = {pt: own for pt, own in patterns.items() if len(own) > FEW}
+    seeds = {(pt, p): p for pt, own in patterns.items() if len(own) <= few for p in own}
+    many = {pt: own for pt, own in patterns.items() if len(own) > few}
     if many:
         grams = {pt: {g for p in own for g in _grams(p)} for pt, own in many.items()}
         told = forms.where(F.col("process_type").isin(*many)).select("process_type", F.explode(_found(forms, grams)).alias("seed"))
@@ -111,31 +114,35 @@ def forms_of(docs: DataFrame, compiled: Compiled, text: str, key: str, window: i
     return whole.unionByName(spread.select("__key", "process_type", "variant", "p.form", "p.lead", "p.body"))
 
 
-def hit_rows(docs: DataFrame, compiled: Compiled, text: str, key: str, window: int = WINDOW) -> DataFrame:
+def hit_rows(docs: DataFrame, compiled: Compiled, text: str, key: str, window: int = WINDOW, counted: bool = True) -> DataFrame:
     """key, rule, segment, process_type, variant, n: hits of each alternative in each distinct variant of each text; of a variant that was cut
     (see forms_of) a row for each window with hits.
 
-    Patterns find texts by an equi-join of their seeds (see choose_seeds) with those that occur in a form, and are then verified.
+    Patterns find texts by an equi-join of their seeds (see choose_seeds) with those that occur in a form, and are then verified. Up to
+    ONE_BY_ONE patterns are their own seeds, as choosing others takes a pass over all forms that costs more. Unless counted, n is 1 for hits of
+    an alternative without boundaries in a segment that asks for one: the rest of the text is not searched.
     The table of patterns is broadcast if its bytes, known from the compiled rules, allow; else the join is an ordinary
     shuffle join by type and seed, whose hot seeds AQE splits.
     """
     each = forms_of(docs, compiled, text, key, window)
-    seeds = choose_seeds(each, compiled)
-    entries, size = _entries(docs, compiled, seeds)
+    seeds = choose_seeds(each, compiled, ONE_BY_ONE)
+    entries, size = _entries(docs, compiled, seeds, counted)
     small = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df
     own: dict[int, set[str]] = {}
     for (pt, _), seed in seeds.items():
         own.setdefault(pt, set()).add(seed)
     pairs = each.withColumn("s", F.explode(_found(each, own))).join(small(entries.withColumnRenamed("process_type", "p")), (F.col("process_type") == F.col("p")) & (F.col("s") == F.col("seed"))).drop("p")
-    pairs = pairs.where(F.contains("form", F.col("pattern")))
     # of a window, up to the pattern's length behind its body, less a hit that starts in the context before and one just behind the body
     size_of = F.length("pattern")
     searched = F.substr("form", F.lit(1), F.col("lead") + F.col("body") + size_of)
     early = F.when(F.col("lead") > 0, F.regexp_count(F.substr("form", F.lit(1), size_of + 1), F.concat(F.lit("^"), "regex"))).otherwise(0)
     late = F.regexp_count(F.substr("form", F.col("lead") + F.col("body"), size_of + 1), F.concat(F.lit("^[\\s\\S]"), "regex"))
     whole = (F.col("lead") == 0) & (F.col("body") == F.length("form"))
-    n = F.when(whole, F.regexp_count("form", F.col("regex"))).otherwise(F.regexp_count(searched, F.col("regex")) - early - late)
-    return pairs.select("__key", "rule", "segment", "process_type", "variant", n.cast("long").alias("n")).where("n > 0")
+    n = F.when(F.col("once"), 1).when(whole, F.regexp_count("form", F.col("regex"))).otherwise(F.regexp_count(searched, F.col("regex")) - early - late)
+    # a filter on n itself would count twice; without boundaries, what a whole form contains is a hit
+    sure = F.col("once") | (whole & ~F.col("bounded"))
+    pairs = pairs.where(F.contains("form", F.col("pattern"))).where(sure | (n > 0))
+    return pairs.select("__key", "rule", "segment", "process_type", "variant", n.cast("long").alias("n"))
 
 
 def matches(docs: DataFrame, compiled: Compiled, text: str, key: str, window: int = WINDOW) -> DataFrame:
@@ -143,7 +150,7 @@ def matches(docs: DataFrame, compiled: Compiled, text: str, key: str, window: in
 
     Hits are summed over a segment's alternatives, then the largest sum of its variants is held against its quota.
     """
-    hits = hit_rows(docs, compiled, text, key, window)
+    hits = hit_rows(docs, compiled, text, key, window, counted=False)
     sums = hits.groupBy("__key", "rule", "segment", "variant").agg(F.sum("n").alias("n"))
     most = sums.groupBy("__key", "rule", "segment").agg(F.max("n").alias("n"))
     spark = docs.sparkSession

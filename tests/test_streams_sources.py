@@ -224,6 +224,31 @@ def test_seeds_are_the_rarest(spark):
     assert got == {(k, i) for k, t in enumerate(texts) for i, _ in naive.process(engine.compiled, t)}
 
 
+def test_some_hundred_patterns_take_one_pass(spark):
+    """They are looked for as they are, without a pass over all texts for seeds before; a rule that asks for one hit does not count them all."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 4)))
+    rules = [(1, k, rng.choice(("{}&{}", "{}|{}", "\\b{}~{}", "{}&{}&{}~{}", "{}&{}|{}&{}")).format(*(word() for _ in range(4)))) for k in range(150)]
+    rules += [(12, 500 + k, f"{word()}x{k}&{word()}") for k in range(80)] + [(1, 900, "ab&ab&ab"), (1, 901, "abc")]
+    texts = ["".join(rng.choice("abcé x7.") for _ in range(n)) for n in (0, 3, 30, 300, 900)] + [None, "abab abab", "x1a" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    compiled = compile_rules(rules)
+    assert relational.FEW < len({p for pt, p, *_ in compiled.entries() if pt == 1}) <= relational.ONE_BY_ONE
+    spark.sparkContext.setJobGroup("one pass", "")
+    try:
+        found = relational.matches(docs, compiled, "text", "id")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("one pass")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {(k, pt, i) for pt in (1, 12) for k, t in enumerate(texts) for i, _ in naive.process(compile_rules([r for r in rules if r[0] == pt]), t)}
+    for window in (7, None):
+        found = relational.matches(docs, compiled, "text", "id", window) if window else found
+        assert {(r.id, r.process_type, r.word_id) for r in found.collect()} == want
+    few = compile_rules([(1, 1, "ab"), (1, 2, "ab&ab"), (1, 3, "\\bab")])
+    hits = lambda counted: {(r["__key"], r.rule): r.n for r in relational.hit_rows(docs, few, "text", "id", counted=counted).where("__key = 6").collect()}
+    assert hits(True) == {(6, 0): 4, (6, 1): 4, (6, 2): 2} and hits(False) == {(6, 0): 1, (6, 1): 4, (6, 2): 2}
+
+
 def test_rule_and_table_files(spark, tmp_path):
     register(spark)
     (tmp_path / "a.json").write_text('{"1": {"1": "x&y", "2": "z"}, "4": {"3": "w"}}')
