@@ -6,6 +6,7 @@ built-in expression; texts with a character that may become several go through a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -46,16 +47,20 @@ def _mapped_piece(texts: pa.Array, table: Table) -> pa.Array:
     return pa.array([t and t.translate(every) for t in strings], texts.type)
 
 
-def mapped(texts: pa.Array, table: Table) -> pa.Array:
-    """Each text by table. A batch is taken by pieces, so that no more of it than a piece, or one long text, is held as Python strings."""
+def mapped_pieces(texts: pa.Array, table: Table) -> Iterator[pa.Array]:
+    """Each text by table, in order. A batch is taken by pieces, so that no more of it than a piece, or one long text, is held as Python strings."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    out, at = [], 0
+    at = 0
     while at < len(texts):
         done = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + PIECE, "right")))
-        out.append(_mapped_piece(texts.slice(at, to - at), table))
+        yield _mapped_piece(texts.slice(at, to - at), table)
         at = to
-    return pa.concat_arrays(out) if out else texts
+
+
+def mapped(texts: pa.Array, table: Table) -> pa.Array:
+    """mapped_pieces as one array."""
+    return pa.concat_arrays([texts.slice(0, 0), *mapped_pieces(texts, table)])
 
 
 class Mapping:
@@ -69,8 +74,9 @@ class Mapping:
         self.span = f"[\\x{{{several[0]:x}}}-\\x{{{several[-1]:x}}}]" if several else ""
 
         @F.arrow_udf("string")
-        def run(texts: pa.Array) -> pa.Array:
-            return mapped(texts, table)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:  # a result goes to the JVM piece by piece: a task holds a batch, but not its result, which may be some times as long
+                yield from mapped_pieces(texts, table)
 
         self.run = run
 

@@ -128,6 +128,20 @@ def test_a_table_is_asked_once_a_character_not_once_a_place(spark):
     assert "translate" not in plan.lower()
 
 
+def test_results_leave_a_task_piece_by_piece(spark):
+    """No result of a whole batch is held: pieces are small but for a single long text, in order, and land in their own rows."""
+    table = {ord("西"): " xi"}
+    texts = ["西安" * n for n in (10, 300_000, 0, 700_000, 5)] + [None, None] + ["西" * 1000] * 3000
+    pieces = list(transforms.mapped_pieces(pa.array(texts, pa.string()), table))
+    assert [t for p in pieces for t in p.to_pylist()] == [t and t.translate(table) for t in texts]
+    assert len(pieces) > 4 and all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 4 / 3 * transforms.PIECE for p in pieces)
+    docs = spark.range(6000, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.concat("id", F.lit(" "), F.repeat(F.lit("西x"), 300))).alias("text"))
+    both = F.struct(text_process(16, F.col("text")).alias("a"), text_process(32, F.col("text")).alias("b"))
+    want = [F.replace("text", F.lit("西"), F.lit(to)) for to in (" xi", "xi")]
+    got = docs.select("id", "text", both.alias("r")).select((F.col("r.a").eqNullSafe(want[0]) & F.col("r.b").eqNullSafe(want[1])).alias("right"))
+    assert got.groupBy("right").count().collect() == [(True, 6000)]
+
+
 def test_own_tables(spark, tmp_path):
     """Tables of one's own take the place of derived ones, in texts, patterns and every plan."""
     (tmp_path / "t.tsv").write_text("ж\tzh\nѣ\tе\n#\nx\t\n", encoding="utf-8")
